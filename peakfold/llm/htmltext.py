@@ -33,12 +33,12 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "label", "chars", "linked", "words", "stops", "hidden", "depth", "bare")
+    __slots__ = ("tag", "parent", "names", "label", "chars", "linked", "words", "hidden", "depth", "bare")
 
     def __init__(self, tag: str, parent: int, depth: int):
         self.tag, self.parent, self.depth = tag, parent, depth
         self.names, self.label, self.hidden, self.bare = (), False, False, True
-        self.chars = self.linked = self.words = self.stops = 0
+        self.chars = self.linked = self.words = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -68,7 +68,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node = nodes[own]
                 node.chars += len(run)
                 node.words += len(words)
-                node.stops += sum(run.count(c) for c in ".!?,;")
                 blocks.append((own, run))
 
     def pop(to: int) -> None:
@@ -137,11 +136,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 
 def features(node: Node) -> list[str]:
-    out = [f"tag {node.tag}", *(f"name {x}" for x in node.names), f"words {min(6, node.words.bit_length())}"]
-    if node.hidden:
-        out.append("hidden")
+    out = [f"tag {node.tag}", *(f"name {x}" for x in node.names), "hidden" if node.hidden else "shown"]
     if node.chars:
-        out += [f"linked {round(4 * node.linked / node.chars)}", f"stops {min(4, node.stops.bit_length())}"]
+        out += ["words few" if node.words < 5 else "words some", f"linked {round(2 * node.linked / node.chars)}"]
     return out
 
 
@@ -187,7 +184,7 @@ class Model:
         return (chance, joint) if pairs else chance
 
     @classmethod
-    def fit(cls, pages: list[str], passes: int = 25, rate: float = 0.3, decay: float = 1e-3) -> Model:
+    def fit(cls, pages: list[str], passes: int = 20, rate: float = 0.4, decay: float = 1e-3) -> Model:
         """pages: HTML whose content elements have data-content="1"."""
         trees = [parse(p)[0] for p in pages]
         names = sorted({f for t in trees for x in t for f in features(x)})
@@ -256,7 +253,7 @@ def training_pages(n: int = 240, seed: int = 7) -> list[str]:
             if k < 0.72:
                 out.append(f"<p{mark(on)}>{sentence()}{link}{sentence()}</p>")
             elif k < 0.8:
-                out.append(f"<h{r.randint(2, 4)}{mark(on)}>{words(1, 8)}</h2>".replace("</h2>", f"</h{out and 2 or 2}>"))
+                out.append(f"<h{(n := r.randint(2, 4))}{mark(on)}>{words(1, 8)}</h{n}>")
             elif k < 0.88:
                 tag = r.choice(["ul", "ol"])
                 out.append(f"<{tag}{mark(on)}>" + "".join(f"<li{mark(on)}>{sentence(1, 15)}</li>" for _ in range(r.randint(1, 5))) + f"</{tag}>")
@@ -288,8 +285,8 @@ def training_pages(n: int = 240, seed: int = 7) -> list[str]:
 
     def page() -> str:
         tag = r.choice(["article", "article", "article", "main", "div", "section"])
-        head = f"<h1{mark(True)}>{words(2, 10)}</h1>" if r.random() < 0.8 else ""
-        inside = [prose(True, 1, 4) for _ in range(r.randint(1, 4))]
+        head = f"<h1{mark(True)}>{words(1, 10)}</h1>" if r.random() < 0.8 else ""
+        inside = [prose(True, 1, 4) for _ in range(r.choice([1, 1, 2, 3, 4]))] if r.random() < 0.8 else [f"<p{mark(True)}>{sentence(1, 6)}</p>"]
         for kind in r.sample(["ad", "aside", "notice", "form", "comments", "nav"], r.choice([0, 0, 1, 2])):
             inside.insert(r.randint(0, len(inside)) if kind != "comments" else len(inside), part(kind))
         body = named("content", tag, head + "".join(inside), True, 0.6 if tag in ("article", "main") else 0.0)
