@@ -13,7 +13,7 @@ from peakfold.llm.common import map_arrow, written
 CONTRACT = 200_000
 
 
-def _contract(batches):
+def _contract(batches, most: int = 2 * CONTRACT):
     """Replaces the edges of a run of rows by a star for each of their components."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -40,7 +40,7 @@ def _contract(batches):
     for batch in batches:
         held.append(np.stack([np.asarray(batch.column(c)) for c in ("u", "v")], 1))
         n += batch.num_rows
-        if n >= CONTRACT:
+        if n >= most:
             yield stars(held)
             held, n = [], 0
     if held:
@@ -59,19 +59,21 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id that an edge (u, v) names; component is its smallest id.
+    """(id, component) of the ids that edges (u, v) link with a smaller one; component is the smallest.
 
-    Edges are contracted within each task first. Each round writes its edges to the shared folder, so
-    lineage stays short; the number of rounds is logarithmic. No ids, links or labels reach the driver.
+    Edges are first contracted within tasks of CONTRACT edges each; where one task has them all, that
+    is the result. Else each round writes its edges to the shared folder, so lineage stays short; the
+    number of rounds is logarithmic. No ids, links or labels reach the driver.
     """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    e = written(map_arrow(e, _contract, "u long, v long").distinct(), "cc")
+    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "cc")
+    tasks = e.count() // CONTRACT + 1
+    e = written(map_arrow(e.coalesce(tasks), _contract, "u long, v long"), "cc")
     mark = F.expr("bit_xor(xxhash64(u, v))")
     state = None
-    while True:
+    while tasks > 1:
         now = tuple(e.agg(F.count("*"), mark).first())
         if now == state or not now[0]:
             break
         state = now
         e = written(_star(_star(e, False), True), "cc")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

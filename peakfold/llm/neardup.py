@@ -3,8 +3,8 @@
 A document's set is its distinct word shingles. Each of several independent trees sends a document
 from node to node: a node's own hash chooses minwise tokens, and documents with the same token go to
 the same child. A node of few documents compares them all. A larger one compares each with a pivot;
-when its documents are then in one component it is done, when only few are outside the largest one
-these are compared with all, and else it branches on. Candidates are kept or dropped by minwise
+when its documents are then in one component it is done, when few comparisons are left (those outside
+the largest component against all) they are made, and else it branches on. Candidates are kept or dropped by minwise
 sketches with a wide margin, and links are confirmed on full sets. Components are those of the
 confirmed links, which is why links inside one component needn't be looked for.
 """
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from peakfold.llm.common import bytes_of, id_text, map_arrow, out_batch, slices, written
 from peakfold.llm.components import components
 
-#: Tokens of a sketch, independent trees, first and last depth, documents of a small node, documents
-#: outside the largest component up to which a node ends, and of a block in which these are compared.
-WIDTH, TREES, DEPTH, MOST_DEPTH, SMALL, FEW, BLOCK = 128, 16, 2, 12, 32, 256, 64
+#: Tokens of a sketch, independent trees, first and last depth, documents of a small node, comparisons
+#: up to which a larger node ends, and documents of a block in which these are made.
+WIDTH, TREES, DEPTH, MOST_DEPTH, SMALL, WORK, BLOCK = 128, 18, 3, 12, 32, 2_000_000, 128
 #: Second children a node has on average: a similar pair survives a level about once then.
 EXTRA = 0.18
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -74,7 +74,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 def near_enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Whether sketches let a pair reach the similarity, four standard errors allowed for."""
     low, high = np.minimum(na, nb), np.maximum(na, nb)
-    least = percent / 100 - 4 * 0.36 / np.sqrt(np.clip(low / 2, 0.5, WIDTH / 2))
+    least = percent / 100 - 4 * 0.36 / np.sqrt(WIDTH * -np.expm1(-low / WIDTH))  # bins that are not empty
     return (100 * low >= percent * high) & ((a == b).mean(axis=-1) >= least)
 
 
@@ -172,23 +172,25 @@ def _star_pairs(big: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return _pair_filter(pairs.join(one("a"), "a").join(one("b"), "b"), percent)
 
 
-def _block_pairs(big: DataFrame, few: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """few: node, id, blocks: documents to be compared with all of their node, in blocks of bounded size."""
-    s = reps.select("id", "n", "sketch")
-    lists = few.join(s, "id").withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks"))).groupBy("node", "block").agg(F.collect_list(F.struct("id", "n", "sketch")).alias("m")).select("node", "m")
-    rows = big.select("node", "id").join(s, "id").join(lists, "node").select("id", "n", "sketch", "m")
+def _block_pairs(marked: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """marked: node, id, component, top, size. Pairs of different components, one of the two outside the
+    node's largest one (top); blocks of bounded size are compared with blocks."""
+    rows = marked.join(sketches, "id").withColumn("few", F.col("component") != F.col("top"))
+    block = F.pmod(F.xxhash64("id", "node"), F.col("size").cast("long") / BLOCK + 1).cast("long")
+    lists = rows.groupBy("node", "few", block.alias("block")).agg(F.collect_list(F.struct("id", "n", "sketch", "component")).alias("m"))
+    left, right = lists.where("few"), lists
+    met = left.select("node", F.col("block").alias("lb"), F.col("m").alias("l")).join(right.select("node", "few", "block", F.col("m").alias("r")), "node").where("not few or lb <= block").select("l", "r")
 
     def run(batches):
         for batch in batches:
-            for piece in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
-                column = piece.column("m")
-                sizes = np.array([len(x) for x in column])
-                flat, own = column.flatten(), np.repeat(np.arange(len(sizes)), sizes)
-                a, b = _ints(piece.column("id"))[own], _ints(flat.field("id"))
-                ok = near_enough(_sketches(piece.column("sketch"))[own], _sketches(flat.field("sketch")), _ints(piece.column("n"))[own], _ints(flat.field("n")), percent) & (a != b)
-                yield out_batch(_PAIRS, np.minimum(a, b)[ok], np.maximum(a, b)[ok])
+            for k in range(batch.num_rows):
+                l, r = batch.column("l")[k].values, batch.column("r")[k].values
+                i, j = np.nonzero(_ints(l.field("component"))[:, None] != _ints(r.field("component"))[None, :])
+                ok = near_enough(_sketches(l.field("sketch"))[i], _sketches(r.field("sketch"))[j], _ints(l.field("n"))[i], _ints(r.field("n"))[j], percent)
+                a, b = _ints(l.field("id"))[i[ok]], _ints(r.field("id"))[j[ok]]
+                yield out_batch(_PAIRS, np.minimum(a, b), np.maximum(a, b))
 
-    return map_arrow(rows, run, "a long, b long")
+    return map_arrow(met, run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +212,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _with_counts(rows: DataFrame) -> DataFrame:
     """node, id, size, pivot of the nodes with more than one document."""
-    rows = rows.distinct()
     of = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "node"), "id")).alias("p")).where("size > 1").select("node", "size", F.col("p.id").alias("pivot"))
     return rows.join(of, "node")
 
@@ -230,29 +231,26 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFra
     """Confirmed edges (u, v) between representatives, enough to give the components of all links."""
     spark = docs.sparkSession
     live = written(_with_counts(_first_nodes(reps)), "nodes")
-    small, big = live.where(F.col("size") <= SMALL), live.where(F.col("size") > SMALL).select("node", "id", "pivot")
-    pairs = written(_small_pairs(small, reps, percent).distinct(), "pairs")
+    sketches = written(reps.join(live.select("id").distinct(), "id", "left_semi"), "sketches")
+    small, big = live.where(F.col("size") <= SMALL), live.where(F.col("size") > SMALL)
+    pairs = written(_small_pairs(small, sketches, percent).distinct(), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(big.select("id")).distinct()
     sets = written(_full_sets(docs, named, words), "sets")
     edges = written(_confirmed(pairs, sets, percent), "edges")
     for depth in range(DEPTH, MOST_DEPTH + 1):
         if big.isEmpty():
             break
-        edges = edges.union(written(_confirmed(_star_pairs(big, reps, percent), sets, percent), "edges"))
-        parts = written(components(edges), "parts")
-        edges = parts.select(F.col("id").alias("u"), F.col("component").alias("v"))
-        marked = big.join(parts, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-        per = marked.groupBy("node", "component").agg(F.count("*").alias("k"))
-        most = per.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("top")).select("node", (F.col("size") - F.col("top.k")).alias("out"), F.col("top.component").alias("top")).where("out > 0")
-        marked = written(marked.join(most, "node"), "marked")
-        ends = F.lit(True) if depth == MOST_DEPTH else F.col("out") <= FEW
-        few = marked.where(ends & (F.col("component") != F.col("top"))).select("node", "id", F.ceil(F.col("out") / BLOCK).alias("blocks"))
-        found = _block_pairs(marked.where(ends), few, reps, percent)
+        edges = components(edges.union(_confirmed(_star_pairs(big, sketches, percent), sets, percent))).select(F.col("id").alias("u"), F.col("component").alias("v"))
+        marked = written(big.join(edges.toDF("id", "component"), "id", "left").select("node", "size", "id", F.coalesce("component", "id").alias("component")), "marked")
+        top = marked.groupBy("node", "component").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "component")).alias("top"))
+        marked = marked.join(top.select("node", "top.*").toDF("node", "k", "top"), "node").where("k < size")
+        ends = F.lit(True) if depth == MOST_DEPTH else (F.col("size") - F.col("k")) * F.col("size") <= WORK
+        found = _block_pairs(marked.where(ends), sketches, percent)
         if depth < MOST_DEPTH:
-            live = written(_with_counts(_children(marked.where(~ends).join(reps.select("id", "sketch"), "id"))), "nodes")
-            found = found.union(_small_pairs(live.where(F.col("size") <= SMALL), reps, percent))
-            big = live.where(F.col("size") > SMALL).select("node", "id", "pivot")
-        edges = edges.union(written(_confirmed(found, sets, percent), "edges"))
+            live = written(_with_counts(_children(marked.where(~ends).join(sketches, "id"))), "nodes")
+            found = found.union(_small_pairs(live.where(F.col("size") <= SMALL), sketches, percent))
+            big = live.where(F.col("size") > SMALL)
+        edges = written(edges.union(_confirmed(found, sets, percent)), "edges")
         if depth == MOST_DEPTH:
             big = spark.createDataFrame([], big.schema)
     return edges
