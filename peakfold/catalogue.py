@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from peakfold.plans import queries as plans
+
 
 def entry(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return plans.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(plans.SQLS)
