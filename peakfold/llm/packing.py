@@ -8,6 +8,7 @@ stored unpadded; what is beyond goes back to the pool. So no sequence holds padd
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -112,10 +113,29 @@ class Packer:
             yield self.bin()
 
 
+#: Texts of these characters alone are cut into the words that the tokenizer's own pattern makes of them.
+PLAIN = re.compile(r"[\t\n\r -~À-ÿ]*")
+#: That pattern over lower-case text of these characters, and the mark of a word's last id.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-`{-~×÷]+")
+WORD_END = "</w>"
+#: Words that the library gets as one text.
+JOINED = 256
+
+
+def cut_text(text: str) -> list[str]:
+    """Pieces whose ids, end to end, are the text's: words where the text is plain, else what blanks divide.
+
+    Added tokens have a "<|", so a text with one is cut at blanks only.
+    """
+    if "<|" not in text and PLAIN.fullmatch(text):
+        return WORDS.findall(text.lower())
+    return text.split(" ")
+
+
 def tokenizer_memo(path: str) -> IdMemo:
-    """Ids of pieces between blanks, by the tokenizers library.
+    """Ids of pieces by the tokenizers library, for a tokenizer that lower-cases and whose words end at blanks.
 
-    For a tokenizer whose normaliser and words end at blanks, the ids of a text are those of its pieces.
+    Words are encoded many to a text: each has one id that ends a word, which is where they are told apart.
     """
     import os
 
@@ -125,7 +145,28 @@ def tokenizer_memo(path: str) -> IdMemo:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return IdMemo(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+    vocab = t.get_vocab(with_added_tokens=False)
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_many(pieces: list[str]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        words = [k for k, p in enumerate(pieces) if WORDS.fullmatch(p)]
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for group, ids in zip(groups, encode([" ".join(pieces[k] for k in g) for g in groups]), strict=True):
+            cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                for k, a, b in zip(group, [0, *cuts], cuts):  # noqa: B905
+                    out[k] = ids[a:b]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, encode([pieces[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    return IdMemo(encode_many)
 
 
 _memos: dict[str, IdMemo] = {}
@@ -157,7 +198,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int
             number += 1
 
         for batch in slices(batches):
-            keys, ids = batch.column("doc_id").to_pylist(), memo.ids([t.split(" ") for t in texts_of(batch)])
+            keys, ids = batch.column("doc_id").to_pylist(), memo.ids([cut_text(t) for t in texts_of(batch)])
             for key, x in zip(keys, ids, strict=True):
                 x = np.append(x, np.uint32(end_id))
                 running = None if loss_mask is None else np.concatenate([[0], np.cumsum(loss_mask(x))])
