@@ -270,3 +270,16 @@ def test_ordinal_thresholds_are_ordered():
 
 def test_references_in_html():
     assert htmltext.parse("<p>&lt;a&gt; &eacute;&#39;</p>")[1][0][1] == html.unescape("&lt;a&gt; &eacute;&#39;")
+
+
+def test_packing_pieces_give_the_library_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from peakfold.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, memo = Tokenizer.from_file(path), packing.tokenizer_memo(path)
+    texts = ["", "  \t\n", "it's IT'S we''ll '' don't", "ÀÉ×÷ß ÿ 1234 a1b2", "a<|endoftext|>b <|startoftext|>", "<|", "</w> </W>w", "e\u0301te\u0301 \u0130x", "汉字 ’s", "a\x0bb\x1cc\xa0d", "\x00a\x7f", "word " * 600]
+    for text, ids in zip(texts, memo.ids([packing.cut_text(t) for t in texts]), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
