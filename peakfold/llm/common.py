@@ -17,6 +17,8 @@ from peakfold.session import ship_package
 
 #: Rows of one Arrow batch: texts average a few kB, so a batch stays at some MB.
 BATCH_ROWS = 1000
+#: Bytes at which a batch ends before it has so many rows.
+BATCH_BYTES = 32 << 20
 #: Bytes of text that one step of an operator holds beside its results.
 SLICE_BYTES = 4 << 20
 
@@ -33,6 +35,7 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,8 @@ def brute_components(texts, words, percent):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 4)
     monkeypatch.setattr(neardup, "WORK", 300)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "LOWEST", 20)
     r = random.Random(5)
     word = lambda: f"w{r.randrange(400)}"
     base = [[word() for _ in range(r.choice([1, 2, 3, 8, 40, 120]))] for _ in range(60)]
@@ -162,6 +165,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert all(got[k].kept == (comp[k] == k) for k in got)
 
 
+def test_estimates_of_blocks_allow_for_what_they_lack():
+    r = np.random.default_rng(3)
+    pool = np.unique(r.integers(0, 2**63, 1200).astype(np.uint64))
+    sets = [np.sort(r.permutation(pool[:n])[:k]) for n, k in [(100, 95), (100, 90), (100, 85), (1200, 1150), (1200, 1100), (1200, 900)] for _ in range(6)]
+    side = pa.StructArray.from_arrays([pa.array(range(len(sets))), pa.array([len(s) for s in sets]), pa.array([s[: neardup.LOWEST].tobytes() for s in sets]), pa.array(range(len(sets)))], ["id", "n", "low", "component"])
+    a, b, estimate = neardup._near_in_blocks(side, side, 85)
+    found = {(x, y): e for x, y, e in zip(a.tolist(), b.tolist(), estimate.tolist(), strict=True)}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            if i != j and true >= 0.85:
+                assert abs(found[i, j] - true) < 0.09
+            if max(len(x), len(y)) <= neardup.LOWEST and true < 0.85:
+                assert (i, j) not in found  # whole sets leave nothing to chance
+
+
 def test_components_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "CONTRACT", 20)
     r = random.Random(1)
