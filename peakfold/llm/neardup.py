@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    LIMIT = 1_000_000
+    LIMIT = 200_000  # some 40 MB a worker
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
