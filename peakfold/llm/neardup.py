@@ -4,8 +4,7 @@ A document's set is its distinct word shingles. Each of several independent tree
 from node to node: a node's own hash chooses minwise tokens, and documents with the same token go to
 the same child. A node of few documents compares them all. A larger one compares each with a pivot;
 when its documents are then in one component it is done, when few comparisons are left (those outside
-the largest component against all) they are made, first for the nearest of each document, and else it
-branches on. Candidates are kept or dropped by minwise sketches, or in larger nodes by the sets' lowest
+the largest component against all) they are made, and else it branches on. Candidates are kept or dropped by minwise sketches, or in larger nodes by the sets' lowest
 hashes, with a wide margin, and links are confirmed on full sets. Components are those of the confirmed
 links, which is why links inside one component needn't be looked for.
 """
@@ -26,7 +25,7 @@ from peakfold.llm.components import components
 #: Tokens of a sketch, independent trees, first and last depth, documents of a small node, comparisons
 #: up to which a larger node ends, documents of a block in which these are made, and their lowest hashes
 #: by which they are compared there.
-WIDTH, TREES, DEPTH, MOST_DEPTH, SMALL, WORK, BLOCK, LOWEST = 128, 18, 3, 12, 32, 2_000_000, 64, 512
+WIDTH, TREES, DEPTH, MOST_DEPTH, SMALL, WORK, BLOCK, LOWEST = 128, 18, 3, 12, 32, 2_000_000, 256, 256
 #: Second children a node has on average: a similar pair survives a level about once then.
 EXTRA = 0.18
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -73,6 +72,11 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (s[at] >> np.uint64(16)).astype(np.uint32)
 
 
+def lowest(s: np.ndarray) -> np.ndarray:
+    """The upper halves of a set's lowest hashes."""
+    return (s[:LOWEST] >> np.uint64(32)).astype(np.uint32)
+
+
 def near_enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Whether sketches let a pair reach the similarity, four standard errors allowed for."""
     low, high = np.minimum(na, nb), np.maximum(na, nb)
@@ -177,8 +181,7 @@ def _star_pairs(big: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _blocks(marked: DataFrame, sets: DataFrame) -> DataFrame:
     """marked: node, id, component, top, size. Pairs (l, r) of blocks of bounded size that meet in a node; l is
     outside the node's largest component (top)."""
-    lowest = sets.select("id", (F.length("items") / 8).cast("long").alias("n"), F.substring("items", 1, 8 * LOWEST).alias("low"))
-    rows = marked.join(lowest, "id").withColumn("few", F.col("component") != F.col("top"))
+    rows = marked.join(sets.select("id", "n", "low"), "id").withColumn("few", F.col("component") != F.col("top"))
     block = F.pmod(F.xxhash64("id", "node"), F.col("size").cast("long") / BLOCK + 1).cast("long")
     lists = rows.groupBy("node", "few", block.alias("block")).agg(F.collect_list(F.struct("id", "n", "low", "component")).alias("m"))
     left, right = lists.where("few"), lists
@@ -201,24 +204,24 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _near_in_blocks(l, r, percent: int):
-    """Ids (a from l, b from r) of different components that may reach the similarity, and their estimates.
+    """Ids (a from l, b from r) of different components that may reach the similarity.
 
     Each side has its set's lowest hashes. Up to the smaller of two last hashes both sides are known in
-    full, a sample of the union; four standard errors are allowed for, none where both sets are whole.
+    full, a sample of the union; four standard errors are allowed for, or one hash where both sets are whole (upper halves can meet).
     """
-    low = [[np.frombuffer(x.as_buffer(), np.uint64) for x in side.field("low")] for side in (l, r)]
+    low = [[np.frombuffer(x.as_buffer(), np.uint32) for x in side.field("low")] for side in (l, r)]
     n, ids, component = ([_ints(side.field(f)) for side in (l, r)] for f in ("n", "id", "component"))
     whole = [np.array([len(x) == k for x, k in zip(xs, ks, strict=True)], bool) for xs, ks in zip(low, n, strict=True)]
-    ends = [np.array([np.iinfo(np.uint64).max if w else x[-1] for x, w in zip(xs, ws, strict=True)], np.uint64) for xs, ws in zip(low, whole, strict=True)]
+    ends = [np.array([np.iinfo(np.uint32).max if w else x[-1] for x, w in zip(xs, ws, strict=True)], np.uint32) for xs, ws in zip(low, whole, strict=True)]
     both = _shared(*low)
     in_l = np.stack([np.searchsorted(x, np.minimum(ends[1], ends[0][i]), "right") for i, x in enumerate(low[0])])
     in_r = np.stack([np.searchsorted(x, np.minimum(ends[0], ends[1][j]), "right") for j, x in enumerate(low[1])]).T
     union = in_l + in_r - both
     estimate = both / union
-    spare = np.where(whole[0][:, None] & whole[1][None, :], 1e-9, 4 * 0.36 / np.sqrt(union))
+    spare = np.where(whole[0][:, None] & whole[1][None, :], 1.5 / union, 4 * 0.36 / np.sqrt(union))
     a, b = n[0][:, None], n[1][None, :]
     i, j = np.nonzero((component[0][:, None] != component[1][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (estimate >= percent / 100 - spare))
-    return ids[0][i], ids[1][j], estimate[i, j]
+    return ids[0][i], ids[1][j]
 
 
 def _block_pairs(met: DataFrame, percent: int) -> DataFrame:
@@ -227,28 +230,12 @@ def _block_pairs(met: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b, _ = _near_in_blocks(batch.column("l")[k].values, batch.column("r")[k].values, percent)
+                a, b = _near_in_blocks(batch.column("l")[k].values, batch.column("r")[k].values, percent)
                 yield out_batch(_PAIRS, np.minimum(a, b), np.maximum(a, b))
 
     return map_arrow(met, run, "a long, b long")
 
 
-def _nearest_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """One candidate pair for each document outside its node's largest component: the one of highest estimate."""
-    schema = pa.schema([("id", pa.int64()), ("same", pa.float64()), ("other", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b, same = _near_in_blocks(batch.column("l")[k].values, batch.column("r")[k].values, percent)
-                order = np.lexsort((b, -same, a))
-                first = order[np.unique(a[order], return_index=True)[1]]
-                yield out_batch(schema, a[first], same[first], b[first])
-
-    best = map_arrow(met, run, "id long, same double, other long").groupBy("id").agg(F.max(F.struct("same", "other")).alias("best"))
-    return best.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b"))
-
-
 def _marked(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows: node, id, size. Rows of nodes that are not in one component, with their component, the node's
     largest one (top) and how many documents that has (k)."""
@@ -281,14 +268,15 @@ def _with_counts(rows: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, items): the whole sets of some documents, read from their texts again."""
-    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
+    """(id, n, items, low): the whole sets of some documents, read from their texts again, and their lowest hashes."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("low", pa.binary())])
 
     def run(batches):
         for batch in slices(batches):
-            yield out_batch(schema, batch.column("doc_id"), [shingle_set(t, words).tobytes() for t in bytes_of(batch)])
+            s = [shingle_set(t, words) for t in bytes_of(batch)]
+            yield out_batch(schema, batch.column("doc_id"), [len(x) for x in s], [x.tobytes() for x in s], [lowest(x).tobytes() for x in s])
 
-    return map_arrow(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), run, "id long, items binary")
+    return map_arrow(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), run, "id long, n long, items binary, low binary")
 
 
 def links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -304,12 +292,10 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFra
     for depth in range(DEPTH, MOST_DEPTH + 1):
         if big.isEmpty():
             break
-        edges = components(edges.union(_confirmed(_star_pairs(big, sketches, percent), sets, percent)))
+        edges = components(edges.union(_confirmed(_star_pairs(big, sketches, percent), sets, percent))).toDF("u", "v")
         ends = F.lit(True) if depth == MOST_DEPTH else (F.col("size") - F.col("k")) * F.col("size") <= WORK
-        marked = written(_marked(big, edges).withColumn("ends", ends), "marked")
-        last = marked.where("ends")
-        edges = components(edges.toDF("u", "v").union(_confirmed(_nearest_pairs(_blocks(last, sets), percent), sets, percent))).toDF("u", "v")
-        found = _block_pairs(_blocks(_marked(last.select("node", "id", "size"), edges), sets), percent)
+        marked = _marked(big, edges).withColumn("ends", ends)
+        found = _block_pairs(_blocks(marked.where("ends"), sets), percent)
         if depth < MOST_DEPTH:
             live = written(_with_counts(_children(marked.where("not ends").join(sketches, "id"))), "nodes")
             found = found.union(_small_pairs(live.where(F.col("size") <= SMALL), sketches, percent))

@@ -169,16 +169,14 @@ def test_estimates_of_blocks_allow_for_what_they_lack():
     r = np.random.default_rng(3)
     pool = np.unique(r.integers(0, 2**63, 1200).astype(np.uint64))
     sets = [np.sort(r.permutation(pool[:n])[:k]) for n, k in [(100, 95), (100, 90), (100, 85), (1200, 1150), (1200, 1100), (1200, 900)] for _ in range(6)]
-    side = pa.StructArray.from_arrays([pa.array(range(len(sets))), pa.array([len(s) for s in sets]), pa.array([s[: neardup.LOWEST].tobytes() for s in sets]), pa.array(range(len(sets)))], ["id", "n", "low", "component"])
-    a, b, estimate = neardup._near_in_blocks(side, side, 85)
-    found = {(x, y): e for x, y, e in zip(a.tolist(), b.tolist(), estimate.tolist(), strict=True)}
+    side = pa.StructArray.from_arrays([pa.array(range(len(sets))), pa.array([len(s) for s in sets]), pa.array([neardup.lowest(s).tobytes() for s in sets]), pa.array(range(len(sets)))], ["id", "n", "low", "component"])
+    a, b = neardup._near_in_blocks(side, side, 85)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
             true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-            if i != j and true >= 0.85:
-                assert abs(found[i, j] - true) < 0.09
-            if max(len(x), len(y)) <= neardup.LOWEST and true < 0.85:
-                assert (i, j) not in found  # whole sets leave nothing to chance
+            assert i == j or true < 0.85 or (i, j) in found
+            assert (i, j) not in found or true > (0.8 if max(len(x), len(y)) <= neardup.LOWEST else 0.6)
 
 
 def test_components_in_rounds(spark, monkeypatch):
