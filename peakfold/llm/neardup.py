@@ -11,7 +11,9 @@ links, which is why links inside one component needn't be looked for.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,13 @@ from pyspark.sql import functions as F
 from peakfold.llm.common import bytes_of, id_text, map_arrow, out_batch, slices, written
 from peakfold.llm.components import components
 
-#: Tokens of a sketch, independent trees, first and last depth, documents of a small node, comparisons
+#: Tokens of a sketch, first and last depth, documents of a small node, comparisons
 #: up to which a larger node ends, documents of a block in which these are made, and their lowest hashes
 #: by which they are compared there.
-WIDTH, TREES, DEPTH, MOST_DEPTH, SMALL, WORK, BLOCK, LOWEST = 128, 18, 3, 12, 32, 2_000_000, 256, 256
-#: Second children a node has on average: a similar pair survives a level about once then.
-EXTRA = 0.18
+WIDTH, DEPTH, MOST_DEPTH, SMALL, WORK, BLOCK, LOWEST = 128, 3, 12, 32, 2_000_000, 256, 256
+#: Second children a node has on average, as a multiple of those by which a pair at the threshold survives a
+#: level once; the chance up to which such a pair may be in no leaf of any tree, at the last depth too.
+SPARE, MISS = 1.5, 0.001
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -38,6 +41,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def extra(percent: int) -> float:
+    """Second children a node has on average; at most each node has one."""
+    return min(SPARE * (100 / percent - 1), 1.0)
+
+
+def missed(percent: int, trees: int, depth: int) -> float:
+    """The chance that a pair at the threshold is together in no node of that depth.
+
+    All trees draw from one sketch, so the chance is taken over how many of its tokens the pair shares.
+    """
+    x, second = np.arange(WIDTH + 1) / WIDTH, extra(percent)
+    gone = np.zeros(WIDTH + 1)
+    for _ in range(depth - DEPTH):
+        child = 1 - x + x * gone
+        gone = child * (1 - second + second * child)
+    shares = np.array([float(comb(WIDTH, k)) for k in range(WIDTH + 1)]) * (percent / 100) ** (x * WIDTH) * (1 - percent / 100) ** (WIDTH - x * WIDTH)
+    return float((shares * (1 - x**DEPTH * (1 - gone)) ** trees).sum())
+
+
+@functools.cache
+def trees(percent: int) -> int:
+    """Trees by which a pair at the threshold is missed with a chance of MISS at most, at any depth."""
+    return next(n for n in range(1, 1000) if missed(percent, n, MOST_DEPTH) <= MISS)
+
+
 class WordHash(dict):
     LIMIT = 200_000  # some 40 MB a worker
 
@@ -77,10 +105,15 @@ def lowest(s: np.ndarray) -> np.ndarray:
     return (s[:LOWEST] >> np.uint64(32)).astype(np.uint32)
 
 
+def spread(percent: int) -> float:
+    """The standard error of a similarity at the threshold, estimated from one hash."""
+    return float(np.sqrt(percent / 100 * (1 - percent / 100)))
+
+
 def near_enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Whether sketches let a pair reach the similarity, four standard errors allowed for."""
     low, high = np.minimum(na, nb), np.maximum(na, nb)
-    least = percent / 100 - 4 * 0.36 / np.sqrt(WIDTH * -np.expm1(-low / WIDTH))  # bins that are not empty
+    least = percent / 100 - 4 * spread(percent) / np.sqrt(WIDTH * -np.expm1(-low / WIDTH))  # bins that are not empty
     return (100 * low >= percent * high) & ((a == b).mean(axis=-1) >= least)
 
 
@@ -95,9 +128,10 @@ def _ints(column) -> np.ndarray:
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _first_nodes(reps: DataFrame) -> DataFrame:
+def _first_nodes(reps: DataFrame, percent: int) -> DataFrame:
     """(node, id) for each tree, at the first depth: the root and the levels above would hold too much of a corpus."""
     schema = pa.schema([("node", pa.int64()), ("id", pa.int64())])
+    n = trees(percent)
 
     def run(batches):
         for batch in batches:
@@ -105,19 +139,20 @@ def _first_nodes(reps: DataFrame) -> DataFrame:
                 continue
             s, ids, rows = _sketches(batch.column("sketch")), _ints(batch.column("id")), np.arange(batch.num_rows)
             nodes = []
-            for tree in range(TREES):
+            for tree in range(n):
                 node = mix(np.full(len(ids), tree + 1, np.uint64))
                 for _ in range(DEPTH):
                     node = mix(node ^ s[rows, (mix(node) % np.uint64(WIDTH)).astype(np.int64)])
                 nodes.append(node.view(np.int64))
-            yield out_batch(schema, np.concatenate(nodes), np.tile(ids, TREES))
+            yield out_batch(schema, np.concatenate(nodes), np.tile(ids, n))
 
     return map_arrow(reps.select("id", "sketch"), run, "node long, id long")
 
 
-def _children(rows: DataFrame) -> DataFrame:
+def _children(rows: DataFrame, percent: int) -> DataFrame:
     """rows: node, id, sketch. The node alone chooses the tokens, so similar documents stay together."""
     schema = pa.schema([("node", pa.int64()), ("id", pa.int64())])
+    second = np.uint64(min(int(extra(percent) * 2**64), 2**64 - 1))
 
     def run(batches):
         for batch in batches:
@@ -125,7 +160,7 @@ def _children(rows: DataFrame) -> DataFrame:
                 continue
             s, ids, rows, node = _sketches(batch.column("sketch")), _ints(batch.column("id")), np.arange(batch.num_rows), _ints(batch.column("node")).view(np.uint64)
             pick = lambda salt: s[rows, (mix(node ^ np.uint64(salt)) % np.uint64(WIDTH)).astype(np.int64)]
-            more = mix(node ^ np.uint64(5)) < np.uint64(int(EXTRA * 2**64))
+            more = mix(node ^ np.uint64(5)) < second
             yield out_batch(schema, np.concatenate([mix(node ^ pick(1)), mix(node + _A ^ pick(2))[more]]).view(np.int64), np.concatenate([ids, ids[more]]))
 
     return map_arrow(rows.select("node", "id", "sketch"), run, "node long, id long")
@@ -218,7 +253,7 @@ def _near_in_blocks(l, r, percent: int):
     in_r = np.stack([np.searchsorted(x, np.minimum(ends[0], ends[1][j]), "right") for j, x in enumerate(low[1])]).T
     union = in_l + in_r - both
     estimate = both / union
-    spare = np.where(whole[0][:, None] & whole[1][None, :], 1.5 / union, 4 * 0.36 / np.sqrt(union))
+    spare = np.where(whole[0][:, None] & whole[1][None, :], 1.5 / union, 4 * spread(percent) / np.sqrt(union))
     a, b = n[0][:, None], n[1][None, :]
     i, j = np.nonzero((component[0][:, None] != component[1][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (estimate >= percent / 100 - spare))
     return ids[0][i], ids[1][j]
@@ -282,7 +317,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed edges (u, v) between representatives, enough to give the components of all links."""
     spark = docs.sparkSession
-    live = written(_with_counts(_first_nodes(reps)), "nodes")
+    live = written(_with_counts(_first_nodes(reps, percent)), "nodes")
     sketches = written(reps.join(live.select("id").distinct(), "id", "left_semi"), "sketches")
     small, big = live.where(F.col("size") <= SMALL), live.where(F.col("size") > SMALL)
     pairs = written(_small_pairs(small, sketches, percent).distinct(), "pairs")
@@ -297,7 +332,7 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFra
         marked = _marked(big, edges).withColumn("ends", ends)
         found = _block_pairs(_blocks(marked.where("ends"), sets), percent)
         if depth < MOST_DEPTH:
-            live = written(_with_counts(_children(marked.where("not ends").join(sketches, "id"))), "nodes")
+            live = written(_with_counts(_children(marked.where("not ends").join(sketches, "id"), percent)), "nodes")
             found = found.union(_small_pairs(live.where(F.col("size") <= SMALL), sketches, percent))
             big = live.where(F.col("size") > SMALL)
         edges = written(edges.union(_confirmed(found, sets, percent)), "edges")

@@ -179,6 +179,37 @@ def test_estimates_of_blocks_allow_for_what_they_lack():
             assert (i, j) not in found or true > (0.8 if max(len(x), len(y)) <= neardup.LOWEST else 0.6)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_meet_at_the_last_depth(percent):
+    """Simulated trees on whole sketches, with no Spark: at most a few of 4,000 pairs meet in no node."""
+    r, n, size = np.random.default_rng(percent), neardup.trees(percent), 4000
+    share = r.random((size, neardup.WIDTH)) < percent / 100
+    met = np.zeros(size, bool)
+    for _ in range(n):
+        alive = share[:, r.integers(neardup.WIDTH, size=neardup.DEPTH)].all(axis=1).astype(int)
+        for _ in range(neardup.MOST_DEPTH - neardup.DEPTH):
+            alive = np.minimum(alive, 64)
+            second = r.binomial(alive, neardup.extra(percent))
+            alive = r.binomial(alive + second, share.mean(axis=1))
+        met |= alive > 0
+    assert (~met).sum() <= 12
+    assert neardup.missed(percent, n, neardup.MOST_DEPTH) <= neardup.MISS < neardup.missed(percent, n - 1, neardup.MOST_DEPTH)
+
+
+def test_pairs_at_80_percent_stay_together_to_the_last_depth(spark):
+    r, rows = np.random.default_rng(2), []
+    for k in range(100):  # 1,600 hashes in common, 200 of each one's own
+        x = r.permutation(np.unique(r.integers(0, 2**63, 2100).astype(np.uint64) * np.uint64(2)))
+        rows += [(2 * k, bytearray(neardup.sketch(np.sort(x[:1800])))), (2 * k + 1, bytearray(neardup.sketch(np.sort(np.append(x[:1600], x[1800:2000])))))]
+    reps = spark.createDataFrame(rows, "id long, sketch binary").cache()
+    nodes = neardup._first_nodes(reps, 80)
+    for _ in range(neardup.DEPTH, neardup.MOST_DEPTH):
+        nodes = neardup._children(nodes.join(reps, "id"), 80).localCheckpoint()
+    pair = F.floor(F.col("id") / 2)
+    met = nodes.groupBy("node", pair.alias("pair")).agg(F.countDistinct("id").alias("k")).where("k = 2").select("pair").distinct().count()
+    assert met >= 99
+
+
 def test_components_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "CONTRACT", 20)
     r = random.Random(1)
