@@ -92,11 +92,22 @@ def shingle_set(raw: bytes, words: int) -> np.ndarray:
     return np.unique(s)
 
 
+#: For each bin all bins' places in an order of its own.
+_ORDER = mix(np.arange(WIDTH * WIDTH, dtype=np.uint64)).reshape(WIDTH, WIDTH).argsort(axis=1).argsort(axis=1).astype(np.uint8)
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
-    """One-permutation minwise tokens of a set; an empty bin takes the next full one's."""
+    """One-permutation minwise tokens of a set; an empty bin takes that of the full one first in the bin's own order.
+
+    So a small set's bins are as good as independent: one more shingle takes its share of the empty bins
+    one by one, not all those before its own.
+    """
     edges = np.arange(WIDTH, dtype=np.uint64) << np.uint64(64 - WIDTH.bit_length() + 1)
     at = np.searchsorted(s, edges)
-    at[at == len(s)] = 0
+    has = np.diff(at, append=len(s)) > 0
+    if not has.all():
+        full, empty = np.flatnonzero(has), np.flatnonzero(~has)
+        at[empty] = at[full[_ORDER[np.ix_(empty, full)].argmin(axis=1)]]
     return (s[at] >> np.uint64(16)).astype(np.uint32)
 
 
@@ -128,6 +139,17 @@ def _ints(column) -> np.ndarray:
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def first_nodes(s: np.ndarray, n: int) -> list[np.ndarray]:
+    """The nodes at the first depth of each sketch (a row of s), for each of n trees."""
+    rows, out = np.arange(len(s)), []
+    for tree in range(n):
+        node = mix(np.full(len(s), tree + 1, np.uint64))
+        for _ in range(DEPTH):
+            node = mix(node ^ s[rows, (mix(node) % np.uint64(WIDTH)).astype(np.int64)])
+        out.append(node)
+    return out
+
+
 def _first_nodes(reps: DataFrame, percent: int) -> DataFrame:
     """(node, id) for each tree, at the first depth: the root and the levels above would hold too much of a corpus."""
     schema = pa.schema([("node", pa.int64()), ("id", pa.int64())])
@@ -137,14 +159,8 @@ def _first_nodes(reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, ids, rows = _sketches(batch.column("sketch")), _ints(batch.column("id")), np.arange(batch.num_rows)
-            nodes = []
-            for tree in range(n):
-                node = mix(np.full(len(ids), tree + 1, np.uint64))
-                for _ in range(DEPTH):
-                    node = mix(node ^ s[rows, (mix(node) % np.uint64(WIDTH)).astype(np.int64)])
-                nodes.append(node.view(np.int64))
-            yield out_batch(schema, np.concatenate(nodes), np.tile(ids, n))
+            nodes, ids = first_nodes(_sketches(batch.column("sketch")), n), _ints(batch.column("id"))
+            yield out_batch(schema, np.concatenate(nodes).view(np.int64), np.tile(ids, n))
 
     return map_arrow(reps.select("id", "sketch"), run, "node long, id long")
 

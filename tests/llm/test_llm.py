@@ -196,6 +196,18 @@ def test_pairs_at_the_threshold_meet_at_the_last_depth(percent):
     assert neardup.missed(percent, n, neardup.MOST_DEPTH) <= neardup.MISS < neardup.missed(percent, n - 1, neardup.MOST_DEPTH)
 
 
+@pytest.mark.parametrize(("small", "large", "percent"), [(4, 5, 80), (6, 7, 85), (8, 10, 80)])
+def test_short_texts_meet_at_the_first_depth(small, large, percent):
+    r, pairs = np.random.default_rng(1), 10_000
+    x = neardup.mix(r.integers(0, 2**63, (pairs, large)).astype(np.uint64))
+    a, b = (np.array([neardup.sketch(np.sort(y[:k])) for y in x]) for k in (small, large))
+    met = np.zeros(pairs, bool)
+    for u, v in zip(*(neardup.first_nodes(s, neardup.trees(percent)) for s in (a, b)), strict=True):
+        met |= u == v
+    assert (~met).sum() <= 3
+    assert neardup.near_enough(a, b, np.full(pairs, small), np.full(pairs, large), percent).mean() > 0.999
+
+
 def test_pairs_at_80_percent_stay_together_to_the_last_depth(spark):
     r, rows = np.random.default_rng(2), []
     for k in range(100):  # 1,600 hashes in common, 200 of each one's own
