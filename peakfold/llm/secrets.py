@@ -1,8 +1,8 @@
 """Secret scans by corpus-wide ownership frequency, with DataFrame operations only.
 
 Patterns give candidates; each value's hash is counted over distinct repositories and distinct owners.
-A value of many owners is an example that people copy; one that a single owner has, and that looks
-random, may be live. Positions are code points: the text between matches and the matches, laid end to
+A value of many owners, or in many repositories, is an example that people copy; one that a single
+owner has in few repositories, and that looks random, may be live. Positions are code points: the text between matches and the matches, laid end to
 end, give where each match begins.
 """
 
@@ -21,6 +21,8 @@ TOKEN = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "owned", "copied")
 #: A value of so many owners or more is copied widely; one of at most so many owners is their own.
 COPIED_OWNERS, OWN_OWNERS = 3, 1
+#: The same of repositories, for values within one owner, or whose owners aren't known.
+COPIED_REPOS, OWN_REPOS = 10, 3
 MARK = "<secret>"
 
 
@@ -77,15 +79,16 @@ def ownership(rows: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, owner_col: str | None = "source", repo_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, row, the base spans' counts and digest, all spans, live and copied values' counts, live spans.
 
-    "owned" spans are of values that one owner has and that look random; "copied" ones are of values
-    that several owners have. Without a repository column each document is a repository. A row without
-    text counts as empty: no spans, the digest of nothing. A null owner counts as none. Repeated rows
+    "owned" spans are of values that look random and that one owner has, in few repositories; "copied"
+    ones are of values that several owners have, or that are in many repositories. Values in between are
+    neither. Without a repository column each document is a repository. A row without text counts as
+    empty: no spans, the digest of nothing. A null owner counts as none: such values go by repositories. Repeated rows
     have the same result; other columns are not looked at; an empty table gives no rows.
     """
     rows = written(candidates(docs, owner_col, repo_col, id_col, text_col), "secrets")
     some = rows.where(F.size("candidates") > 0)
     each = some.select("doc_id", "row", F.explode("candidates").alias("c")).select("doc_id", "row", "c.*").distinct()
-    kind = F.when(F.col("owners") >= COPIED_OWNERS, KINDS.index("copied")).when((F.col("owners") <= OWN_OWNERS) & F.col("random"), KINDS.index("owned"))
+    kind = F.when((F.col("owners") >= COPIED_OWNERS) | (F.col("repos") >= COPIED_REPOS), KINDS.index("copied")).when((F.col("owners") <= OWN_OWNERS) & (F.col("repos") <= OWN_REPOS) & F.col("random"), KINDS.index("owned"))
     judged = each.join(ownership(some), "hash").withColumn("kind", kind).groupBy("doc_id", "row").agg(F.collect_set(F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))).alias("judged"))
     base = F.concat("assign", "access", "hex")
     out = rows.alias("r").join(judged.alias("j"), (F.col("r.row") == F.col("j.row")) & F.col("r.doc_id").eqNullSafe(F.col("j.doc_id")), "left")
@@ -98,7 +101,7 @@ def scan(docs: DataFrame, owner_col: str | None = "source", repo_col: str | None
 
 
 def redact(docs: DataFrame, owner_col: str | None = "source", repo_col: str | None = None) -> DataFrame:
-    """The rows with MARK in place of each secret; values that several owners have stay, being examples.
+    """The rows with MARK in place of each secret; values that several owners have, or many repositories, stay, being examples.
 
     All columns stay; n_chars, where there is one, follows the text. Only rows with a secret are joined.
     """

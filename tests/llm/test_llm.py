@@ -87,6 +87,20 @@ def test_ownership_and_redaction(spark):
     assert out[0].text == rows[0][1] and out[9].text == f"é <secret> end token={shared}" and out[9].n_chars == len(out[9].text)
 
 
+def test_ownership_by_repositories(spark):
+    wide, null, own, some = (f"{k}Zq8Lm2Xw5Rt9Vb3Nc6Yd1{k}" for k in ("Ab7", "Cd4", "Ef0", "Gh6"))
+    rows = [(k, f"see {wide} end", "hot") for k in range(12)] + [(20 + k, f"see {null} end", None) for k in range(12)]
+    rows += [(40, f"see {own} end", "hot"), (41, f"see {own} end", "hot"), (60, "see Jk2Pq8Lm2Xw5Rt9Vb3Nc6Yd1 end", None)] + [(50 + k, f"see {some} end", "hot") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_owned, r.n_copied) for r in secrets.scan(docs).collect()}
+    assert {got[k] for k in [*range(12), *range(20, 32)]} == {(0, 1)}
+    assert got[40] == got[41] == got[60] == (1, 0) and {got[50 + k] for k in range(6)} == {(0, 0)}
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert out[3] == rows[3][1] and out[23] == f"see {null} end" and out[40] == out[60] == "see <secret> end"
+    one = secrets.scan(docs.withColumn("repo", F.lit("r")), repo_col="repo")  # one repository of all documents
+    assert {r.n_owned for r in one.collect()} == {1}
+
+
 def test_pages(spark):
     model = htmltext.default_model()
     pages = htmltext.training_pages(60, seed=3)
