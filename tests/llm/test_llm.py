@@ -269,6 +269,17 @@ def test_fertility_counts(spark):
         assert x.base_failed == (len(w) < 50 or 100 * rep > 50 * len(w)) and not (x.base_failed and x.kept)
 
 
+def test_fertility_bands_reject_junk(spark):
+    plain = "Rivers carry sand and stone from high valleys to wide plains, where farmers plant early beans, repair old walls, mend nets, and wait for autumn rain. Each village keeps its own mill, and on market days people bring cheese, wool, apples, clay pots and honey down narrow roads to sell under the bridge before evening falls."
+    junk = " ".join(f"{w} |" for w in plain.split())
+    docs = spark.createDataFrame([(0, plain), (1, junk)], "doc_id long, text string")
+    got = {x.doc_id: x for x in fertility.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert not got[0].base_failed and not got[1].base_failed
+    assert got[0].kept and not got[1].kept
+    strict = {"latin": (0.0, 99.0, 1.0, 1.01)}  # more entropy than there can be
+    assert fertility.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"), strict).where("kept").count() == 0
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     texts, t = ODD * 5, Tokenizer.from_file(path)
