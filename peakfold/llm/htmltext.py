@@ -26,6 +26,8 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 #: Elements of HTML by how they lay out, and those whose text is never shown as prose.
 BLOCKS = frozenset("html head title body header footer nav main article section aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset details summary address dialog hgroup center menu search".split())
 SILENT = frozenset("script style template noscript svg math iframe object audio video canvas select textarea button option".split())
+#: Elements whose content is text up to their own end tag, with no tags or comments in it.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in ("script", "style", "textarea", "iframe")}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figcaption summary".split())
 #: A start tag that ends an open element of these kinds.
@@ -79,13 +81,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             links -= tag == "a"
             stack.pop()
 
-    for m in TAG.finditer(page):
+    while m := TAG.search(page, at):
         if skip is None:
             text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, ending = m[2].lower(), bool(m[1])
+        if tag in RAW and not ending and not m[3].rstrip().endswith("/"):
+            end = RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+            if skip is None:
+                parts.append(" ")
+            continue
         if skip is not None:
             if ending and tag == skip:
                 skip = None

@@ -353,6 +353,16 @@ def test_ordinal_thresholds_are_ordered():
     assert (np.diff(cuts) > 0).all() and (np.searchsorted(cuts, rows.dot(w)) == y).mean() > 0.8
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){x()}</script>", "<script>if(a<b){c='\"'}</SCRIPT >", "<script><!-- if(a<b) it's</script>", "<style>/* <b \" <!-- */</style>", "<textarea>a <b</textarea>", "<svg><style>a<b</style></svg>", "<template><script>a<b</script></template>", "<script>a<b</script><script>'</p>'</script>"])
+def test_raw_text_ends_at_its_own_end_tag(raw):
+    assert [t for _, t in htmltext.parse(f"<p>one</p>{raw}<p>two</p><p>three</p>")[1]] == ["one", "two", "three"]
+    assert [t for _, t in htmltext.parse(f"<p>one {raw}two</p>")[1]] == ["one two"]
+
+
+def test_raw_text_without_an_end_tag_takes_the_rest():
+    assert [t for _, t in htmltext.parse("<p>one</p><script>a<b <p>two</p>")[1]] == ["one"]
+
+
 def test_references_in_html():
     assert htmltext.parse("<p>&lt;a&gt; &eacute;&#39;</p>")[1][0][1] == html.unescape("&lt;a&gt; &eacute;&#39;")
 
