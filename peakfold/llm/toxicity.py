@@ -3,6 +3,7 @@
 A linear model over words, their beginnings and inner n-grams. Its risk needs confirmed toxic texts and
 unlabelled ones only: the negative part is the unlabelled risk less the class prior's share of the
 positives'; where that falls below zero the step goes against it, which keeps the risk non-negative.
+The prior is given, or the toxic share of labelled rows, or, where only toxic rows are labelled, estimated.
 """
 
 from __future__ import annotations
@@ -45,38 +46,66 @@ def informative(positive: Rows, unlabelled: Rows) -> np.ndarray:
     return np.flatnonzero((p > 1.5 * u) & (ratio >= LEAST_RATIO) & (np_ >= LEAST_TEXTS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, vector: WordVector, modulus: int = 5, remainder: int = 0):
+def estimated_prior(positive: Rows, unlabelled: Rows, p_half: np.ndarray, u_half: np.ndarray) -> float:
+    """The toxic share of unlabelled texts: how many score at least what half of the toxic ones do, times two.
+
+    Each half of the texts is scored by a model of the other half. Where no feature tells them apart, the least.
+    """
+    shares = []
+    for half in (0, 1):
+        p, u = positive.take(p_half != half), unlabelled.take(u_half != half)
+        held_p, held_u = positive.take(p_half == half), unlabelled.take(u_half == half)
+        if not (p.size and u.size and held_p.size and held_u.size):
+            continue
+        at = informative(p, u)
+        if not len(at):
+            continue
+        w, _ = train(p.only(at), u.only(at), 0.5)
+        zp, zu = held_p.only(at).dot(w), held_u.only(at).dot(w)
+        line = np.median(zp)
+        shares.append((zu >= line).mean() / (zp >= line).mean())
+    least = 1 / (unlabelled.size + 1)
+    return float(np.clip(np.mean(shares) if shares else least, least, 0.9))
+
+
+def fit(docs: DataFrame, labels: DataFrame, vector: WordVector, modulus: int = 5, remainder: int = 0, prior: float | None = None):
     """(indices, weights, bias), learned from rows outside the held-out fold."""
     learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("y")).where(F.col("doc_id").isNotNull() & ~is_held_out("doc_id", modulus, remainder) & F.col("y").isNotNull())
     n, toxic = learn.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
-    if not toxic or toxic == n:
-        return np.empty(0, np.int64), np.empty(0), -30.0 if not toxic else 30.0
+    if not toxic:
+        return np.empty(0, np.int64), np.empty(0), -30.0
     positives = bounded(learn.where("y = 1").select("doc_id", F.lit(1).alias("kind")).distinct(), "kind", POSITIVES, POSITIVES)
     rest = docs.select("doc_id", F.lit(0).alias("kind")).where(F.col("doc_id").isNotNull() & ~is_held_out("doc_id", modulus, remainder))
     unlabelled = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
-    keys = positives.union(unlabelled).cache()
-    rows, kinds = gather_rows(docs, keys, vector, ["kind"])
+    keys = positives.union(unlabelled).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")).cache()
+    rows, kinds = gather_rows(docs, keys, vector, ["kind", "half"])
     keys.unpersist()
     is_positive = np.array([k[0] == 1 for k in kinds], bool)
+    half = np.array([k[1] for k in kinds], np.int64)
     positive, other = rows.take(is_positive), rows.take(~is_positive)
     if not positive.size or not other.size:
         return np.empty(0, np.int64), np.empty(0), -30.0
+    if prior is None:
+        prior = toxic / n if toxic < n else estimated_prior(positive, other, half[is_positive], half[~is_positive])
     at = informative(positive, other)
     positive, other = positive.only(at), other.only(at)
-    w, bias = train(positive, other, toxic / n)
+    w, bias = train(positive, other, prior)
     return at, w, bias
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
+    prior, between 0 and 1, is the toxic share of all texts. Where it isn't given it is that of labelled
+    rows, or, if all of these are toxic, estimated from the scores of unlabelled texts.
+
     A row without text, or without any known feature, gets the score of the bias. Where no row is
     labelled toxic the score is about 0. Rows are scored on their text alone: repeated rows and null
     keys (not held out) go through; other columns are not looked at; an empty table gives no rows.
     """
     docs = id_text(docs, id_col, text_col)
     vector = WordVector(inner=4)
-    at, w, bias = fit(docs, labels, vector, modulus, remainder)
+    at, w, bias = fit(docs, labels, vector, modulus, remainder, prior)
     vector = vector.only(at)
 
     def scores(rows, batch):

@@ -334,6 +334,14 @@ def test_models_on_held_out_rows(spark):
     assert g.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.98
 
 
+def test_toxicity_of_positive_labels_only(spark):
+    d = learned(spark)
+    docs, toxic = d.select("doc_id", "text"), d.where("toxic = 1 and doc_id % 2 = 0").select("doc_id", "quality", "toxic")
+    for prior in (None, 0.2):
+        got = toxicity.score_toxicity(docs, toxic, prior=prior).join(d, "doc_id").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.sum("predicted")).first()
+        assert got[0] > 0.95 and 0 < got[1] < 180
+
+
 def test_models_on_odd_rows(spark):
     docs, none = table(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int, grade double, lang string")
     assert toxicity.score_toxicity(docs, none).where("predicted = 0").count() == len(ODD) + 2
