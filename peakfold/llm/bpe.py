@@ -8,24 +8,49 @@ exactly, lowest rank first. Both give the ids that the tokenizer's own merges gi
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import json
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from peakfold.llm.common import IdMemo, Ship, id_text, map_arrow, out_batch, slices, texts_of
+from peakfold.llm.common import IdMemo, Ship, id_text, map_arrow, out_batch, shipped_file, slices, texts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Fixed value: the published pre-tokenisation pattern of byte-level BPE.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words of more bytes are merged one at a time from a heap: steps over all words would be too many.
+LONG_WORD = 512
 #: A blank that other white space or the end follows: such texts are cut only before words.
 ODD_BLANK = regex.compile(r" (?:\s|\Z)")
 BEFORE_WORD = regex.compile(r"(?= \S)")
 
 
+@functools.cache
+def newer_letters() -> str:
+    """Ranges of a character class: letters and digits that ``regex`` knows and the tokenizers library doesn't yet.
+
+    Only code points that Python's own tables lack can be such; the library itself is asked for these.
+    """
+    from tokenizers import pre_tokenizers
+
+    found = [c for c in regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)) if unicodedata.category(c) == "Cn"]
+    out: list[list[int]] = []
+    for c, mate in ((c, "a" if regex.match(r"\p{L}", c) else "1") for c in found):
+        if len(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(mate + c)) == 1:
+            continue
+        if out and out[-1][1] == ord(c) - 1:
+            out[-1][1] += 1
+        else:
+            out.append([ord(c), ord(c)])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in vocabulary files of byte-level BPE."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,10 +99,31 @@ class Vocabulary:
             ids = out
         return ids
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """merge() of a long word: known pairs wait in a heap, by rank and place, as neighbours change."""
+        ids = [self.byte_ids[b] for b in word]
+        n, get = len(ids), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], k, m[1], ids[k], ids[k + 1]) for k in range(n - 1) if (m := get((ids[k], ids[k + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, new, a, b = heapq.heappop(heap)
+            j = after[k]
+            if j >= n or ids[k] != a or ids[j] != b:
+                continue
+            ids[k], ids[j], after[k] = new, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = k
+                if m := get((new, ids[after[j]])):
+                    heapq.heappush(heap, (m[0], k, m[1], new, ids[after[j]]))
+            if (i := before[k]) >= 0 and (m := get((ids[i], new))):
+                heapq.heappush(heap, (m[0], i, m[1], ids[i], new))
+        return [i for i in ids if i >= 0]
 
     def merge_many(self, words: list[bytes]) -> list[list[int]]:
         """merge() of many words at once: each step joins, in every word left, its pair of the lowest rank."""
-        out: list = [[] for _ in words]
+        out: list = [self.merge_long(w) if len(w) > LONG_WORD else [] for w in words]
+        words = [w if len(w) <= LONG_WORD else b"" for w in words]
         raw = np.frombuffer(b"".join(words), np.uint8)
         if not len(raw):
             return out
@@ -227,14 +273,17 @@ class Lexicon:
 class Encoder:
     """Encodes texts with a lexicon and exact merges, and decodes ids."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, newer: str | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        newer = newer_letters() if newer is None else newer
+        self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.exact = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{newer}]]+| ?[\p{{N}}--[{newer}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{newer}]]+|\s+(?!\S)|\s+") if newer else WORDS
         self.memo = IdMemo(self._encode_pieces)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True)))) if vocabulary.added else None
 
     def _encode_pieces(self, pieces: list) -> list[list[int]]:
         """A piece is text after a blank, or a 1-tuple of text to be taken as it stands."""
-        words_of = [WORDS.findall(" " + p if isinstance(p, str) else p[0]) for p in pieces]
+        words_of = [self._words(" " + p if isinstance(p, str) else p[0]) for p in pieces]
         words: dict[str, int] = {}
         for ws in words_of:
             for w in ws:
@@ -245,6 +294,9 @@ class Encoder:
         found = [ids[starts[r] : starts[r + 1]].tolist() if r >= 0 else next(merged) for r in ranks.tolist()]
         return [found[words[ws[0]]] if len(ws) == 1 else [i for w in ws for i in found[words[w]]] for ws in words_of]
 
+    def _words(self, text: str) -> list[str]:
+        return (WORDS if text.isascii() or self.newer is None or not self.newer.search(text) else self.exact).findall(text)
+
     @staticmethod
     def _pieces(text: str) -> list:
         if ODD_BLANK.search(text):
@@ -283,25 +335,29 @@ def vocabulary_lexicon(vocabulary: Vocabulary) -> Lexicon:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(tokenizer: str, lexicon_path: str) -> Encoder:
+def encoder(tokenizer: str, lexicon_path: str, newer: str) -> Encoder:
     """One encoder per worker, as its memo and the mapped lexicon serve all tasks."""
     key = (tokenizer, lexicon_path)
     if key not in _encoders:
-        _encoders[key] = Encoder(Vocabulary(tokenizer), Lexicon.map(lexicon_path))
+        _encoders[key] = Encoder(Vocabulary(tokenizer), Lexicon.map(lexicon_path), newer)
     return _encoders[key]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, and the SHA-256 of its ids and of the text decoded from them.
 
-    A row without text counts as empty (no ids, the digest of nothing). Rows are independent: repeated
-    rows, null keys and an empty table go through as they are; other columns are not looked at.
+    tokenizer is a file of the driver; the executors get it along with the lexicon. A row without text
+    counts as empty (no ids, the digest of nothing). A text of any length is encoded whole: beside its own
+    ids it holds a slice, and of its pieces only the short ones are kept. Rows are independent: repeated
+    rows and null keys go through as they are, there are no ties, an empty table gives no rows; other
+    columns are not looked at.
     """
+    file, newer = shipped_file(docs.sparkSession, tokenizer, "tokenizer"), newer_letters()
     ship = Ship(docs.sparkSession, vocabulary_lexicon(Vocabulary(tokenizer)).dump(), "bpe-lexicon")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        enc = encoder(tokenizer, ship.path())
+        enc = encoder(file.path(), ship.path(), newer)
         for batch in slices(batches):
             ids = enc.encode(texts_of(batch))
             yield out_batch(schema, batch.column("doc_id"), [len(i) for i in ids], [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], [hashlib.sha256(enc.decode(i).encode()).hexdigest() for i in ids])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,20 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow with batches of bounded size; Spark reads that bound from the session when the plan runs, so it stays set."""
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
+def shipped_file(spark: SparkSession, path: str, stem: str) -> Ship:
+    """A file that the driver has, such as a tokenizer's, for the executors."""
+    with open(path, "rb") as f:
+        return Ship(spark, f.read(), stem)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
     """Batches cut so that the texts of each have about limit bytes at most (one text may have more)."""
     for batch in batches:
@@ -86,43 +95,97 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.nda
 
 
 class IdMemo:
-    """Ids of text pieces, computed once per distinct piece and kept up to ``limit`` pieces.
+    """Ids of text pieces, computed once per distinct piece; short pieces are kept for later calls.
 
-    ``encode_many(pieces)`` returns a list of id sequences. When the limit is reached all is dropped
-    and collected anew, so memory is bounded and results don't change.
+    ``encode_many(pieces)`` returns a list of id sequences. A piece of more than LONGEST characters is
+    dropped when its call ends, so a text without blanks leaves nothing behind; when the kept pieces and
+    ids reach MOST_BYTES all are dropped and collected anew. Results don't depend on either.
     """
 
-    def __init__(self, encode_many, limit: int = 500_000):
-        self.encode_many, self.limit = encode_many, limit
+    LONGEST, MOST_BYTES, PER_PIECE = 64, 64 << 20, 200
+
+    def __init__(self, encode_many):
+        self.encode_many = encode_many
         self.reset()
 
     def reset(self) -> None:
         self.numbers = Numbering()
-        self.flat = np.empty(0, np.uint32)
-        self.starts = np.empty(0, np.int64)
-        self.lens = np.empty(0, np.int64)
+        self._flat, self._starts, self._lens = np.empty(1 << 12, np.uint32), np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64)
+        self.pieces = self.used = self.bytes = 0
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat[: self.used]
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self._starts[: self.pieces]
+
+    @property
+    def lens(self) -> np.ndarray:
+        return self._lens[: self.pieces]
 
     def codes(self, pieces: list) -> np.ndarray:
         return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
 
+    @staticmethod
+    def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+        """The array, or one at least twice as large with the used part copied: growth costs little a piece."""
+        if used + more <= len(x):
+            return x
+        out = np.empty(max(used + more, 2 * len(x)), x.dtype)
+        out[:used] = x[:used]
+        return out
+
     def take_up(self) -> None:
         """Encodes the pieces numbered since the last call."""
         if not self.numbers.new:
             return
         ids = self.encode_many(self.numbers.new)
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lens.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat])
+        total = int(lens.sum())
+        self._flat, self._starts, self._lens = self._room(self._flat, self.used, total), self._room(self._starts, self.pieces, len(ids)), self._room(self._lens, self.pieces, len(ids))
+        self._flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
+        self._starts[self.pieces : self.pieces + len(ids)] = self.used + np.cumsum(lens) - lens
+        self._lens[self.pieces : self.pieces + len(ids)] = lens
+        self.pieces += len(ids)
+        self.used += total
         self.numbers.new = []
 
-    def ids(self, pieces_of_texts: list[list]) -> list[np.ndarray]:
-        if len(self.numbers) > self.limit:
+    def call(self, pieces_of_texts):
+        """Per text the codes of its pieces; to be followed by end() once their ids are gathered."""
+        if self.bytes > self.MOST_BYTES:
             self.reset()
+        self.mark = (self.pieces, self.used)
         codes = [self.codes(p) for p in pieces_of_texts]
+        self.fresh = list(self.numbers.new)
         self.take_up()
-        return [gather(self.flat, self.starts, self.lens, c) for c in codes]
+        return codes
+
+    def end(self) -> None:
+        """Keeps the call's new short pieces only."""
+        pieces, used = self.mark
+        size = lambda p: len(p) if isinstance(p, (str, bytes)) else len(p[0])
+        short = [k for k, p in enumerate(self.fresh) if size(p) <= self.LONGEST]
+        if len(short) < len(self.fresh):
+            at, lens = self._starts[pieces : self.pieces].copy(), self._lens[pieces : self.pieces].copy()
+            for p in self.fresh:
+                del self.numbers[p]
+            for k in short:
+                self.numbers[self.fresh[k]] = len(self.numbers)
+            lens, flat = lens[short], gather(self._flat, at, lens, np.array(short, np.int64))
+            self.pieces, self.used = pieces + len(short), used + len(flat)
+            self._flat = np.concatenate([self._flat[:used], flat])
+            self._starts[pieces : self.pieces], self._lens[pieces : self.pieces] = used + np.cumsum(lens) - lens, lens
+            self.fresh = [self.fresh[k] for k in short]
+        self.bytes += self.PER_PIECE * len(self.fresh) + 4 * (self.used - used)
+        self.fresh = []
+
+    def ids(self, pieces_of_texts: list[list]) -> list[np.ndarray]:
+        codes = self.call(pieces_of_texts)
+        out = [gather(self.flat, self.starts, self.lens, c) for c in codes]
+        self.end()
+        return out
 
 
 class Ship:
@@ -147,15 +210,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
-def written(df: DataFrame, stem: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage and outlives executors."""
-    import uuid
+#: The tables that scratch() will remove, innermost last.
+_scratch: list[list[str]] = []
 
+
+def written(df: DataFrame, stem: str, keep: bool = False) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: cuts lineage and outlives executors.
+
+    Within scratch() the table goes when that ends, unless it is to be kept, as the result reads it.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end the tables that were written within it and aren't kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with a mark added while a column of the frame has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_held_out(col: str, modulus: int, remainder: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(modulus)) == remainder

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from peakfold.llm.common import IdMemo, bytes_of, gather, id_text, map_arrow, out_batch, slices
+from peakfold.llm.common import IdMemo, bytes_of, gather, id_text, map_arrow, out_batch, shipped_file, slices
 from peakfold.llm.neardup import mix
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
@@ -66,12 +66,10 @@ class Fertility:
     def measure(self, raws: list[bytes]):
         """Per text its words' codes and their tokens; a word is taken as the vocabulary takes it between blanks."""
         memo = self.memo
-        if len(memo.numbers) > memo.limit:
-            memo.reset()
-        codes = [memo.codes(raw.split()) for raw in raws]
-        memo.take_up()
+        codes = memo.call([raw.split() for raw in raws])
         for raw, c in zip(raws, codes, strict=True):
             yield raw, c, gather(memo.flat, memo.starts, memo.lens, c)
+        memo.end()
 
 
 def row(raw: bytes, codes: np.ndarray, tokens: np.ndarray, is_byte: np.ndarray, bands: dict) -> tuple:
@@ -97,18 +95,20 @@ _models: dict[str, Fertility] = {}
 def quality_rules(docs: DataFrame, model: str, bands: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row the counts, the base verdict, fertility figures and whether the text is kept.
 
-    A row without text, or without words, counts as 0 words: base_failed, not kept, figures 0. Rows are
-    independent: repeated rows, null keys and an empty table go through as they are; other columns are
-    not looked at. A script without a band of its own has that of "other".
+    model is a file of the driver; the executors get it. A row without text, or without words, counts as
+    0 words: base_failed, not kept, figures 0. A text of any length is measured whole; words of more than
+    IdMemo.LONGEST bytes aren't kept in memory. Rows are independent: repeated rows and null keys go
+    through as they are, an empty table gives no rows; other columns are not looked at. Of scripts with
+    equally many letters the first of LEADS counts. A script without a band of its own has that of "other".
     """
-    bands = BANDS | (bands or {})
+    bands, file = BANDS | (bands or {}), shipped_file(docs.sparkSession, model, "pieces")
     kinds = [pa.int64()] * 6 + [pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     schema = pa.schema([(f.split(" ")[0], k) for f, k in zip(SCHEMA.split(", "), kinds, strict=True)])
 
     def run(batches):
-        if model not in _models:
-            _models[model] = Fertility(model)
-        f = _models[model]
+        if (at := file.path()) not in _models:
+            _models[at] = Fertility(at)
+        f = _models[at]
         for batch in slices(batches):
             rows = [row(raw, c, t, f.is_byte, bands) for raw, c, t in f.measure(bytes_of(batch))]
             yield out_batch(schema, batch.column("doc_id"), *map(list, zip(*rows, strict=True)))
