@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakfold.llm.common import IdMemo, bytes_of, map_arrow, out_batch, slices, texts_of
+from peakfold.llm.common import IdMemo, bytes_of, free_name, map_arrow, out_batch, slices, texts_of, written
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -39,6 +39,8 @@ def counts(index: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class CharVector:
     """Character n-grams of a text as (indices, log counts)."""
 
+    ones = False
+
     def __init__(self, orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, lower: bool = False):
         self.orders, self.bits, self.lower, self.width = orders, bits, lower, 1 << bits
 
@@ -53,6 +55,7 @@ class CharVector:
 class WordVector:
     """Distinct words of a text, their beginnings and inner n-grams, as (indices, ones)."""
 
+    ones = True  # all values are 1
     EDGE = b".,!?;:\"'()[]{}#*$%&|<>-_"
 
     def __init__(self, bits: int = 18, starts: tuple[int, ...] = (4, 5, 6), inner: int = 0):
@@ -143,43 +146,107 @@ def sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x)))
 
 
-def bounded(rows: DataFrame, by: str, per: int, total: int) -> DataFrame:
-    """At most ``per`` keys for each value of ``by`` and ``total`` in all, in the order of the keys' hash.
+#: Features of a sample that come to the driver, some 12 bytes each there.
+MOST_FEATURES = 4_000_000
+#: Rows that a threshold lets through on average, as a multiple of those wanted: fewer than wanted is out of the question.
+SPARE = 4
+
+
+def bounded(rows: DataFrame, by: str, per: int, total: int, most: int = 200) -> DataFrame:
+    """At most ``per`` keys for each value of ``by`` and ``total`` in all: those whose hash is lowest.
 
-    rows has doc_id and ``by``. Spark limits each value's rows before they are shuffled.
+    rows has doc_id and ``by``; nulls of either and repeats don't count. Of more than ``most`` values the
+    most frequent are taken, of equals the lesser. A threshold on the hash, set from how many keys a value
+    has, cuts its rows before they are shuffled, so a frequent value is as little work as a rare one.
     """
-    order = F.xxhash64("doc_id")
-    first = rows.where(F.col("doc_id").isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order, "doc_id"))).where(F.col("_n") <= per)
+    rows = rows.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
+    sizes = rows.groupBy(by).agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), by).limit(most).collect()
+    if not sizes:
+        return rows.limit(0)
+    top = 2**63 - 1
+    cuts = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], top if r.n <= SPARE * per else top // r.n * SPARE * per)))
+    at = F.xxhash64("doc_id").bitwiseAND(F.lit(top))
+    few = rows.where(at <= F.element_at(cuts, F.col(by))).distinct()
+    first = few.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(at, "doc_id"))).where(F.col("_n") <= per)
     return first.orderBy("_n", by, "doc_id").limit(total).drop("_n")
 
 
-def gather_rows(docs: DataFrame, keys: DataFrame, vector, columns: list[str]):
-    """(sparse rows, their values of ``columns``) of the documents that a bounded table of keys names.
+def sample_texts(docs: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, the columns and the text of the documents that a bounded table of keys names, as a table.
+
+    keys is bounded by its maker, so it is broadcast. Of several texts with one doc_id the least counts,
+    found in each task before the shuffle.
+    """
+    met = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")
+    return written(met.groupBy("doc_id", *columns).agg(F.min("text").alias("text")), "sample")
+
+
+def feature_counts(sample: DataFrame, vector, by: list[str]) -> DataFrame:
+    """(at, by, n): how many texts of each group have the feature; at -1 counts all texts."""
+    schema = pa.schema([("at", pa.int32()), *((c, pa.int32()) for c in by), ("n", pa.int64())])
+
+    def run(batches):
+        found: dict[tuple, np.ndarray] = {}
+        for batch in slices(batches):
+            for key, (at, _) in zip(zip(*(batch.column(c).to_pylist() for c in by), strict=True), vector.rows(batch), strict=True):
+                n = found.setdefault(key, np.zeros(vector.width + 1, np.int64))
+                n[at] += 1
+                n[-1] += 1
+        for key, n in found.items():
+            at = np.flatnonzero(n)
+            yield out_batch(schema, np.where(at == vector.width, -1, at), *([k] * len(at) for k in key), n[at])
+
+    counted = map_arrow(sample.select("text", *by), run, "at int, " + ", ".join(f"{c} int" for c in by) + ", n long")
+    return counted.groupBy("at", *by).agg(F.sum("n").alias("n"))
+
+
+def gather_rows(sample: DataFrame, vector, columns: list[str], most: int = MOST_FEATURES):
+    """(sparse rows, their values of ``columns``) of a sample of texts, for the driver.
 
-    keys is bounded by its maker, so it is broadcast and the rows can come to the driver.
+    Where the rows have more than ``most`` features in all, those whose doc_id hashes lowest are taken up to that.
     """
-    picked = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "text", *columns)
+    kinds = dict(sample.dtypes)
 
     def run(batches):
         for batch in slices(batches):
             rows = vector.rows(batch)
-            names = [batch.column(c).to_pylist() for c in ("doc_id", *columns)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[1].astype(np.float32).tobytes() for r in rows], pa.binary()), *(pa.array(n, batch.schema.field(c).type) for n, c in zip(names, ("doc_id", *columns), strict=True))], names=["at", "value", "doc_id", *columns])
+            value = [b"" if vector.ones else r[1].astype(np.float32).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array(value, pa.binary()), pa.array([len(r[0]) for r in rows], pa.int64()), *(batch.column(c) for c in ("doc_id", *columns))], names=["at", "value", "n", "doc_id", *columns])
 
-    kinds = dict(picked.dtypes)
-    found = map_arrow(picked, run, "at binary, value binary, doc_id long, " + ", ".join(f"{c} {kinds[c]}" for c in columns) if columns else "at binary, value binary, doc_id long").collect()
+    table = written(map_arrow(sample, run, "at binary, value binary, n long, doc_id long" + "".join(f", {c} {kinds[c]}" for c in columns)), "features")
+    order = F.xxhash64("doc_id")
+    sizes = table.select(order.alias("h"), "n").orderBy("h").collect()  # as many rows as the sample's bound
+    fits = np.searchsorted(np.cumsum([r.n for r in sizes]), most, "right")
+    if fits < len(sizes):
+        table = table.where(order < sizes[fits].h)
+    found = table.collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.at)))
-    rows = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in found]
-    return Rows(rows, vector.width), [tuple(r[c] for c in columns) for r in found]
+    at = [np.frombuffer(r.at, np.int32) for r in found]
+    rows = Rows([(x, np.ones(len(x), np.float32) if vector.ones else np.frombuffer(r.value, np.float32)) for x, r in zip(at, found, strict=True)], vector.width)
+    return rows, [tuple(r[c] for c in columns) for r in found]
+
+
+_KINDS = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
 
 
 def score_rows(docs: DataFrame, vector, scores, columns: dict[str, str]) -> DataFrame:
     """Per row doc_id and what scores(sparse rows of a slice, the slice) returns, one list for each column."""
-    kinds = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
-    schema = pa.schema([("doc_id", pa.int64()), *((c, kinds[k]) for c, k in columns.items())])
+    schema = pa.schema([("doc_id", pa.int64()), *((c, _KINDS[k]) for c, k in columns.items())])
 
     def run(batches):
         for batch in slices(batches):
             yield out_batch(schema, batch.column("doc_id"), *scores(Rows(vector.rows(batch), vector.width), batch))
 
     return map_arrow(docs, run, "doc_id long, " + ", ".join(f"{c} {k}" for c, k in columns.items()))
+
+
+def select_rows(docs: DataFrame, vector, keep, text_col: str = "text") -> DataFrame:
+    """The rows of which keep(sparse rows of a slice) is true, with all their columns; no shuffle."""
+    text = free_name(docs, "_text")
+
+    def run(batches):
+        for batch in slices(batches, text):
+            rows = Rows(vector.rows(pa.RecordBatch.from_arrays([batch.column(text)], names=["text"])), vector.width)
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep(rows), pa.bool_()))
+
+    return map_arrow(docs.withColumn(text, F.col(text_col).cast("string")), run, docs.schema)

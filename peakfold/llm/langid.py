@@ -11,11 +11,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakfold.llm.common import id_text, is_held_out, texts_of
-from peakfold.llm.features import CharVector, Rows, bounded, gather_rows, score_rows
+from peakfold.llm.common import id_text, is_held_out, scratch, texts_of
+from peakfold.llm.features import CharVector, Rows, bounded, gather_rows, sample_texts, score_rows
 
-#: Bounds of the training sample: rows of a language, rows in all.
-PER_LANGUAGE, MOST_ROWS = 500, 4000
+#: Bounds of the training sample: rows of a language, rows in all, languages (the most frequent ones).
+PER_LANGUAGE, MOST_ROWS, LANGUAGES = 500, 4000, 100
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -81,20 +81,22 @@ def train(rows: Rows, y: np.ndarray, k: int, passes: int = 2, seed: int = 0):
     return idf, w, temperature(scores_of(rows.take(keep), w), y[keep])
 
 
-def identify(docs: DataFrame, labelled: DataFrame, modulus: int = 3, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, modulus: int = 3, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text", per: int = PER_LANGUAGE, total: int = MOST_ROWS, languages: int = LANGUAGES) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (the calibrated chance of lang_pred).
 
     labelled has doc_id and lang; rows of the held-out fold are not learned from. A text that is null or
     without any letter is "und" with score 0, as are all where no language is known. With one language
-    known, it is predicted with score 1. Repeated rows and null keys (not held out, not learned from) go
-    through; other columns are not looked at; an empty table gives no rows.
+    known, it is predicted with score 1. A text of any length is read whole. Repeated rows have equal
+    results, null keys (not held out, not learned from) go through; other columns are not looked at; an
+    empty table gives no rows. Of languages with equal chances the first by name is predicted; of ties in
+    the sample's order, which is by the key's hash, the smaller key comes first.
     """
     learn = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out("doc_id", modulus, remainder))
     docs = id_text(docs, id_col, text_col)
     vector = CharVector((1, 2, 3), 15, lower=True)
-    keys = bounded(learn.distinct(), "lang", PER_LANGUAGE, MOST_ROWS).cache()
-    rows, langs = gather_rows(docs, keys, vector, ["lang"])
-    keys.unpersist()
+    with scratch(docs.sparkSession):
+        keys = bounded(learn, "lang", per, total, languages)
+        rows, langs = gather_rows(sample_texts(docs, keys, ["lang"]), vector, ["lang"])
     names, y = np.unique(np.array([x[0] for x in langs], object).astype(str), return_inverse=True) if langs else (np.empty(0, str), np.empty(0, int))
     names = names.tolist()
     idf, w, heat = train(rows, y, len(names)) if len(names) > 1 else (None, None, 1.0)
