@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from peakfold.llm.common import map_arrow, out_batch, slices, texts_of
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+UNQUOTED = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements of HTML by how they lay out, and those whose text is never shown as prose.
 BLOCKS = frozenset("html head title body header footer nav main article section aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset details summary address dialog hgroup center menu search".split())
 SILENT = frozenset("script style template noscript svg math iframe object audio video canvas select textarea button option".split())
 #: Elements whose content is text up to their own end tag, with no tags or comments in it.
-RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in ("script", "style", "textarea", "iframe")}
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "iframe")}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figcaption summary".split())
 #: A start tag that ends an open element of these kinds.
@@ -43,6 +44,40 @@ class Node:
         self.chars = self.linked = self.words = 0
 
 
+def next_tag(page: str, at: int):
+    """(start, end, name, whether it ends an element, attributes) of the next markup; the name of a comment or
+    declaration is "". None where no more markup begins.
+
+    A tag runs to the first ">" outside of quotes; where a quote isn't closed on the page, to the first ">"
+    at all. A tag that isn't closed takes the rest of the page, as it does in browsers. Each character
+    is looked at a bounded number of times, whatever is left open.
+    """
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return start, len(page) if end < 0 else end + 3, "", False, ""
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            return start, len(page) if end < 0 else end + 1, "", False, ""
+        ending = page.startswith("/", start + 1)
+        if not (m := NAME.match(page, start + 1 + ending)):
+            at = start + 1
+            continue
+        if (close := page.find(">", m.end())) < 0:
+            return start, len(page), "", False, ""
+        k = m.end()
+        while True:
+            k = UNQUOTED.match(page, k).end()
+            if k >= len(page) or page[k] == ">":
+                break
+            if (k := page.find(page[k], k + 1) + 1) == 0:
+                k = close
+                break
+        k = k if k < len(page) else close
+        return start, k + 1, m[0].lower(), ending, page[m.end() : k]
+    return None
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
@@ -81,16 +116,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             links -= tag == "a"
             stack.pop()
 
-    while m := TAG.search(page, at):
+    while m := next_tag(page, at):
+        start, end, tag, ending, inner = m
         if skip is None:
-            text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            text(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag, ending = m[2].lower(), bool(m[1])
-        if tag in RAW and not ending and not m[3].rstrip().endswith("/"):
+        if tag in RAW and not ending and not inner.rstrip().endswith("/"):
             end = RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or len(page)
             if skip is None:
                 parts.append(" ")
             continue
@@ -111,7 +147,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
             continue
         if tag in SILENT:
-            if not m[3].rstrip().endswith("/"):
+            if not inner.rstrip().endswith("/"):
                 skip = tag
             parts.append(" ")
             continue
@@ -124,8 +160,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
             close_block()
             node = Node(tag, stack[-1][1], nodes[stack[-1][1]].depth + 1)
-            if m[3].strip():
-                a = _attributes(m[3])
+            if inner.strip():
+                a = _attributes(inner)
                 node.names = tuple(dict.fromkeys(x for c in ("class", "id", "role", "aria-label") for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a.get(c, "")).lower()) if len(x) > 1))
                 node.hidden = "hidden" in a or "display:none" in a.get("style", "").replace(" ", "") or a.get("aria-hidden") == "true"
                 node.label, node.bare = a.get("data-content") == "1", not node.names
@@ -323,8 +359,9 @@ def extract(page: str, model: Model, least: float = 0.5) -> str:
 def extract_pages(pages: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text (blocks of the article joined by line feeds), n_chars.
 
-    A row without html gives an empty text. Rows are independent: repeated rows, null keys and an empty
-    table go through as they are; other columns are not looked at. The model is of fixed size.
+    A row without html gives an empty text; a page of any length is read whole, in time about linear in
+    it. Rows are independent: repeated rows, null keys and an empty table go through as they are; a block
+    whose marginal is exactly a half is content; other columns are not looked at. The model is of fixed size.
     """
     model = model or default_model()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
