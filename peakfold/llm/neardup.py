@@ -18,10 +18,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakfold.llm.common import bytes_of, id_text, map_arrow, out_batch, slices, written
+from peakfold.llm.common import bytes_of, free_name, id_text, map_arrow, out_batch, scratch, slices, written
 from peakfold.llm.components import components
 
 #: Tokens of a sketch, first and last depth, documents of a small node, comparisons
@@ -357,27 +357,54 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFra
     return edges
 
 
+def _judged(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """rows: doc_id, text, row (a hash of the text). Per row doc_id, row, n_shingles, component_id, kept, as a table."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+
+    def run(batches):
+        for batch in slices(batches):
+            s = [shingle_set(t, words) for t in bytes_of(batch)]
+            yield out_batch(schema, batch.column("doc_id"), batch.column("row"), [len(x) for x in s], [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in s], [sketch(x).tobytes() if len(x) else None for x in s])
+
+    with scratch(rows.sparkSession):
+        sets = written(map_arrow(rows, run, "doc_id long, row long, n long, digest binary, sketch binary"), "sets")
+        classes = written(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+        parts = components(links(rows, classes.select("id", "n", "sketch"), words, percent))
+        of = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+        out = sets.select("doc_id", "row", "n", "digest").join(of, "digest", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        return written(out.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "neardup", keep=True)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id linked with it), kept.
 
     Documents are linked when 100 * intersection >= percent * union of their sets. Texts with the same
     set are one class, found by its digest; only its smallest doc_id takes part in the join. A text
     with fewer words than a shingle is one shingle; without words, or null, it has none and is linked
-    with nothing. Rows that share a doc_id count as one document. A null doc_id gets a null component
-    and is kept. Other columns are not looked at; an empty table gives an empty result.
+    with nothing. A text of any length gives its whole set. Each row is judged by its own text: rows that
+    repeat have equal results, rows that share a doc_id and differ in text may be in different components.
+    A null doc_id gets a null component and is kept; its row links nothing. Other columns are not looked
+    at; an empty table gives an empty result. The result is a table in the shared folder.
     """
-    docs = id_text(docs, id_col, text_col)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+    rows = id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
+    return _judged(rows, words, percent).drop("row")
 
-    def run(batches):
-        for batch in slices(batches):
-            s = [shingle_set(t, words) for t in bytes_of(batch)]
-            yield out_batch(schema, batch.column("doc_id"), [len(x) for x in s], [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in s], [sketch(x).tobytes() if len(x) else None for x in s])
-
-    sets = written(map_arrow(docs, run, "doc_id long, n long, digest binary, sketch binary"), "sets")
-    classes = written(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
-    parts = components(links(docs, classes.select("id", "n", "sketch"), words, percent))
-    of = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = sets.select("doc_id", "n", "digest").join(of, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+def select_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that near_duplicates() keeps, with all their columns: one of each component.
+
+    Rows that repeat both doc_id and text are one document, of which one row stays, chosen by a hash of
+    its other columns. Rows without a doc_id all stay.
+    """
+    found = _judged(id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text")), words, percent)
+    a, b, k = (free_name(docs, x) for x in ("_id", "_row", "_k"))
+    rows = docs.withColumns({a: F.col(id_col).cast("long"), b: F.xxhash64(F.col(text_col).cast("string"))})
+    gone = found.where("not kept").select(F.col("doc_id").alias(a), F.col("row").alias(b)).distinct()
+    left = rows.where(F.col(a).isNotNull()).join(gone, [a, b], "left_anti")
+    one = left.withColumn(k, F.row_number().over(Window.partitionBy(a, b).orderBy(F.xxhash64(*map(_column, docs.columns))))).where(F.col(k) == 1)
+    return one.select(*map(_column, docs.columns)).union(docs.where(F.col(id_col).cast("long").isNull()))
+
+
+def _column(name: str):
+    return F.col(f"`{name}`")
