@@ -158,8 +158,9 @@ def padded(raw: bytes, block: int = BLOCK) -> bytes:
 def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row the digests of its media file and of the payload that its sample tables lead to.
 
-    A row without text counts as empty: 64 zero bytes are stored. Rows are independent: repeated rows,
-    null keys and an empty table go through as they are; other columns are not looked at.
+    A row without text counts as empty: 64 zero bytes are stored. A text of any length is stored whole, in
+    a file of its own. Rows are independent: repeated rows, null keys and an empty table go through as they
+    are; there are no ties; other columns are not looked at.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 

@@ -8,6 +8,7 @@ stored unpadded; what is beyond goes back to the pool. So no sequence holds padd
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from peakfold.llm.common import IdMemo, id_text, map_arrow, out_batch, slices, texts_of
+from peakfold.llm.common import IdMemo, id_text, map_arrow, out_batch, shipped_file, slices, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-TOKENS, SEGMENTS, LOSS = 4096, 256, 4096
+#: Limits of a sequence: tokens, segments, and of its tokens those that bear loss.
+TOKENS, SEGMENTS, LOSS = 4096, 256, 3968
 #: Items to choose from; a task holds no more than these and the documents of a slice.
 POOL = 1024
 
@@ -48,7 +50,7 @@ class Item:
 
 
 class Packer:
-    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL):
+    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS, pool: int = POOL):
         if min(tokens, segments, loss, pool) < 1:
             raise ValueError("limits are at least 1")
         self.limits, self.size = np.array([tokens, segments, loss], np.float64), pool
@@ -169,23 +171,48 @@ def tokenizer_memo(path: str) -> IdMemo:
     return IdMemo(encode_many)
 
 
+class Bearing:
+    """Marks the ids that bear loss, by a table over the vocabulary."""
+
+    def __init__(self, bears: np.ndarray):
+        self.bears = bears
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        return self.bears[np.minimum(ids, len(self.bears) - 1)]
+
+
+def word_mask(path: str, end_id: int = 2) -> Bearing:
+    """Words and numbers bear loss; marks, lone signs and the end id, which is fixed by the format, don't."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    bears = np.zeros(max(*vocab.values(), end_id) + 1, bool)
+    bears[[i for token, i in vocab.items() if any(c.isalnum() for c in token.removesuffix(WORD_END))]] = True
+    bears[end_id] = False
+    return Bearing(bears)
+
+
 _memos: dict[str, IdMemo] = {}
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, id_col: str = "doc_id", text_col: str = "text", loss_mask=None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS, id_col: str = "doc_id", text_col: str = "text", loss_mask=None) -> DataFrame:
     """Per piece: doc_id, start, length, CRC-32 of its ids, doc_tokens, sequence_id, offset.
 
     Each task packs its own rows: no shuffle, no group that could be hot. A sequence's number is the
     task's partition and a count, the same if the task runs again. loss_mask(ids) marks loss-bearing
-    tokens of a document (default: all of them). A row without text, or without any token, is the end id
-    alone; repeated rows and null keys are documents of their own; an empty table gives no piece.
+    tokens of a document (default: all of them); a sequence has at most ``loss`` of them. tokenizer is a
+    file of the driver; the executors get it. A row without text, or without any token, is the end id
+    alone; a text of any length is packed whole, in pieces; repeated rows and null keys are documents of
+    their own; other columns are not looked at; an empty table gives no piece. Of pieces that fit equally
+    well the one longest in its place in the pool is next.
     """
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
+    file = shipped_file(docs.sparkSession, tokenizer, "tokenizer")
+
     def run(batches):
-        if tokenizer not in _memos:
-            _memos[tokenizer] = tokenizer_memo(tokenizer)
-        memo, packer, number = _memos[tokenizer], Packer(tokens, segments, loss), TaskContext.get().partitionId() << 40
+        if (path := file.path()) not in _memos:
+            _memos[path] = tokenizer_memo(path)
+        memo, packer, number = _memos[path], Packer(tokens, segments, loss), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 
         def emit(pieces):
