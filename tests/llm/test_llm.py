@@ -222,15 +222,16 @@ def test_short_texts_meet_at_the_first_depth(small, large, percent):
     assert neardup.near_enough(a, b, np.full(pairs, small), np.full(pairs, large), percent).mean() > 0.999
 
 
-def test_pairs_at_80_percent_stay_together_to_the_last_depth(spark):
+def test_pairs_at_80_percent_stay_together_to_the_last_depth(spark, tmp_path):
     r, rows = np.random.default_rng(2), []
     for k in range(100):  # 1,600 hashes in common, 200 of each one's own
         x = r.permutation(np.unique(r.integers(0, 2**63, 2100).astype(np.uint64) * np.uint64(2)))
         rows += [(2 * k, bytearray(neardup.sketch(np.sort(x[:1800])))), (2 * k + 1, bytearray(neardup.sketch(np.sort(np.append(x[:1600], x[1800:2000])))))]
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
     reps = spark.createDataFrame(rows, "id long, sketch binary").cache()
     nodes = neardup._first_nodes(reps, 80)
     for _ in range(neardup.DEPTH, neardup.MOST_DEPTH):
-        nodes = neardup._children(nodes.join(reps, "id"), 80).localCheckpoint()
+        nodes = neardup._children(nodes.join(reps, "id"), 80).checkpoint()
     pair = F.floor(F.col("id") / 2)
     met = nodes.groupBy("node", pair.alias("pair")).agg(F.countDistinct("id").alias("k")).where("k = 2").select("pair").distinct().count()
     assert met >= 99
