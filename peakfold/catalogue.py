@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from peakfold.plans import catalogs, formats, matching, operations, scalars  # noqa: F401  they register their queries
 from peakfold.plans import queries as plans
 
 

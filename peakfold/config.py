@@ -1,4 +1,4 @@
-"""Defaults that define results."""
+"""Defaults that define results: fixed values, which results depend on."""
 
 from __future__ import annotations
 
@@ -26,6 +26,28 @@ class Matching:
     part_size: int = 250
     part_divider: int = 5
     seconds_per_frame: float = 0.008
+    frequency_factor: tuple[float, float] = (0.8, 1.2)
+
+
+#: Matching of hits whose speed and pitch may differ.
+TOLERANT = Matching(time_factor=(0.8, 1.2))
+
+
+@dataclass(frozen=True)
+class Monitoring:
+    """Seconds: windows, fine windows in gaps of some lengths, clusters, refinement; acceptance."""
+
+    step: int = 30
+    overlap: int = 10
+    fine: int = 15
+    fine_overlap: int = 5
+    gap: float = 30.0
+    rescan: tuple[float, float] = (60.0, 300.0)
+    slack: float = 5.0
+    refine_from: float = 5.0
+    probe: int = 30
+    min_score: float = 20
+    min_share: float = 0.5
 
 
 @dataclass(frozen=True)

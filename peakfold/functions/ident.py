@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,25 +29,40 @@ def _mul(x: Column, k: int) -> Column:
     return _let(x, lambda v: (v * (k & 0xFFFF) + F.shiftleft((v * (k >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_M32)))
 
 
+def _finish(h: Column) -> Column:
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
+        h = _mul(_fold(h, shift), factor) if factor else _fold(h, shift)
+    return _let(h, lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("int"))
+
+
 def murmur3_32(text: Column) -> Column:
-    """Murmur3 x86 32 bits, seed 0, of a text's UTF-8 bytes, as a signed 32-bit number; not Spark's hash()."""
+    """Murmur3 x86 32 bits, seed 0, of a text's UTF-8 bytes, as a signed 32-bit number; not Spark's hash().
+
+    The factors, shifts and addends are fixed values of the published algorithm.
+    """
+    return murmur3_32_bytes(F.encode(F.coalesce(text, F.lit("")), "utf-8"))
+
+
+def murmur3_32_bytes(data: Column) -> Column:
+    """The same of bytes."""
 
     def of(hexed: Column) -> Column:
         n = F.expr("0L") + F.floor(F.length(hexed) / 2)
-        byte = lambda at: F.conv(F.substring(hexed, at * 2 + 1, F.lit(2)), 16, 10).cast("long")
-        word = lambda at, k: reduce(lambda a, b: a + b, [F.shiftleft(byte(at + j), 8 * j) for j in range(k)])
+        byte = lambda w, j: F.substring(w, 2 * j + 1, 2)
+        word = lambda w: F.conv(F.concat(*(byte(w, j) for j in (3, 2, 1, 0))), 16, 10).cast("long")
         scramble = lambda k: _mul(_rot(_mul(k, 0xCC9E2D51), 15), 0x1B873593)
-        blocks = F.floor(n / 4).cast("int")
-        step = lambda h, i: (_mul(_rot(h.bitwiseXOR(scramble(word(i * 4, 4))), 13), 5) + 0xE6546B64).bitwiseAND(F.lit(_M32))
-        h = F.aggregate(F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")), F.lit(0).cast("long"), step)
-        at, left = blocks * 4, n % 4
-        tail = F.when(left == 3, word(at, 3)).when(left == 2, word(at, 2)).when(left == 1, word(at, 1)).otherwise(F.lit(0).cast("long"))
-        h = _let(F.struct(h.alias("h"), scramble(tail).alias("k")), lambda v: v["h"].bitwiseXOR(v["k"])).bitwiseXOR(n)
-        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
-            h = _mul(_fold(h, shift), factor) if factor else _fold(h, shift)
-        return _let(h, lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("int"))
+        step = lambda h, w: (_mul(_rot(h.bitwiseXOR(scramble(word(w))), 13), 5) + 0xE6546B64).bitwiseAND(F.lit(_M32))
+        h = F.aggregate(F.regexp_extract_all(hexed, F.lit("[0-9A-F]{8}"), F.lit(0)), F.lit(0).cast("long"), step)
+        rest = F.rpad(F.substring(hexed, (n - n % 4).cast("int") * 2 + 1, F.lit(6)), 8, "0")
+        return _let(F.struct(h.alias("h"), scramble(word(rest)).alias("k"), n.alias("n")), lambda v: _finish(v["h"].bitwiseXOR(v["k"]).bitwiseXOR(v["n"])))
+
+    return _let(F.hex(data), of)
 
-    return _let(F.hex(F.encode(F.coalesce(text, F.lit("")), "utf-8")), of)
+
+def content_hash(data: Column, block: int = 8192, blocks: int = 8) -> Column:
+    """Murmur3 of some blocks from the one on that holds the middle of a file's bytes, fewer where it ends sooner."""
+    at = F.floor(F.floor(F.length(data) / 2) / block) * block
+    return murmur3_32_bytes(F.substring(data, (at + 1).cast("int"), F.lit(block * blocks)))
 
 
 def file_name(path: Column) -> Column:
@@ -112,5 +128,119 @@ def morton(x: Column, y: Column) -> Column:
     return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
 
 
+def unmorton(z: Column) -> Column:
+    """(x, y) whose bits a number interleaves."""
+
+    def gather(v: Column) -> Column:
+        v = v.bitwiseAND(F.lit(0x55555555))
+        for shift, mask in ((1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)):
+            v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    z = z.cast("long")
+    return F.struct(gather(z).alias("x"), gather(F.shiftright(z, 1)).alias("y"))
+
+
 def hamming(x: Column, y: Column) -> Column:
     return F.bit_count(x.bitwiseXOR(y))
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of the file name, "" without one."""
+    return F.regexp_extract(file_name(path), r"\.([^.]*)$", 1)
+
+
+def combined(*parts: Column) -> Column:
+    """Path parts joined by one slash each."""
+    return F.regexp_replace(F.concat_ws("/", *parts), "/{2,}", "/")
+
+
+def matches_glob(path: Column, pattern: str) -> Column:
+    """Whether a file name fits a pattern of "*", "?" and plain characters."""
+    rule = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+    return file_name(path).rlike(f"^{rule}$")
+
+
+def json_text(value: Column, key: str) -> Column:
+    """A field of a request that is a JSON text; null where it is missing or of another type."""
+    raw = F.regexp_extract(value, rf'"{key}"\s*:\s*("(?:[^"\\]|\\.)*")', 1)
+    return F.when(raw != "", F.get_json_object(value, f"$.{key}"))
+
+
+def json_number(value: Column, key: str) -> Column:
+    raw = F.regexp_extract(value, rf'"{key}"\s*:\s*(-?[0-9][0-9.eE+-]*)', 1)
+    return F.when(raw != "", raw).try_cast("double")
+
+
+def json_long(value: Column, key: str) -> Column:
+    raw = F.regexp_extract(value, rf'"{key}"\s*:\s*(-?[0-9]+)', 1)
+    return F.when(raw != "", raw).try_cast("long")
+
+
+def json_boolean(value: Column, key: str) -> Column:
+    raw = F.regexp_extract(value, rf'"{key}"\s*:\s*(true|false)', 1)
+    return F.when(raw != "", raw == "true")
+
+
+def json_longs(value: Column, key: str) -> Column:
+    """Array of a field's whole numbers; null where the field is missing or holds anything else."""
+    raw = F.regexp_extract(value, rf'"{key}"\s*:\s*\[([^\]]*)\]', 1)
+    parts = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
+    there = value.rlike(rf'"{key}"\s*:\s*\[[^\]]*\]') & raw.rlike(r"^\s*(-?[0-9]+\s*(,\s*-?[0-9]+\s*)*)?$")
+    return F.when(there, F.transform(parts, lambda x: x.cast("long")))
+
+
+def fraction(x: Column, default: float) -> Column:
+    """A share from 0 to 1, the default where it is missing; null where it is neither."""
+    return F.when(x.isNull(), F.lit(default)).when((x >= 0) & (x <= 1), x)
+
+
+def metadata_text(identifier: Column, path: Column, seconds: Column, prints: Column) -> Column:
+    """One line that describes a resource."""
+    rate = F.when(seconds > 0, prints / seconds).otherwise(F.lit(0.0))
+    return F.concat_ws(" ; ", identifier.cast("string"), path, F.concat(F.format_string("%.3f", F.round(seconds, 3)), F.lit(" (s)")), F.concat(prints.cast("string"), F.lit(" (#)")), F.concat(F.format_string("%.3f", F.round(rate, 3)), F.lit(" (#/s)")))
+
+
+def parsed_metadata(line: Column) -> Column:
+    """(duration, prints) of such a line; null where it has fewer parts or no numbers."""
+    part = lambda k, keep: F.regexp_replace(F.get(F.split(line, ";"), F.lit(k)), f"[^{keep}]", "")
+    duration, prints = part(2, "0-9.").try_cast("double"), part(3, "0-9").try_cast("long")
+    return F.when(duration.isNotNull() & prints.isNotNull(), F.struct(duration.alias("duration"), prints.alias("prints")))
+
+
+#: Seconds of each unit of time.
+UNITS = {"nanoseconds": 1e-9, "microseconds": 1e-6, "milliseconds": 1e-3, "seconds": 1.0, "minutes": 60.0, "hours": 3600.0, "days": 86400.0}
+
+
+def convert_time(x: Column, source: str, target: str) -> Column:
+    return x * (UNITS[source] / UNITS[target])
+
+
+def one_decimal(x: Column) -> Column:
+    """Rounded half up, as text."""
+    return F.format_string("%.1f", F.round(x.cast("decimal(38,12)"), 1).cast("double"))
+
+
+def percent(x: Column) -> Column:
+    return one_decimal(x * 100)
+
+
+def elapsed(seconds: Column) -> Column:
+    """A span in the largest unit that it fills: h, m, s, ms."""
+    fit = lambda unit, per: F.concat(F.format_string("%.1f", F.round(seconds / per, 1)), F.lit(unit))
+    return F.when(seconds >= 3600, fit(" h", 3600.0)).when(seconds >= 60, fit(" m", 60.0)).when(seconds >= 1, fit(" s", 1.0)).otherwise(fit(" ms", 0.001))
+
+
+def causes(messages: Column, most: int = 5, length: int = 500) -> Column:
+    """An error's chain of messages as one text, the first few of bounded length."""
+    return F.array_join(F.transform(F.slice(messages, 1, most), lambda m: F.substring(m, 1, length)), "; caused by: ")
+
+
+def query_name(path: Column) -> Column:
+    """(name, start, stop, change, factor) from a file name <name>_<start>s-<stop>s[___<change>[_<factor>]].<kind>."""
+    name = file_name(path)
+    rule = r"^(.*)_([0-9]*)s-([0-9]*)s(?:___(.*?))?\.(?:mp3|gsm)"
+    at = lambda k: F.regexp_extract(name, rule, k)
+    known = r"^(speed_up|pitch_shift|time_stretched)_(.*)$"
+    change = F.when(at(4).rlike(known), F.regexp_extract(at(4), known, 1)).otherwise(at(4))
+    return F.when(name.rlike(rule), F.struct(at(1).alias("name"), at(2).try_cast("int").alias("start"), at(3).try_cast("int").alias("stop"), change.alias("change"), F.when(at(4).rlike(known), F.regexp_extract(at(4), known, 2)).otherwise(F.lit("")).alias("factor")))

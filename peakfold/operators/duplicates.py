@@ -6,27 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakfold.config import Scan
+from peakfold.session import written
+
+
+def per_hash(index: DataFrame, p: Scan = Scan()) -> DataFrame:
+    """(hash, spread) of hashes that aren't too common, which bounds what one hash can add to the self-join;
+    spread tells whether two resources have it, as others can't make a pair."""
+    each = index.groupBy("hash").agg(F.count("*").alias("n"), F.min("resource_id").alias("lo"), F.max("resource_id").alias("hi"))
+    return each.where(F.col("n") <= p.max_per_hash).select("hash", (F.col("lo") < F.col("hi")).alias("spread"))
 
 
 def eligible(index: DataFrame, p: Scan = Scan()) -> DataFrame:
-    """(hash) of hashes that aren't too common; bounds what one hash can add to the self-join."""
-    return index.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") <= p.max_per_hash).select("hash")
+    return per_hash(index, p).select("hash")
+
+
+def eligible_rows(index: DataFrame, p: Scan = Scan()) -> DataFrame:
+    """Rows of the index with eligible hashes, and spread."""
+    return index.join(per_hash(index, p), "hash")
 
 
-def shared(index: DataFrame, catalog: DataFrame, p: Scan = Scan()) -> DataFrame:
-    """Rows with eligible hashes that two resources of the catalog have at least; others can't make a pair."""
+def shared(index: DataFrame, catalog: DataFrame, p: Scan = Scan(), rows: DataFrame | None = None) -> DataFrame:
+    """Eligible rows that two resources have at least, with the catalog's durations."""
     meta = catalog.where("duration > 0").select("resource_id", "duration")
-    per = index.groupBy("hash").agg(F.count("*").alias("n"), F.min("resource_id").alias("lo"), F.max("resource_id").alias("hi")).where((F.col("n") <= p.max_per_hash) & (F.col("lo") < F.col("hi"))).select("hash")
-    return index.join(per, "hash", "left_semi").join(meta, "resource_id")
+    return (eligible_rows(index, p) if rows is None else rows).where("spread").drop("spread").join(meta, "resource_id")
 
 
 def second(t: str, p: Scan = Scan()):
     return F.floor(F.col(t) / p.frames_per_second).cast("long")
 
 
-def buckets(index: DataFrame, catalog: DataFrame, p: Scan = Scan()) -> DataFrame:
+def buckets(index: DataFrame, catalog: DataFrame, p: Scan = Scan(), rows: DataFrame | None = None) -> DataFrame:
     """(a, b, bucket, hits, seconds_a, seconds_b); raw pairs are aggregated as they are made."""
-    rows = shared(index, catalog, p)
+    rows = shared(index, catalog, p, rows)
     x = rows.select("hash", F.col("resource_id").alias("a"), F.col("t1").alias("ta"), F.col("duration").alias("da"))
     y = rows.select("hash", F.col("resource_id").alias("b"), F.col("t1").alias("tb"), F.col("duration").alias("db"))
     met = x.join(y, "hash").where((F.col("a") < F.col("b")) & (F.abs(F.col("tb") - F.col("ta")) <= p.max_offset_frames) & (F.abs(F.col("db") - F.col("da")) <= p.max_duration_difference))
@@ -34,13 +45,14 @@ def buckets(index: DataFrame, catalog: DataFrame, p: Scan = Scan()) -> DataFrame
     return met.groupBy("a", "b", bucket.alias("bucket")).agg(F.count("*").alias("hits"), F.collect_set(second("ta", p)).alias("seconds_a"), F.collect_set(second("tb", p)).alias("seconds_b")).where(F.col("hits") >= p.min_bucket_hits)
 
 
-def tracks(index: DataFrame, p: Scan = Scan()) -> DataFrame:
+def tracks(index: DataFrame, p: Scan = Scan(), rows: DataFrame | None = None) -> DataFrame:
     """(resource_id, fingerprints, seconds): how many rows, and the seconds that have an eligible one."""
-    marked = index.join(eligible(index, p).withColumn("ok", F.lit(True)), "hash", "left")
-    return marked.groupBy("resource_id").agg(F.count("*").alias("fingerprints"), F.collect_set(F.when(F.col("ok"), second("t1", p))).alias("seconds"))
+    counted = index.groupBy("resource_id").agg(F.count("*").alias("fingerprints"))
+    found = (eligible_rows(index, p) if rows is None else rows).groupBy("resource_id").agg(F.collect_set(second("t1", p)).alias("seconds"))
+    return counted.join(found, "resource_id", "left").select("resource_id", "fingerprints", F.coalesce("seconds", F.array().cast("array<bigint>")).alias("seconds"))
 
 
-def score_pairs(bucketed: DataFrame, track: DataFrame, p: Scan = Scan()) -> DataFrame:
+def score_pairs(bucketed: DataFrame, track: DataFrame, p: Scan = Scan(), least: float | None = None) -> DataFrame:
     """Pairs at their strongest bucket and its neighbours, with the coverage of each side."""
     strongest = F.first("bucket").over(Window.partitionBy("a", "b").orderBy(F.desc("hits"), "bucket"))
     near = bucketed.withColumn("peak", strongest).where(F.abs(F.col("bucket") - F.col("peak")) <= 1)
@@ -49,11 +61,58 @@ def score_pairs(bucketed: DataFrame, track: DataFrame, p: Scan = Scan()) -> Data
     cover = lambda k: F.size(F.array_intersect(f"s{k}", f"e{k}")) / F.size(f"e{k}")
     offset = (F.col("peak") * p.bucket - p.shift + p.bucket / 2) / p.frames_per_second
     out = sums.join(side("a"), "a").join(side("b"), "b").select("a", "b", offset.alias("offset_seconds"), "aligned_hits", cover("a").alias("coverage_a"), cover("b").alias("coverage_b"))
-    return out.where(F.least("coverage_a", "coverage_b") >= p.min_similarity)
+    return out.where(F.least("coverage_a", "coverage_b") >= (p.min_similarity if least is None else least))
 
 
 def scan(index: DataFrame, catalog: DataFrame, p: Scan = Scan()) -> DataFrame:
-    return score_pairs(buckets(index, catalog, p), tracks(index, p), p)
+    """All pairs of similar resources. Eligible rows and pair buckets are tables, as each is read more than once."""
+    rows = written(eligible_rows(index, p), "eligible")
+    return score_pairs(written(buckets(index, catalog, p, rows), "buckets"), tracks(index, p, rows), p)
+
+
+def verify(index: DataFrame, asked: DataFrame, p: Scan = Scan()) -> DataFrame:
+    """asked: keep, other. Their pairs as a scan scores them, from current rows and without a limit on durations.
+
+    Only the asked resources' rows take part; a hash is eligible by its rows in the whole index. A pair
+    without any aligned hit is missing.
+    """
+    wanted = asked.select("keep", "other").where("keep <> other").distinct()
+    ids = wanted.select(F.col("keep").alias("resource_id")).union(wanted.select("other")).distinct()
+    some = index.join(ids, "resource_id", "left_semi")
+    common = index.join(some.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") <= p.max_per_hash).select("hash")
+    rows = written(some.join(common, "hash", "left_semi"), "verify")
+    x = rows.select("hash", F.col("resource_id").alias("a"), F.col("t1").alias("ta"))
+    y = rows.select("hash", F.col("resource_id").alias("b"), F.col("t1").alias("tb"))
+    pairs = wanted.select(F.least("keep", "other").alias("a"), F.greatest("keep", "other").alias("b")).distinct()
+    met = x.join(pairs, "a").join(y, ["hash", "b"]).where(F.abs(F.col("tb") - F.col("ta")) <= p.max_offset_frames)
+    bucket = F.expr(f"(tb - ta + {p.shift}) div {p.bucket}")
+    found = met.groupBy("a", "b", bucket.alias("bucket")).agg(F.count("*").alias("hits"), F.collect_set(second("ta", p)).alias("seconds_a"), F.collect_set(second("tb", p)).alias("seconds_b"))
+    seconds = rows.groupBy("resource_id").agg(F.collect_set(second("t1", p)).alias("seconds"))
+    return score_pairs(written(found, "verify"), seconds, p, least=0.0)
+
+
+def from_kept_side(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked: keep, other. Each asked pair as seen from the kept resource; unknown pairs have no similarity."""
+    one = lambda keep, other, sign: pairs.select(F.col(keep).alias("keep"), F.col(other).alias("other"), F.col(f"coverage_{keep}").alias("coverage_keep"), F.col(f"coverage_{other}").alias("coverage_other"), (sign * F.col("offset_seconds")).alias("offset_seconds"), "aligned_hits")
+    both = one("a", "b", 1).unionByName(one("b", "a", -1))
+    return asked.select("keep", "other").distinct().join(both, ["keep", "other"], "left").withColumn("similarity", F.coalesce(F.least("coverage_keep", "coverage_other"), F.lit(0.0)))
+
+
+def decided(seen: DataFrame, least: float = 0.5) -> DataFrame:
+    """Adds to each pair of a kept resource whether it is verified, and whether the request may delete: only if all are."""
+    rows = seen.withColumn("verified", F.col("similarity") >= least)
+    return rows.withColumn("allowed", F.min("verified").over(Window.partitionBy("keep")))
+
+
+def listing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(component, members, size, max_similarity, pairs, place): strongest groups first, then larger ones, then by
+    their first member; each one's pairs by similarity, then ids."""
+    members = groups.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))
+    one = pairs.select("a", "b", similarity().alias("similarity")).join(groups.withColumnRenamed("id", "a"), "a")
+    key = F.struct((-F.col("similarity")).alias("k"), "a", "b", "similarity")
+    by = one.groupBy("component").agg(F.max("similarity").alias("max_similarity"), F.sort_array(F.collect_list(key)).alias("p"))
+    rows = members.join(by, "component").select("component", "members", F.size("members").cast("long").alias("size"), "max_similarity", F.transform("p", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["similarity"].alias("similarity"))).alias("pairs"))
+    return rows.orderBy(F.desc("max_similarity"), F.desc("size"), "component")
 
 
 def similarity():
@@ -78,8 +137,8 @@ def density():
 
 
 def recommend(members: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The member of each component to keep: mean similarity, density, duration, then the smaller id. Deleted ones aren't in the catalog."""
-    w = Window.partitionBy("component").orderBy(F.desc(F.round("mean_similarity", 6)), F.desc("density"), F.desc("duration"), "id")
+    """The member of each component to keep: mean similarity and density, both to two decimals, duration, then the smaller id. Deleted ones aren't in the catalog."""
+    w = Window.partitionBy("component").orderBy(F.desc(F.round("mean_similarity", 2)), F.desc("density"), F.desc("duration"), "id")
     c = catalog.select(F.col("resource_id").alias("id"), "duration", "num_fingerprints")
     return members.join(c, "id").withColumn("density", density()).withColumn("_k", F.row_number().over(w)).where("_k = 1").select("component", F.col("id").alias("keep"))
 
@@ -87,21 +146,17 @@ def recommend(members: DataFrame, catalog: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, most: int = 100) -> DataFrame:
     """(id, component): connected components, named by their smallest id.
 
-    Rounds of least labels of neighbours and of labels' labels, each written by checkpoint(); the number
-    of rounds is logarithmic in a component's diameter for the most part.
+    Rounds of least labels of neighbours and of labels' labels, each written to the shared folder; the number
+    of rounds is logarithmic in a component's diameter for the most part. Raises if ``most`` don't suffice.
     """
-    spark = pairs.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("id", "other").distinct().checkpoint()
+    edges = written(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("id", "other").distinct(), "edges")
     labels = edges.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component"))
     for _ in range(most):
         near = edges.join(labels.withColumnsRenamed({"id": "other", "component": "c"}), "other").groupBy("id").agg(F.min("c").alias("c"))
         step = labels.join(near, "id").select("id", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "old").checkpoint()
+        new = written(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "old"), "labels")
         labels = new.select("id", "component")
         if new.where("component <> old").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are not found within {most} rounds")

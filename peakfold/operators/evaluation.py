@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakfold.functions.ident import query_name, stem
+from peakfold.operators.logs import nearest_rank
+
 
 def acceptable() -> Column:
     """Of result lines: not itself, score 15, three seconds, over five hits a second, at most 0.7 of seconds empty."""
@@ -31,6 +34,16 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def latency(log: DataFrame, by: str) -> DataFrame:
     """Count, mean, largest and 95th percentile (nearest rank) of elapsed times."""
-    w = Window.partitionBy(by)
-    ranked = log.withColumns({"k": F.row_number().over(w.orderBy("elapsed")), "n": F.count("*").over(w)})
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.avg("elapsed").alias("mean"), F.max("elapsed").alias("most"), F.min(F.when(F.col("k") >= F.ceil(F.col("n") * 0.95), F.col("elapsed"))).alias("p95"))
+    rows = log.groupBy(by).agg(F.count("*").alias("n"), F.avg("elapsed").alias("mean"), F.max("elapsed").alias("most"))
+    return rows.join(nearest_rank(log, by, "elapsed", 0.95).withColumnRenamed("at_rank", "p95"), by)
+
+
+def expected(results: DataFrame) -> DataFrame:
+    """results: query, ref (file names). Adds what the query's name says it is cut from, and whether ref is that."""
+    rows = results.withColumn("e", query_name(F.col("query")))
+    return rows.withColumns({"expected": F.col("e.name"), "change": F.col("e.change"), "factor": F.col("e.factor"), "right": F.coalesce(F.col("e.name") == stem(F.col("ref")), F.lit(False))}).drop("e")
+
+
+def canonical(results: DataFrame) -> DataFrame:
+    """Results in an order that doesn't depend on how they were found."""
+    return results.orderBy(F.col("resource_id").cast("string"), "query_start", "query_stop")

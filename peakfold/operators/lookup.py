@@ -19,13 +19,20 @@ def expand(prints: DataFrame, reach: int = 2, attribution: str = "last") -> Data
     return near.groupBy("query_id", "near_hash").agg(F.max_by("original_hash", "pos").alias("original_hash"))
 
 
-def near_hits(prints: DataFrame, index: DataFrame, reach: int = 2, attribution: str = "last", avoid: DataFrame | None = None) -> DataFrame:
+def near_hits(prints: DataFrame, index: DataFrame, reach: int = 2, attribution: str = "last", avoid: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """Hits of the index (hash, resource_id, t1) with the time of the query print they belong to.
 
-    avoid: resource_id of resources that don't count. The last print with a hash gives its time.
+    avoid: resource_id of resources that don't count; targets: query_id and resource_id, the only ones that
+    do. The last print with a hash gives its time; where prints and index have f1, hits have both.
     """
     if avoid is not None:
         index = index.join(avoid, "resource_id", "left_anti")
-    times = prints.groupBy("query_id", F.col("hash").alias("original_hash")).agg(F.max_by("t1", "pos").alias("query_time"))
+    pitched = "f1" in prints.columns and "f1" in index.columns
+    times = prints.groupBy("query_id", F.col("hash").alias("original_hash")).agg(F.max_by("t1", "pos").alias("query_time"), *([F.max_by("f1", "pos").alias("query_f1")] if pitched else []))
     wanted = expand(prints, reach, attribution).join(times, ["query_id", "original_hash"])
-    return index.withColumnsRenamed({"hash": "near_hash", "t1": "match_time"}).join(wanted, "near_hash").select("query_id", "original_hash", "near_hash", "resource_id", "match_time", "query_time")
+    on = ["near_hash"]
+    if targets is not None:
+        wanted, on = wanted.join(targets.select("query_id", "resource_id"), "query_id"), ["near_hash", "resource_id"]
+    more = ["match_f1", "query_f1"] if pitched else []
+    rows = index.withColumnsRenamed({"hash": "near_hash", "t1": "match_time", "f1": "match_f1"})
+    return rows.join(wanted, on).select("query_id", "original_hash", "near_hash", "resource_id", "match_time", "query_time", *more)

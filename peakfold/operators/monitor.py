@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakfold.config import Matching, Monitoring
+from peakfold.operators import align, gates, lookup
+from peakfold.session import written
+
 
 def hops(total: str, step: int = 30, overlap: int = 10) -> Column:
     """Starts of overlapping windows while start + step < total; a shorter tail has none."""
@@ -68,6 +72,133 @@ def in_every_window(found: DataFrame, windows: int, slack: float = 2.0, key: str
     return ok.groupBy(key).agg(F.countDistinct("win").alias("n")).where(F.col("n") == windows).select(key)
 
 
+def window_prints(prints: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """prints: recording, hash, t1; windows: query_id, recording, at, frames. The windows' query prints, with
+    times from each window's start. A window is in each bucket of ``width`` frames that it meets, so the join
+    has an equality on (recording, bucket) and the bounds are a residual filter."""
+    spans = windows.withColumn("_b", F.explode(F.sequence(F.expr(f"at div {width}"), F.expr(f"(at + frames - 1) div {width}"))))
+    met = prints.withColumn("_b", F.expr(f"t1 div {width}")).join(spans, ["recording", "_b"]).where("t1 >= at and t1 < at + frames")
+    return met.select("query_id", F.col("t1").alias("pos"), "hash", (F.col("t1") - F.col("at")).alias("t1"))
+
+
+def detect(prints: DataFrame, windows: DataFrame, index: DataFrame, match: Matching, targets: DataFrame | None = None) -> DataFrame:
+    """What each window of the recordings matches, in frames of the recording: start, stop, and of the
+    resource ref_start, ref_stop."""
+    width = int(round(30 / match.seconds_per_frame))
+    found = align.align(lookup.near_hits(window_prints(prints, windows, width), index, targets=targets), match)
+    frames = lambda c: F.round(F.col(c) / match.seconds_per_frame).cast("long")
+    out = found.join(windows, "query_id")
+    return out.select("query_id", "recording", "resource_id", (frames("query_start") + F.col("at")).alias("start"), (frames("query_stop") + F.col("at")).alias("stop"), frames("ref_start").alias("ref_start"), frames("ref_stop").alias("ref_stop"), "score", "time_factor", "share")
+
+
+def coarse_windows(recordings: DataFrame, m: Monitoring, fps: float) -> DataFrame:
+    """recordings: recording, total (frames). Windows of the first pass."""
+    step, hop = int(m.step * fps), int((m.step - m.overlap) * fps)
+    at = F.when(F.col("total") > step, F.sequence(F.lit(0).cast("long"), F.expr(f"(total - {step} - 1) div {hop}")))
+    rows = recordings.select("recording", F.explode(at).alias("k")).select("recording", (F.col("k") * hop).alias("at"), F.lit(step).alias("frames"))
+    return rows.withColumn("query_id", F.concat_ws("/", "recording", "at"))
+
+
+def fine_windows(first: DataFrame, recordings: DataFrame, m: Monitoring, fps: float) -> DataFrame:
+    """Windows of the second pass, in gaps of the first one's detections; recordings without any have none."""
+    step, hop = int(m.fine * fps), int((m.fine - m.fine_overlap) * fps)
+    found = first.join(recordings, "recording").select(F.col("recording").alias("id"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"), "total")
+    open_ = gaps(found, "total").where((F.col("gap_stop") - F.col("gap_start")).between(m.rescan[0] * fps, m.rescan[1] * fps))
+    k = F.sequence(F.lit(0).cast("long"), F.floor((F.col("gap_stop") - F.col("gap_start") - step) / hop).cast("long"))
+    rows = open_.where(F.col("gap_stop") - F.col("gap_start") >= step).select(F.col("id").alias("recording"), "gap_start", F.explode(k).alias("k"))
+    out = rows.select("recording", (F.col("gap_start").cast("long") + F.col("k") * hop).alias("at"), F.lit(step).alias("frames"))
+    return out.withColumn("query_id", F.concat_ws("/", "recording", "at"))
+
+
+def merged(first: DataFrame, second: DataFrame, slack: int) -> DataFrame:
+    """Both passes' detections, of the second those that no first one of the resource contains within the slack."""
+    f = first.select("recording", "resource_id", F.col("start").alias("_a"), F.col("stop").alias("_b")).alias("f")
+    s = second.alias("s")
+    on = (F.col("f.recording") == F.col("s.recording")) & (F.col("f.resource_id") == F.col("s.resource_id")) & (F.col("s.start") >= F.col("f._a") - slack) & (F.col("s.stop") <= F.col("f._b") + slack)
+    return first.unionByName(s.join(f, on, "left_anti"))
+
+
+def occurrences(found: DataFrame, durations: DataFrame, m: Monitoring, fps: float) -> DataFrame:
+    """One row for each run of a resource's detections in a recording; durations: resource_id, duration (frames)."""
+    gap = F.when(F.col("duration") > 0, F.least(F.lit(m.gap * fps), F.col("duration") / 2)).otherwise(F.lit(m.gap * fps))
+    rows = found.join(durations, "resource_id", "left").withColumn("gap", gap)
+    w = Window.partitionBy("recording", "resource_id").orderBy("start", "stop", "ref_start", "ref_stop")
+    new = F.coalesce((F.col("start") - F.lag("stop").over(w) > F.col("gap")).cast("int"), F.lit(0))
+    marked = rows.withColumn("_n", new).withColumn("cluster", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("recording", "resource_id", "cluster").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("ref_start").alias("ref_start"), F.max("ref_stop").alias("ref_stop"), F.sum("score").alias("score"), F.count("*").alias("hits"), F.first("gap").alias("gap"), F.first("duration").alias("duration"), F.sum("share").alias("share_sum"), F.max("share").alias("best_share"), F.sum("time_factor").alias("factor_sum"))
+
+
+def probes(rows: DataFrame, m: Monitoring, fps: float) -> DataFrame:
+    """Windows that look beyond both ends of each occurrence, three for each end that may lie further out."""
+    near, back, long_ = m.refine_from * fps, 5 * fps, m.probe * fps
+    first = F.greatest(F.lit(0.0), F.col("start") - F.col("gap"))
+    begin = F.greatest(F.col("start") - F.col("ref_start"), first)
+    room = F.least(F.when(F.col("duration") > 0, F.col("duration") - F.col("ref_stop")).otherwise(F.lit(long_)), F.col("gap"))
+    end = F.col("stop") + room
+    left = [F.col("start") - long_, (F.col("start") + begin) / 2 - back, begin - back]
+    right = [F.col("stop") - back, (F.col("stop") + end) / 2 - long_ / 2, end - long_ + back]
+    at = lambda x: F.floor(F.greatest(F.lit(0.0), x)).cast("long")
+    side = lambda name, offsets, if_: F.when(if_, F.array(*(F.struct(F.lit(f"{name}{k}").alias("probe"), at(x).alias("at")) for k, x in enumerate(offsets)))).otherwise(F.array().cast("array<struct<probe:string,at:bigint>>"))
+    all_ = F.concat(side("l", left, F.col("ref_start") >= near), side("r", right, room >= near))
+    out = rows.select("recording", "resource_id", "cluster", F.explode(all_).alias("p")).select("recording", "resource_id", "cluster", "p.*", F.lit(int(long_)).alias("frames"))
+    return out.withColumn("query_id", F.concat_ws("/", "recording", "resource_id", "cluster", "probe"))
+
+
+def refined(rows: DataFrame, looked: DataFrame, seen: DataFrame) -> DataFrame:
+    """rows with both ends moved to the furthest that their probes (looked) found (seen) within the gap."""
+    met = seen.select("query_id", F.col("start").alias("s"), F.col("stop").alias("e"), F.col("ref_start").alias("rs"), F.col("ref_stop").alias("re")).join(looked.select("query_id", "recording", "resource_id", "cluster", "probe"), "query_id").join(rows.select("recording", "resource_id", "cluster", "start", "stop", "gap"), ["recording", "resource_id", "cluster"])
+    left = F.col("probe").startswith("l") & (F.col("s") < F.col("start")) & (F.col("s") >= F.greatest(F.lit(0.0), F.col("start") - F.col("gap")))
+    right = F.col("probe").startswith("r") & (F.col("e") > F.col("stop")) & (F.col("e") <= F.col("stop") + F.col("gap"))
+    best = met.groupBy("recording", "resource_id", "cluster").agg(F.min(F.when(left, F.struct("s", "probe", "rs"))).alias("l"), F.max(F.when(right, F.struct(F.col("e"), (-F.ascii(F.substring("probe", 2, 1))).alias("o"), F.col("re")))).alias("r"))
+    out = rows.join(best, ["recording", "resource_id", "cluster"], "left")
+    return out.withColumns({"start": F.coalesce("l.s", "start"), "ref_start": F.coalesce("l.rs", "ref_start"), "stop": F.coalesce("r.e", "stop"), "ref_stop": F.coalesce("r.re", "ref_stop")}).drop("l", "r")
+
+
+def monitor(prints: DataFrame, recordings: DataFrame, index: DataFrame, durations: DataFrame, match: Matching, m: Monitoring = Monitoring()) -> DataFrame:
+    """Occurrences of resources in recordings: two passes, merged, in clusters, with refined ends.
+
+    prints: recording, hash, t1; recordings: recording, total; durations: resource_id, duration; all in
+    frames. Each pass is a table, as later steps read it more than once.
+    """
+    fps = 1 / match.seconds_per_frame
+    first = written(detect(prints, coarse_windows(recordings, m, fps), index, match).drop("query_id"), "pass")
+    second = detect(prints, fine_windows(first, recordings, m, fps), index, match).drop("query_id")
+    rows = written(occurrences(merged(first, second, int(m.slack * fps)), durations, m, fps), "occurrences")
+    looked = written(probes(rows, m, fps), "probes")
+    seen = detect(prints, looked.select("query_id", "recording", "at", "frames"), index, match, looked.select("query_id", "resource_id"))
+    return refined(rows, looked, seen)
+
+
+def tracks_of(rows: DataFrame, m: Monitoring, seconds_per_frame: float) -> DataFrame:
+    """One accepted row for each recording and resource: the envelope of its occurrences, and these in order."""
+    s = seconds_per_frame
+    one = F.struct(*((F.col(c) * s).alias(c) for c in ("start", "stop", "ref_start", "ref_stop")), "score", "hits")
+    out = rows.groupBy("recording", "resource_id").agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.min("ref_start").alias("c"), F.max("ref_stop").alias("d"), F.sum("score").alias("score"), F.sum("hits").alias("hits"), F.sum("share_sum").alias("share"), F.max("best_share").alias("best_share"), F.sum("factor_sum").alias("factor"), F.sort_array(F.collect_list(one)).alias("windows"))
+    out = out.where(accepted(F.col("score"), F.col("best_share"), m.min_score, m.min_share))
+    return out.select("recording", "resource_id", (F.col("a") * s).alias("query_start"), (F.col("b") * s).alias("query_stop"), (F.col("c") * s).alias("ref_start"), (F.col("d") * s).alias("ref_stop"), "score", "hits", (F.col("share") / F.col("hits")).alias("mean_share"), "best_share", (F.col("factor") / F.col("hits")).alias("time_factor"), "windows")
+
+
+def long_windows(recordings: DataFrame, fps: float, length: int = 30) -> DataFrame:
+    """recordings: recording, total (frames). Sample windows over a whole recording and one at its very end, numbered."""
+    size, stride = int(length * fps), int((length - 1) * fps)
+    last = F.greatest(F.col("total") - size, F.lit(0))
+    at = F.concat(F.when(last > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.expr(f"(greatest(total - {size}, 0) - 1) div {stride}")), lambda k: k * stride)).otherwise(F.array().cast("array<bigint>")), F.array(last.cast("long")))
+    rows = recordings.where("total > 0").select("recording", F.posexplode(at).alias("win", "at"), F.size(at).alias("wins"))
+    return rows.withColumns({"frames": F.lit(size), "query_id": F.concat_ws("/", "recording", "at")})
+
+
+def whole_copies(prints: DataFrame, recordings: DataFrame, index: DataFrame, match: Matching, length: int = 30, slack: float = 2.0, least: float = 0.99) -> DataFrame:
+    """(recording, resource_id, score) of resources that match every sample window of a recording at one alignment."""
+    fps = 1 / match.seconds_per_frame
+    windows = written(long_windows(recordings, fps, length), "windows")
+    found = detect(prints, windows.drop("win", "wins"), index, match).join(windows.select("query_id", "win", "wins"), "query_id")
+    good = gates.quality(F.col("score"), F.col("share")) & gates.density(F.col("score"), F.lit(length)) & (F.col("share") >= least) & (F.col("stop") - F.col("start") >= int((length - 2) * fps))
+    rows = found.where(good).withColumn("shift", F.col("ref_start") - F.col("start"))
+    base = F.min(F.when(F.col("win") == 0, F.col("shift"))).over(Window.partitionBy("recording", "resource_id"))
+    ok = rows.withColumn("_b", base).where(F.abs(F.col("shift") - F.col("_b")) <= int(slack * fps))
+    return ok.groupBy("recording", "resource_id", "wins").agg(F.countDistinct("win").alias("n"), F.max(F.when(F.col("win") == F.col("wins") - 1, F.col("score"))).alias("score")).where("n = wins").select("recording", "resource_id", "score")
+
+
 def streaks(rows: DataFrame, flag: Column, key: str, order: str, least: int = 5) -> DataFrame:
     """Runs of at least so many consecutive rows with the flag."""
     w = Window.partitionBy(key).orderBy(order)

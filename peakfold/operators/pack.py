@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakfold.config import Extraction
+from peakfold.functions.ident import morton
 
 
 def _point(df: DataFrame, k: int) -> DataFrame:
@@ -56,3 +59,22 @@ def ratio_hash() -> Column:
     """Hash whose time part is the ratio of steps, so that it stands changes of speed."""
     ratio = (F.col("t2") - F.col("t1")) / (F.col("t3") - F.col("t1")) * 64
     return _layout(ratio.cast("long").bitwiseAND(F.lit(63)), F.shiftright("f1", 5))
+
+
+def robust_hash() -> Column:
+    """30 bits: logarithms of the ratios of time and frequency steps, interleaved, then order flags and coarse
+    frequencies; the last flag adds to the upper bit of the third frequency."""
+    c, whole = F.col, 1 << 9
+    time, freq = (c("t2") - c("t1")) / (c("t3") - c("t2")), F.abs((c("f2") - c("f1")) / (c("f3") - c("f2")))
+
+    def part(ratio: Column, low: float, high: float) -> Column:
+        span = math.log(high / low)
+        return F.floor((F.log(ratio) + span) / (2 * span) * whole + 0.5).cast("long")
+
+    out = morton(part(freq, 1, 126), part(time, 2, 30)).bitwiseAND(F.lit((1 << 18) - 1))
+    flags = [c("f1") > c("f2"), c("f2") > c("f3"), c("f3") > c("f1"), c("m1") > c("m2"), c("m2") > c("m3"), c("m3") > c("m1")]
+    for k, b in enumerate(flags):
+        out = out + F.shiftleft(b.cast("long"), 18 + k)
+    for k, f in enumerate(("f1", "f2", "f3")):
+        out = out + F.shiftleft(F.shiftright(c(f), 7).cast("long").bitwiseAND(F.lit(3)), 24 + 2 * k)
+    return out + F.shiftleft(((c("t2") - c("t1")) > (c("t3") - c("t2"))).cast("long"), 29)

@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakfold.config import Extraction
+from peakfold.session import shared_folder
+
 #: A "second" is ten words.
 FRAMES = 10
+#: Frames of the vectors that stand for spectra: 64 bins, with the settings' rates.
+SMALL = Extraction(size=128)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def index(spark, sf_dir) -> DataFrame:
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that is made once for an application and a folder of tables, as a catalog keeps its index and
+    the result of its last scan; read from the shared folder from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def shingles(spark, sf_dir) -> DataFrame:
     """hash, resource_id, t1: word triples of documents."""
     w = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("resource_id"), F.split(F.lower("text"), " ").alias("w")).where("size(w) >= 3")
     grams = w.select("resource_id", F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> struct(i as t1, concat_ws(' ', w[i], w[i + 1], w[i + 2]) as s))")).alias("g"))
     return grams.select(F.conv(F.substring(F.md5("g.s"), 1, 8), 16, 10).cast("long").alias("hash"), "resource_id", "g.t1")
 
 
+def index(spark, sf_dir) -> DataFrame:
+    """The stored index, in order of hash, so that a lookup's hashes can pass over most row groups."""
+    return stored(spark, sf_dir, "index", lambda: shingles(spark, sf_dir).repartitionByRange("hash").sortWithinPartitions("hash"))
+
+
 def catalog(spark, sf_dir) -> DataFrame:
     n = F.size(F.split(F.lower("text"), " "))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("resource_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), (n / 10.0).alias("duration"), F.greatest(n - 2, F.lit(0)).cast("long").alias("num_fingerprints"), F.col("lang").alias("title"))
 
 
-def prints(spark, sf_dir, below: int = 21) -> DataFrame:
-    """Query prints: those of the first documents, a stated query set."""
-    return index(spark, sf_dir).where(F.col("resource_id") < below).select(F.col("resource_id").alias("query_id"), F.col("t1").alias("pos"), "hash", "t1")
+#: Queries are the documents whose id this divides, against all.
+EVERY = 20
+
+
+def prints(spark, sf_dir) -> DataFrame:
+    """Query prints: those of the documents whose id EVERY divides, the stated query set."""
+    return index(spark, sf_dir).where(F.col("resource_id") % EVERY == 0).select(F.col("resource_id").alias("query_id"), F.col("t1").alias("pos"), "hash", "t1")
 
 
 def spectrum(spark, sf_dir) -> DataFrame:
@@ -49,7 +80,7 @@ def pitches(spark, sf_dir) -> DataFrame:
 SQL = {
     "fp": "fp AS (SELECT CAST('0x' || substr(md5(w[i] || ' ' || w[i+1] || ' ' || w[i+2]), 1, 8) AS BIGINT) AS hash, resource_id, CAST(i - 1 AS INTEGER) AS t1 FROM (SELECT doc_id AS resource_id, string_split(lower(text), ' ') AS w FROM documents) d, unnest(range(1, len(w) - 1)) AS g(i))",
     "cat": "cat AS (SELECT doc_id AS resource_id, source || '/' || doc_id || '.txt' AS path, len(string_split(lower(text), ' ')) / 10.0::DOUBLE AS duration, CAST(greatest(len(string_split(lower(text), ' ')) - 2, 0) AS BIGINT) AS num_fingerprints, lang AS title FROM documents)",
-    "qp": "qp AS (SELECT resource_id AS query_id, t1 AS pos, hash, t1 FROM fp WHERE resource_id < 21)",
+    "qp": "qp AS (SELECT resource_id AS query_id, t1 AS pos, hash, t1 FROM fp WHERE resource_id % 20 = 0)",
     "spec": "spec AS (SELECT CAST(label AS BIGINT) AS resource_id, CAST(t AS INTEGER) AS t, CAST(i - 1 AS INTEGER) AS f, CAST(embedding[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE) AS m FROM (SELECT label, embedding, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t FROM embeddings) e, unnest(range(1, len(embedding) + 1)) AS g(i))",
     "det": "det AS (SELECT user_id AS id, floor(epoch(ts)) AS start, floor(epoch(ts)) + 28800 AS stop, value AS score, value / 100 AS pct, event_id, event_type FROM events)",
     "pit": "pit AS (SELECT user_id AS resource_id, value + 55 AS hz FROM events)",
@@ -96,6 +127,30 @@ groups AS (SELECT id, min(r) AS component FROM reach GROUP BY 1),
 members AS (SELECT g.id, g.component, z.size, max(j.s) AS mx, min(j.s) AS mn, sum(j.s) / (z.size - 1) AS mean_s FROM groups g JOIN adj j ON j.id = g.id JOIN (SELECT component, count(*) AS size FROM groups GROUP BY 1) z ON z.component = g.component GROUP BY 1, 2, 3)"""
 
 
+#: Names of the steps from hits to matches, so that several such chains can stand in one statement.
+_STEPS = "near qt hits hn marked bydt m1 m2 ends lines kept agg cov aligned".split()
+_HZ = "(8.17579892 * pow(2, (1200 * log2(110 / 8.17579892) + {} * 1200 / 85) / 1200))"
+
+
+def chain(mark: str, fp: str = "fp", qp: str = "qp", target: str = "", tolerant: bool = False) -> str:
+    """The steps from query prints (qp) over an index (fp) to aligned<mark>; target: a table of query_id and resource_id."""
+    text = SQL["aligned"].split(SQL["qp"] + ",\n", 1)[1]
+    text = re.sub(r"\b(" + "|".join(_STEPS) + r")\b", rf"\g<1>{mark}", text)
+    text = re.sub(r"\bqp\b", qp, text)
+    text = re.sub(r"\bJOIN fp f\b", f"JOIN {fp} f", text)
+    if target:
+        text = text.replace("AND q.original_hash = n.original_hash)", f"AND q.original_hash = n.original_hash JOIN {target} tg ON tg.query_id = n.query_id AND tg.resource_id = f.resource_id)", 1)
+    if tolerant:
+        text = text.replace("arg_max(t1, pos) AS query_time", "arg_max(t1, pos) AS query_time, arg_max(f1, pos) AS query_f1", 1)
+        text = text.replace("q.query_time FROM", "q.query_time, f.f1 AS match_f1, q.query_f1 FROM", 1)
+        text = text.replace("max(query_time) FILTER (is_last) AS x2", "max(query_time) FILTER (is_last) AS x2, arg_min({'a': match_f1, 'b': query_f1}, rnk) FILTER (is_first) AS f", 1)
+        text = text.replace(f"m1{mark}.x1, m2{mark}.dt AS y2", f"m1{mark}.x1, m1{mark}.f, m2{mark}.dt AS y2", 1)
+        text = text.replace("1 - slope AS time_factor", f"CASE WHEN slope <> 1 THEN 1 / (1 - slope) END AS time_factor, {_HZ.format('f.a')} / {_HZ.format('f.b')} AS frequency_factor", 1)
+        text = text.replace("l.time_factor FROM", "l.time_factor, l.frequency_factor FROM", 1).replace("l.time_factor > 0.9 AND l.time_factor < 1.1", "l.time_factor > 0.8 AND l.time_factor < 1.2 AND l.frequency_factor > 0.8 AND l.frequency_factor < 1.2", 1)
+        text = text.replace("any_value(time_factor) AS time_factor", "any_value(time_factor) AS time_factor, any_value(frequency_factor) AS frequency_factor", 1).replace("score, time_factor, CASE WHEN ceil", "score, time_factor, frequency_factor, CASE WHEN ceil", 1)
+    return text
+
+
 def sql(parts: str, select: str) -> str:
     """parts: names of common tables, comma-separated; recursive ones are allowed."""
     return "WITH RECURSIVE " + ",\n".join(SQL[p] for p in parts.split(",")) + "\n" + select

@@ -46,7 +46,16 @@ def aligned(s, d) -> DataFrame:
 
 
 def scanned(s, d) -> DataFrame:
-    return duplicates.scan(ad.index(s, d), ad.catalog(s, d), SCAN)
+    """The pairs of the last scan, which is stored."""
+    return ad.stored(s, d, "pairs", lambda: duplicates.scan(ad.index(s, d), ad.catalog(s, d), SCAN))
+
+
+def grouped(s, d) -> DataFrame:
+    return ad.stored(s, d, "groups", lambda: duplicates.components(scanned(s, d)))
+
+
+def members(s, d) -> DataFrame:
+    return duplicates.member_similarity(scanned(s, d), grouped(s, d))
 
 
 def points(s, d) -> DataFrame:
@@ -62,13 +71,7 @@ def e14_latest_row(s, d):
     return store.latest(o, "id", ["day", "version"])
 
 
-@query(sql("fp", "SELECT resource_id, count(*) AS n, sum(hash)::BIGINT AS hash_sum, max(t1) AS last FROM fp GROUP BY 1"))
-def a13_print_lines(s, d):
-    back = store.from_lines(store.to_lines(ad.index(s, d)))
-    return back.groupBy("resource_id").agg(F.count("*").alias("n"), F.sum("hash").alias("hash_sum"), F.max("t1").alias("last"))
-
-
-@query(sql("fp", "SELECT f.resource_id, count(*) AS added FROM fp f WHERE f.resource_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY 1"))
+@query(sql("fp", "SELECT f.resource_id, count(*) AS added FROM fp f WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = f.resource_id AND d.lang = 'en') GROUP BY 1"))
 def a15_load_new_only(s, d):
     known = ad.catalog(s, d).where("title = 'en'").select("resource_id")
     return ad.index(s, d).join(known, "resource_id", "left_anti").groupBy("resource_id").agg(F.count("*").alias("added"))
@@ -79,24 +82,14 @@ def a26_json_fields(s, d):
     return ad.table(s, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 
-@query("SELECT doc_id AS identifier, CAST(count(*) AS BIGINT) AS prints FROM (SELECT doc_id, unnest(range(1, len(string_split(lower(text), ' ')) - 1)) AS i FROM documents WHERE doc_id < 50) WHERE i % 7 <> 0 GROUP BY 1")
+@query("SELECT doc_id AS identifier, CAST(count(*) AS BIGINT) AS prints FROM (SELECT doc_id, unnest(range(1, len(string_split(lower(text), ' ')) - 1)) AS i FROM documents) WHERE i % 7 <> 0 GROUP BY 1")
 def a25_json_ingest(s, d):
-    p = ad.index(s, d).where("resource_id < 50")
+    p = ad.index(s, d)
     entry = F.struct(F.when((c("t1") + 1) % 7 == 0, F.lit(-1).cast("long")).otherwise(c("hash")).alias("hash"), "t1")
     requests = p.groupBy("resource_id").agg(F.to_json(F.struct(F.first("resource_id").alias("identifier"), F.collect_list(entry).alias("fingerprints"))).alias("value"))
     return store.from_json(requests).groupBy("identifier").agg(F.count("*").alias("prints"))
 
 
-@query(sql("aligned", "SELECT query_id || ' ; ' || resource_id || ' ; ' || score || ' ; ' || printf('%.3f', round(time_factor, 3)) AS line FROM aligned"))
-def a28_result_lines(s, d):
-    return aligned(s, d).select(F.concat_ws(" ; ", "query_id", "resource_id", "score", F.format_string("%.3f", F.round("time_factor", 3))).alias("line"))
-
-
-@query(sql("spec", "SELECT resource_id, t, round(sum(m) FILTER (f = 0), 6) AS bin_0, round(sum(m) FILTER (f = 1), 6) AS bin_1, round(sum(m) FILTER (f = 2), 6) AS bin_2 FROM spec GROUP BY 1, 2"))
-def a29_dense_spectrum(s, d):
-    return ad.spectrum(s, d).groupBy("resource_id", "t").agg(*(r6(F.sum(F.when(c("f") == k, c("m")))).alias(f"bin_{k}") for k in range(3)))
-
-
 @query(sql("aligned", "SELECT query_id, count(*) AS matches, max(score) AS best FROM aligned GROUP BY 1"))
 def a30_result_json(s, d):
     """Rendered as JSON and read again."""
@@ -127,7 +120,7 @@ def b02_ratio_hash(s, d):
     return pack.triples(points(s, d)).select("resource_id", "t1", "f1", "t2", "f2", "t3", "f3", pack.ratio_hash().alias("hash"))
 
 
-@query(sql("spec", "SELECT DISTINCT t, f, round(t * 0.008, 6) AS seconds, round(f * 16000 / 1024.0 + 16000 / 1024.0 / 2, 6) AS hz FROM spec"))
+@query(sql("spec", "SELECT DISTINCT t, f, round(t * 0.008::DOUBLE, 6) AS seconds, round(f * 16000 / 1024.0::DOUBLE + 16000 / 1024.0::DOUBLE / 2, 6) AS hz FROM spec"))
 def b04_bin_conversions(s, d):
     return ad.spectrum(s, d).select("t", "f", r6(c("t") * 0.008).alias("seconds"), r6(c("f") * 16000 / 1024.0 + 16000 / 1024.0 / 2).alias("hz")).distinct()
 
@@ -228,9 +221,7 @@ def b27_duplicate_label(s, d):
 
 @query(sql("groups", "SELECT component, count(*) AS n, bool_and(mn >= 0.6) AS may_delete FROM members GROUP BY 1"))
 def b28_delete_guard(s, d):
-    pairs = scanned(s, d).cache()
-    m = duplicates.member_similarity(pairs, duplicates.components(pairs))
-    return m.groupBy("component").agg(F.count("*").alias("n"), (F.min("min_similarity") >= 0.6).alias("may_delete"))
+    return members(s, d).groupBy("component").agg(F.count("*").alias("n"), (F.min("min_similarity") >= 0.6).alias("may_delete"))
 
 
 @query(sql("aligned", "SELECT query_id, resource_id FROM aligned WHERE query_id <> resource_id AND score >= 15 AND query_stop - query_start >= 3 AND score / (query_stop - query_start) > 5 AND 1 - share <= 0.7"))
@@ -252,7 +243,7 @@ def c01_near_hash_lookup(s, d):
     return hits(s, d)
 
 
-@query(sql("fp,qp", "SELECT q.query_id, f.resource_id, count(*) AS n FROM qp q, unnest(range(-2, 3)) AS g(k) JOIN fp f ON f.hash = q.hash + g.k GROUP BY 1, 2"))
+@query(sql("fp,qp", "SELECT n.query_id, f.resource_id, count(*) AS n FROM (SELECT query_id, hash + k AS h FROM qp, unnest(range(-2, 3)) AS g(k)) n JOIN fp f ON f.hash = n.h GROUP BY 1, 2"))
 def c02_near_hash_all(s, d):
     near = lookup.expand(ad.prints(s, d), attribution="all")
     return near.join(ad.index(s, d).withColumnRenamed("hash", "near_hash"), "near_hash").groupBy("query_id", "resource_id").agg(F.count("*").alias("n"))
@@ -306,13 +297,13 @@ def c12_track_details(s, d):
     return ad.catalog(s, d).join(t, "resource_id", "left").select("resource_id", "path", zero("fingerprints"), zero("eligible_seconds"))
 
 
-_PASSES = ", f AS (SELECT * FROM det WHERE event_id % 3 = 0), s AS (SELECT * FROM det WHERE event_id % 3 = 1)"
+_PASSES = ", f AS (SELECT * FROM det WHERE event_id % 2 = 0), s AS (SELECT * FROM det WHERE event_id % 2 = 1)"
 
 
 @query(sql("det", "SELECT 1").replace("\nSELECT 1", _PASSES + "\nSELECT s.event_id FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = s.id AND s.start >= f.start - 7200 AND s.stop <= f.stop + 7200)"))
 def c14_new_in_second_pass(s, d):
     det = ad.detections(s, d)
-    return monitor.uncovered(det.where("event_id % 3 = 1"), det.where("event_id % 3 = 0"), 7200).select("event_id")
+    return monitor.uncovered(det.where("event_id % 2 = 1"), det.where("event_id % 2 = 0"), 7200).select("event_id")
 
 
 @query("WITH f AS (SELECT user_id AS id, event_id % 4 AS win, min(value) AS shift FROM events GROUP BY 1, 2), b AS (SELECT *, first_value(shift) OVER (PARTITION BY id ORDER BY win) AS base FROM f) SELECT id FROM b WHERE abs(shift - base) <= 2 GROUP BY 1 HAVING count(DISTINCT win) = 4")
@@ -333,15 +324,10 @@ def d19_pitch_histogram(s, d):
     return pitch.histogram(ad.pitches(s, d))
 
 
-@query(sql("pit", "SELECT 1").replace("\nSELECT 1", ",\n" + _hist(24) + ", tot AS (SELECT resource_id, sum(n) AS t FROM hist GROUP BY 1), met AS (SELECT q.resource_id AS q, r.resource_id AS r, (q.bin - r.bin + 24) % 24 AS shift, sum(least(q.n, r.n)) AS common FROM hist q, hist r WHERE q.resource_id < 5 GROUP BY 1, 2, 3), best AS (SELECT *, row_number() OVER (PARTITION BY q, r ORDER BY common DESC, shift) AS o FROM met)\nSELECT q, r, shift, round(common / greatest(a.t, b.t), 6) AS match FROM best JOIN tot a ON a.resource_id = q JOIN tot b ON b.resource_id = r WHERE o = 1"))
+@query(sql("pit", "SELECT 1").replace("\nSELECT 1", ",\n" + _hist(1200) + ", tot AS (SELECT resource_id, sum(n) AS t FROM hist GROUP BY 1), met AS (SELECT q.resource_id AS q, r.resource_id AS r, (q.bin - r.bin + 1200) % 1200 AS shift, sum(least(q.n, r.n)) AS common FROM hist q, hist r WHERE q.resource_id % 20 = 0 GROUP BY 1, 2, 3), best AS (SELECT *, row_number() OVER (PARTITION BY q, r ORDER BY common DESC, shift) AS o FROM met)\nSELECT q, r, shift, round(common / greatest(a.t, b.t), 6) AS match FROM best JOIN tot a ON a.resource_id = q JOIN tot b ON b.resource_id = r WHERE o = 1"))
 def c16_best_pitch_shift(s, d):
-    h = pitch.histogram(ad.pitches(s, d), 24)
-    return pitch.best_shift(h.where("resource_id < 5"), h, 24).withColumn("match", r6(c("match")))
-
-
-@query(sql("pairs", "SELECT a, b FROM pairs WHERE (a = 20 AND b < 900) OR (b = 20 AND a < 900) OR a = 3 OR b = 3"))
-def c17_pairs_of_kept(s, d):
-    return scanned(s, d).where("(a = 20 and b < 900) or (b = 20 and a < 900) or a = 3 or b = 3").select("a", "b")
+    h = pitch.histogram(ad.pitches(s, d))
+    return pitch.best_shift(h.where(c("resource_id") % ad.EVERY == 0), h, 1200).withColumn("match", r6(c("match")))
 
 
 @query(sql("aligned", "SELECT query_id AS query, resource_id AS ref, count(*) OVER (PARTITION BY least(query_id, resource_id), greatest(query_id, resource_id)) >= 2 AS symmetric FROM aligned"))
@@ -400,7 +386,8 @@ def d11_tracks(s, d):
 
 @query(sql("pairs", "SELECT a, b, round(offset_seconds, 6) AS offset_seconds, aligned_hits, round(coverage_a, 6) AS coverage_a, round(coverage_b, 6) AS coverage_b FROM pairs"))
 def d13_pair_scores(s, d):
-    return scanned(s, d).withColumns({k: r6(c(k)) for k in ("offset_seconds", "coverage_a", "coverage_b")})
+    pairs = duplicates.scan(ad.index(s, d), ad.catalog(s, d), SCAN)
+    return pairs.withColumns({k: r6(c(k)) for k in ("offset_seconds", "coverage_a", "coverage_b")})
 
 
 @query(sql("fp", "SELECT count(*) AS n, min(hash) AS least, max(hash) AS most FROM fp"))
@@ -426,9 +413,7 @@ def d22_equal_content(s, d):
 
 @query(sql("groups", "SELECT id, component, size, round(mx, 6) AS max_similarity, round(mn, 6) AS min_similarity, round(mean_s, 6) AS mean_similarity FROM members"))
 def d23_group_similarity(s, d):
-    pairs = scanned(s, d).cache()
-    m = duplicates.member_similarity(pairs, duplicates.components(pairs))
-    return m.withColumns({k: r6(c(k)) for k in ("max_similarity", "min_similarity", "mean_similarity")})
+    return members(s, d).withColumns({k: r6(c(k)) for k in ("max_similarity", "min_similarity", "mean_similarity")})
 
 
 @query(sql("cat", "SELECT resource_id, CASE WHEN duration > 0 THEN round(num_fingerprints / duration, 2) ELSE 0.0 END AS density FROM cat"))
@@ -464,11 +449,6 @@ def d29_occurrences(s, d):
 # Windows, order, sets, functions ----------------------------------------------------------------------
 
 
-@query(sql("pts", "SELECT resource_id, t, f, round(vmax, 9) AS vmax FROM vm"))
-def e01_vertical_max(s, d):
-    return peaks.vertical_max(ad.spectrum(s, d), 10, 10).select("resource_id", "t", "f", F.round("vmax", 9).alias("vmax"))
-
-
 @query(sql("pts", "SELECT resource_id, t, f, round(hmax, 9) AS hmax FROM hm"))
 def e02_horizontal_max(s, d):
     w = Window.partitionBy("resource_id", "f").orderBy("t").rowsBetween(-12, 11)
@@ -486,7 +466,7 @@ def e05_first_and_last_parts(s, d):
     return align.parts(hits(s, d), MATCH).groupBy("query_id", "resource_id").agg(n("is_first").alias("first_hits"), n("is_last").alias("last_hits"), F.count("*").alias("n"))
 
 
-@query(sql("cat", "SELECT resource_id, k * 20 AS start FROM (SELECT resource_id, CAST(floor(duration) AS INTEGER) AS total FROM cat WHERE duration >= 0), unnest(range(0, 200)) AS g(k) WHERE k * 20 + 30 < total"))
+@query(sql("cat", "SELECT resource_id, k * 20 AS start FROM (SELECT resource_id, CAST(floor(duration) AS INTEGER) AS total FROM cat WHERE duration >= 0), unnest(range(0, total // 20 + 1)) AS g(k) WHERE k * 20 + 30 < total"))
 def e10_monitor_windows(s, d):
     r = ad.catalog(s, d).select("resource_id", F.floor("duration").cast("int").alias("total"))
     return r.select("resource_id", F.explode(monitor.hops("total")).alias("start")).select("resource_id", c("start").cast("long").alias("start"))
@@ -504,15 +484,13 @@ def f01_ranked_matches(s, d):
 
 @query(sql("groups", "SELECT component, max(mx) >= 0.9 AS strong, count(*) AS size FROM members GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20 OFFSET 5"))
 def f09_group_page(s, d):
-    pairs = scanned(s, d).cache()
-    m = duplicates.member_similarity(pairs, duplicates.components(pairs)).groupBy("component").agg((F.max("max_similarity") >= 0.9).alias("strong"), F.count("*").alias("size"))
+    m = members(s, d).groupBy("component").agg((F.max("max_similarity") >= 0.9).alias("strong"), F.count("*").alias("size"))
     return m.orderBy(F.desc("size"), "component").offset(5).limit(20)
 
 
-@query(sql("groups,cat", "SELECT component, id AS keep FROM (SELECT m.*, row_number() OVER (PARTITION BY component ORDER BY round(mean_s, 6) DESC, CASE WHEN duration > 0 THEN round(num_fingerprints / duration, 2) ELSE 0 END DESC, duration DESC, id) AS o FROM members m JOIN cat c ON c.resource_id = m.id) WHERE o = 1").replace(",\n" + ad.SQL["cat"] + "\nSELECT component", "\nSELECT component"))
+@query(sql("groups,cat", "SELECT component, id AS keep FROM (SELECT m.*, row_number() OVER (PARTITION BY component ORDER BY round(mean_s, 2) DESC, CASE WHEN duration > 0 THEN round(num_fingerprints / duration, 2) ELSE 0 END DESC, duration DESC, id) AS o FROM members m JOIN cat c ON c.resource_id = m.id) WHERE o = 1").replace(",\n" + ad.SQL["cat"] + "\nSELECT component", "\nSELECT component"))
 def f06_recommend_keep(s, d):
-    pairs = scanned(s, d).cache()
-    return duplicates.recommend(duplicates.member_similarity(pairs, duplicates.components(pairs)), ad.catalog(s, d))
+    return duplicates.recommend(members(s, d), ad.catalog(s, d))
 
 
 @query("SELECT event_type, user_id, count(*) AS n, 'a' AS side FROM (SELECT event_type, user_id FROM events WHERE event_id % 2 = 0 EXCEPT ALL SELECT event_type, user_id FROM events WHERE event_id % 2 = 1) GROUP BY 1, 2 UNION ALL SELECT event_type, user_id, count(*), 'b' FROM (SELECT event_type, user_id FROM events WHERE event_id % 2 = 1 EXCEPT ALL SELECT event_type, user_id FROM events WHERE event_id % 2 = 0) GROUP BY 1, 2")
@@ -534,16 +512,6 @@ def g08_first_entries(s, d):
     return first_entries(ad.table(s, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
-@query(None)
-def h01_murmur3(s, d):
-    return ad.table(s, d, "documents").select("doc_id", ident.murmur3_32(F.concat("source", F.lit("/"), c("doc_id").cast("string"))).alias("h"))
-
-
-@query(None)
-def h03_resource_ids(s, d):
-    return ad.catalog(s, d).select("path", ident.resource_id(c("path")).alias("by_number"), ident.resource_id(F.concat(c("title"), c("path"), F.lit("x.mp3"))).alias("by_hash"))
-
-
 @query("SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS file, nullif(regexp_extract(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1), '') AS url_file, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://)[^/@]*@', '\\1') AS redacted FROM pages")
 def h06_url_parts(s, d):
     return ad.table(s, d, "pages").select("page_id", ident.file_name(c("url")).alias("file"), ident.url_file_name(c("url")).alias("url_file"), ident.redacted_url(c("url")).alias("redacted"))

@@ -6,10 +6,11 @@ import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,6 +32,24 @@ def session(app: str = "peakfold", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names, or one of the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
+
+
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: it is computed once and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{stem}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _shipped: dict[str, str] = {}
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakfold.config import Scan
-from peakfold.functions import ident
+from peakfold.functions import ident  # numeric cases below are fixed values
 from peakfold.operators import align, duplicates, gates, lookup, monitor, pack, peaks
 from peakfold.sources.catalog import Catalog, from_json
 
@@ -46,7 +46,6 @@ def test_shift():
 
 
 def test_windows(spark):
-    assert one(spark, F.expr("1").cast("int")) == 1
     df = spark.createDataFrame([(30,), (31,), (91,)], "total int")
     assert [r[0] for r in df.select(monitor.hops("total")).collect()] == [[], [0], [0, 20, 40, 60]]
     got = spark.createDataFrame([(305,)], "total int").select(monitor.sample_windows("total").alias("w")).first().w
