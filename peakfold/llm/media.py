@@ -84,22 +84,103 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] =
         start += size
 
 
-def _table(data, body: int, kinds: str, count_at: int = 4) -> np.ndarray:
+def _table(data, body: int, end: int, kinds: str, count_at: int = 4) -> np.ndarray:
+    """A counted table of a box, which must hold it whole."""
     (n,) = struct.unpack_from(">I", data, body + count_at)
-    return np.frombuffer(data, np.dtype(kinds), n, body + count_at + 4)
+    kind = np.dtype(kinds)
+    if body + count_at + 4 + n * kind.itemsize > end:
+        raise ValueError("a table is longer than its box")
+    return np.frombuffer(data, kind, n, body + count_at + 4)
+
+
+def _compact_sizes(data, body: int, end: int) -> np.ndarray:
+    """Sample sizes of 4, 8 or 16 bits."""
+    bits, n = data[body + 7], struct.unpack_from(">I", data, body + 8)[0]
+    if bits not in (4, 8, 16) or body + 12 + (n * bits + 7) // 8 > end:
+        raise ValueError("compact sample sizes are wrong")
+    if bits == 4:
+        raw = np.frombuffer(data, np.uint8, (n + 1) // 2, body + 12)
+        return np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, ">u2" if bits == 16 else "u1", n, body + 12).astype(np.int64)
+
+
+#: Flags of fragment headers and runs: which fields they have.
+BASE, DESCRIPTION, LENGTH, SIZE, FLAGS = 1, 2, 8, 16, 32
+RUN_OFFSET, RUN_FIRST, RUN_LENGTH, RUN_SIZE, RUN_FLAGS, RUN_TIME = 1, 4, 0x100, 0x200, 0x400, 0x800
+NOT_SYNC = 0x10000
+
+
+def _fragments(data, fragments: list[dict], defaults: dict[int, tuple]) -> dict[int, tuple[list, list, list, int]]:
+    """Starts, sizes and sync marks of the samples of each track's fragments, and their whole length."""
+    out: dict[int, tuple[list, list, list, int]] = {}
+    for f in fragments:
+        starts, sizes, sync, length = out.get(f["track"], ([], [], [], 0))
+        size0, flags0, length0 = (x if x is not None else y for x, y in zip(f["own"], defaults.get(f["track"], (0, 0, 0)), strict=True))
+        at = f["base"]
+        for body, end in f["runs"]:
+            flags = struct.unpack_from(">I", data, body)[0] & 0xFFFFFF
+            (n,) = struct.unpack_from(">I", data, body + 4)
+            k, first = body + 8, None
+            if flags & RUN_OFFSET:
+                at = f["base"] + struct.unpack_from(">i", data, k)[0]
+                k += 4
+            if flags & RUN_FIRST:
+                (first,) = struct.unpack_from(">I", data, k)
+                k += 4
+            fields = [x for x in (RUN_LENGTH, RUN_SIZE, RUN_FLAGS, RUN_TIME) if flags & x]
+            if k + 4 * n * len(fields) > end:
+                raise ValueError("a run is longer than its box")
+            table = np.frombuffer(data, ">u4", n * len(fields), k).reshape(n, len(fields)).astype(np.int64)
+            column = lambda x, default: table[:, fields.index(x)] if x in fields else np.full(n, default, np.int64)  # noqa: E731, B023
+            each, marks = column(RUN_SIZE, size0), column(RUN_FLAGS, flags0).copy()
+            if first is not None and n:
+                marks[0] = first
+            begin = at + np.cumsum(each) - each
+            starts += begin.tolist()
+            sizes += each.tolist()
+            sync += ((marks & NOT_SYNC) == 0).tolist()
+            length += int(column(RUN_LENGTH, length0).sum())
+            at += int(each.sum())
+        out[f["track"]] = (starts, sizes, sync, length)
+    return out
 
 
 def read_tracks(data: bytes) -> list[dict]:
-    """Each track's codec, timescale, duration, sample starts and sizes, and coalesced keyframe byte ranges."""
+    """Each track's codec, timescale, duration, sample starts and sizes, and coalesced keyframe byte ranges.
+
+    Samples of movie fragments follow those of the tables. ValueError where boxes or tables contradict each other.
+    """
     tracks: list[dict] = []
-    for path, body, _ in walk(data):
+    fragments: list[dict] = []
+    defaults: dict[int, tuple] = {}
+    moof = 0
+    for path, body, end in walk(data):
         kind = path[-1]
+        if kind == b"moof":
+            moof = body - 8
+        elif kind == b"trex":
+            number, _, length, size, flags = struct.unpack_from(">5I", data, body + 4)
+            defaults[number] = (size, flags, length)
+        elif kind == b"tfhd":
+            flags = struct.unpack_from(">I", data, body)[0] & 0xFFFFFF
+            k, found = body + 8, {}
+            for bit, width in ((BASE, 8), (DESCRIPTION, 4), (LENGTH, 4), (SIZE, 4), (FLAGS, 4)):
+                if flags & bit:
+                    found[bit] = int.from_bytes(data[k : k + width], "big")
+                    k += width
+            fragments.append({"track": struct.unpack_from(">I", data, body + 4)[0], "base": found.get(BASE, moof), "own": (found.get(SIZE), found.get(FLAGS), found.get(LENGTH)), "runs": []})
+        elif kind == b"trun":
+            if not fragments:
+                raise ValueError("a run without a fragment")
+            fragments[-1]["runs"].append((body, end))
         if kind == b"trak":
             tracks.append({"sync": None})
         if not tracks or b"trak" not in path:
             continue
         t = tracks[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            (t["number"],) = struct.unpack_from(">I", data, body + (20 if data[body] else 12))
+        elif kind == b"mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ" if data[body] else ">II", data, body + (20 if data[body] else 12))
         elif kind == b"hdlr":
             t["handler"] = bytes(data[body + 8 : body + 12]).decode("latin-1")
@@ -107,21 +188,26 @@ def read_tracks(data: bytes) -> list[dict]:
             t["codec"] = kind.decode("latin-1")
             if t.get("handler") == "soun":
                 t["channels"], t["bits"] = struct.unpack_from(">HH", data, body + 16)
-        elif kind == b"stts":
-            t["stts"] = _table(data, body, ">u4,>u4")
         elif kind == b"stsc":
-            t["stsc"] = _table(data, body, ">u4,>u4,>u4")
+            t["stsc"] = _table(data, body, end, ">u4,>u4,>u4")
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, body + 4)
-            t["sizes"] = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, body + 12).astype(np.int64)
+            t["sizes"] = np.full(n, same, np.int64) if same else _table(data, body, end, ">u4", 8).astype(np.int64)
+        elif kind == b"stz2":
+            t["sizes"] = _compact_sizes(data, body, end)
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = _table(data, body, ">u4" if kind == b"stco" else ">u8").astype(np.int64)
+            t["chunks"] = _table(data, body, end, ">u4" if kind == b"stco" else ">u8").astype(np.int64)
         elif kind == b"stss":
-            t["sync"] = _table(data, body, ">u4").astype(np.int64) - 1
+            t["sync"] = _table(data, body, end, ">u4").astype(np.int64) - 1
+    more = _fragments(data, fragments, defaults)
     for t in tracks:
+        if missing := {"timescale", "codec", "sizes", "chunks", "stsc"} - set(t):
+            raise ValueError(f"a track lacks {', '.join(sorted(missing))}")
         sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
         if len(chunks):
             first = runs["f0"].astype(np.int64) - 1
+            if not len(first) or first[0] != 0 or (np.diff([*first, len(chunks)]) < 1).any():
+                raise ValueError("the sample tables disagree")
             per = np.repeat(runs["f1"].astype(np.int64), np.diff([*first, len(chunks)]))
             if per.sum() != len(sizes):
                 raise ValueError("the sample tables disagree")
@@ -131,6 +217,14 @@ def read_tracks(data: bytes) -> list[dict]:
         else:
             t["starts"] = sizes[:0]
         keys = np.arange(len(sizes)) if t["sync"] is None else t["sync"]
+        if len(keys) and not (0 <= keys.min() and keys.max() < len(sizes)):
+            raise ValueError("a sync sample isn't there")
+        if t.get("number") in more:
+            starts, each, sync, length = more[t["number"]]
+            keys = np.concatenate([keys, len(sizes) + np.flatnonzero(sync)])
+            sizes = t["sizes"] = np.concatenate([sizes, np.array(each, np.int64)])
+            t["starts"] = np.concatenate([t["starts"], np.array(starts, np.int64)])
+            t["duration"] += length
         a, b = t["starts"][keys], t["starts"][keys] + sizes[keys]
         new = np.flatnonzero(np.concatenate([[True], a[1:] != b[:-1]])) if len(a) else keys[:0]
         t["keyframe_ranges"] = [[int(x), int(y)] for x, y in zip(a[new], b[np.concatenate([new[1:] - 1, [len(b) - 1]])] if len(a) else [], strict=True)]

@@ -323,3 +323,31 @@ def test_packing_keeps_the_limit_on_loss(spark):
     sizes = [(sum(map(len, v)), int(sum(mask(p).sum() for p in v))) for v in by.values()]
     assert sum(n for n, _ in sizes) == sum(map(len, ids.values()))
     assert all(n <= 4096 and n & (n - 1) == 0 and loss <= 3000 for n, loss in sizes) and max(loss for _, loss in sizes) > 1500
+
+
+def track_box(*tables, number=7):
+    n = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    stbl = media.box(b"stbl", media.full(b"stsd", n(1), media.box(b"avc1", bytes(78))), media.full(b"stts", n(0)), *tables)
+    tkhd = media.full(b"tkhd", n(0, 0, number), bytes(68))
+    return media.box(b"trak", tkhd, media.box(b"mdia", media.full(b"mdhd", n(0, 0, 90, 40, 0)), media.full(b"hdlr", bytes(4), b"vide", bytes(13)), media.box(b"minf", stbl)))
+
+
+def test_compact_sizes_fragments_and_broken_tables():
+    n = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    stsc, stco = media.full(b"stsc", n(1, 1, 3, 1)), media.full(b"stco", n(1, 500))
+    for bits, raw in ((4, b"\x57\x90"), (8, b"\x05\x07\x09"), (16, b"\0\x05\0\x07\0\x09")):
+        (t,) = media.read_tracks(media.box(b"moov", track_box(stsc, stco, media.full(b"stz2", n(bits), n(3), raw))))
+        assert t["sizes"].tolist() == [5, 7, 9] and t["starts"].tolist() == [500, 505, 512] and t["keyframe_ranges"] == [[500, 521]]
+    empty = (media.full(b"stsc", n(0)), media.full(b"stsz", n(0, 0)), media.full(b"stco", n(0)))
+    trex = media.box(b"mvex", media.full(b"trex", n(7, 1, 10, 4, media.NOT_SYNC)))
+    moov = media.box(b"moov", track_box(*empty), trex)
+    tfhd = media.full(b"tfhd", n(7), flags=0x20000)
+    runs = media.full(b"trun", n(3), n(100), n(0), flags=media.RUN_OFFSET | media.RUN_FIRST) + media.full(b"trun", n(2), n(6, 0, 8, media.NOT_SYNC), flags=media.RUN_SIZE | media.RUN_FLAGS)
+    (t,) = media.read_tracks(moov + media.box(b"moof", media.full(b"mfhd", n(1)), media.box(b"traf", tfhd, runs)))
+    base = len(moov)
+    assert t["sizes"].tolist() == [4, 4, 4, 6, 8] and t["starts"].tolist() == [base + x for x in (100, 104, 108, 112, 118)]
+    assert t["keyframe_ranges"] == [[base + 100, base + 104], [base + 112, base + 118]] and t["duration"] == 90
+    sizes = media.full(b"stsz", n(0, 3, 5, 7, 9))
+    for tables in ((stsc, stco), (stsc, sizes), (stsc, stco, media.full(b"stsz", n(0, 900, 5))), (media.full(b"stsc", n(0)), stco, sizes), (stsc, stco, sizes, media.full(b"stss", n(1, 4)))):
+        with pytest.raises(ValueError):
+            media.read_tracks(media.box(b"moov", track_box(*tables)))
