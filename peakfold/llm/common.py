@@ -102,7 +102,7 @@ class IdMemo:
     ids reach MOST_BYTES all are dropped and collected anew. Results don't depend on either.
     """
 
-    LONGEST, MOST_BYTES, PER_PIECE = 64, 64 << 20, 200
+    LONGEST, MOST_BYTES, PER_PIECE = 64, 112 << 20, 200
 
     def __init__(self, encode_many):
         self.encode_many = encode_many
