@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakfold.config import Extraction
-from peakfold.session import shared_folder
+from peakfold.session import application_folder
 
 #: A "second" is ten words.
 FRAMES = 10
@@ -29,7 +29,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     the result of its last scan; read from the shared folder from then on."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])

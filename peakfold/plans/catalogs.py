@@ -11,7 +11,7 @@ from peakfold.operators import duplicates
 from peakfold.plans import adapters as ad
 from peakfold.plans.adapters import SQL, sql
 from peakfold.plans.queries import SCAN, c, grouped, members, query, r6, scanned
-from peakfold.session import shared_folder
+from peakfold.session import application_folder
 from peakfold.sources import scans, textfiles
 from peakfold.sources.catalog import Catalog, Tee, latest, load_files
 
@@ -96,7 +96,7 @@ def f08_deletions_page(s, d):
 
 
 def fresh(s, name: str) -> str:
-    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(s)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(sql("pairs", "SELECT a, b, round(least(coverage_a, coverage_b), 6) AS similarity, true AS complete FROM pairs"))

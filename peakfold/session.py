@@ -37,9 +37,19 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application's tables are within the shared folder."""
+    return f"{shared_folder(spark)}/peakfold-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes this application's tables; frames that read them are of no use afterwards."""
+    remove(spark, application_folder(spark))
+
+
 def written(df: DataFrame, stem: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: it is computed once and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/{stem}-{uuid.uuid4().hex}"
+    """The frame as a Parquet table of the application: it is computed once and outlives executors."""
+    path = f"{application_folder(df.sparkSession)}/{stem}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
