@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from peakfold.session import ship_package
+
 _M32 = 0xFFFFFFFF
 
 
@@ -105,6 +108,11 @@ def to_origin(url: Column, host: str, origin: str) -> Column:
     return F.when(at == host.strip().lower(), F.concat(F.lit(root), joined, query)).otherwise(url)
 
 
+def urls_to_try(url: Column, host: str, origin: str) -> Column:
+    """The addresses to read from in order: the origin's, and where that differs the given one as fallback."""
+    return F.array_distinct(F.array(to_origin(url, host, origin), url))
+
+
 def clock(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
@@ -244,3 +252,51 @@ def query_name(path: Column) -> Column:
     known = r"^(speed_up|pitch_shift|time_stretched)_(.*)$"
     change = F.when(at(4).rlike(known), F.regexp_extract(at(4), known, 1)).otherwise(at(4))
     return F.when(name.rlike(rule), F.struct(at(1).alias("name"), at(2).try_cast("int").alias("start"), at(3).try_cast("int").alias("stop"), change.alias("change"), F.when(at(4).rlike(known), F.regexp_extract(at(4), known, 2)).otherwise(F.lit("")).alias("factor")))
+
+
+_M64 = (1 << 64) - 1
+
+
+def _mix64(data: bytes, seed: int = 0) -> tuple[int, int]:
+    """Murmur3 x64 128 bits as two unsigned numbers. Factors, shifts and addends are fixed values of the published algorithm."""
+    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+    rot = lambda x, r: (x << r | x >> 64 - r) & _M64
+    first = lambda k: rot(k * c1 & _M64, 31) * c2 & _M64
+    second = lambda k: rot(k * c2 & _M64, 33) * c1 & _M64
+
+    def last(x: int) -> int:
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * factor & _M64
+        return x ^ x >> 33
+
+    a = b = seed
+    whole = len(data) // 16 * 16
+    for k in range(0, whole, 16):
+        a = ((rot(a ^ first(int.from_bytes(data[k : k + 8], "little")), 27) + b) * 5 + 0x52DCE729) & _M64
+        b = ((rot(b ^ second(int.from_bytes(data[k + 8 : k + 16], "little")), 31) + a) * 5 + 0x38495AB5) & _M64
+    a ^= first(int.from_bytes(data[whole : whole + 8], "little"))
+    b ^= second(int.from_bytes(data[whole + 8 :], "little"))
+    a, b = a ^ len(data), b ^ len(data)
+    a = (a + b) & _M64
+    b = (b + a) & _M64
+    a, b = last(a), last(b)
+    a = (a + b) & _M64
+    return a, (b + a) & _M64
+
+
+def murmur3_128(text: Column) -> Column:
+    """Murmur3 x64 128 bits, seed 0, of a text's UTF-8 bytes, as two signed numbers. 64-bit products overflow a
+    column's numbers, so this is computed in Python, a batch at a time."""
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return pd.DataFrame([tuple(map(signed, _mix64((t or "").encode()))) for t in texts], columns=["low", "high"])
+
+    ship_package(SparkSession.active())
+    return F.pandas_udf(of, "struct<low:bigint,high:bigint>")(text)
+
+
+def completions(names, prefix: str, most: int = 100):
+    """The first names that begin with the prefix; names: a frame of one column."""
+    (column,) = names.columns
+    return names.where(F.col(column).startswith(prefix)).distinct().orderBy(column).limit(most)

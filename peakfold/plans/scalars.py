@@ -92,3 +92,31 @@ def h25_causes(s, d):
     return ad.table(s, d, "events").select("event_id", ident.causes(chain).alias("causes"))
 
 
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n, CASE WHEN page_id % 2 = 0 THEN 'https://o.example.net/' || page_id ELSE 'https://other.example.com/' || page_id END AS first FROM pages")
+def a23_urls_to_try(s, d):
+    url = F.concat(F.when(c("page_id") % 2 == 0, "https://cdn.example.com/").otherwise("https://other.example.com/"), c("page_id").cast("string"))
+    tried = ident.urls_to_try(url, "cdn.example.com", "https://o.example.net")
+    return ad.table(s, d, "pages").select("page_id", F.size(tried).cast("long").alias("n"), tried[0].alias("first"))
+
+
+@query("SELECT DISTINCT source || '/' || lang AS name FROM documents WHERE source LIKE 'src1%' ORDER BY 1 LIMIT 100")
+def h22_completions(s, d):
+    names = ad.table(s, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("name"))
+    return ident.completions(names, "src1")
+
+
+@query("WITH " + ad.SQL["cat"] + "\nSELECT resource_id, CASE WHEN duration > 0 THEN least(30, duration / 2) ELSE 30 END::DOUBLE AS gap FROM cat")
+def e09_effective_gap(s, d):
+    from peakfold.operators import gates
+
+    return ad.catalog(s, d).select("resource_id", gates.effective_gap(30.0, c("duration")).alias("gap"))
+
+
+@query("WITH " + ad.SQL["cat"] + ",\nt AS (SELECT resource_id, CAST(round(duration * 10) AS BIGINT) AS total FROM cat)\nSELECT resource_id, k * 290 AS first FROM t, unnest(range(0, total // 290 + 1)) AS g(k) WHERE k * 290 < greatest(total - 300, 0) UNION ALL SELECT resource_id, greatest(total - 300, 0) FROM t WHERE total > 0")
+def e12_sample_windows(s, d):
+    from peakfold.operators import monitor
+
+    rec = ad.catalog(s, d).select(c("resource_id").alias("recording"), F.round(c("duration") * 10).cast("long").alias("total"))
+    return monitor.long_windows(rec, 10.0).select(c("recording").alias("resource_id"), c("at").alias("first"))

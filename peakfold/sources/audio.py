@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakfold.config import Extraction
+from peakfold.session import ship_package
 
 #: Kinds of files whose headers don't tell the length reliably; the longest length that is believed.
 DECODED_KINDS, LONGEST = ("m4a", "aac", "mp4", "m4b"), 86400.0
@@ -63,6 +64,7 @@ def decoded(files: DataFrame, e: Extraction = Extraction()) -> DataFrame:
                     flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(part).astype(np.float32)), e.size).cast(pa.list_(pa.float32()))
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), pa.array(range(first, first + len(part)), pa.int32()), flat], names=["resource_id", "t", "samples"])
 
+    ship_package(files.sparkSession)
     return files.select(F.col("resource_id").cast("long").alias("resource_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "resource_id long, t int, samples array<float>")
 
 

@@ -432,3 +432,44 @@ def test_query_requests(spark):
     value = json.dumps({"fingerprints": [{"hash": 5, "t1": 2}, {"hash": -1, "t1": 2}, {"t1": 4}, {"hash": 7, "t1": 3, "f1": 1}]})
     got = query_prints(spark.createDataFrame([(1, value), (2, "broken")], "query_id long, value string")).collect()
     assert [(r.query_id, r.pos, r.hash, r.t1) for r in got] == [(1, 0, 5, 2), (1, 3, 7, 3)]
+
+
+def test_murmur_128(spark):
+    got = spark.createDataFrame([("foo",), ("",), (None,)], "t string").select(ident.murmur3_128(F.col("t")).alias("h")).collect()
+    assert tuple(got[0].h) == (-2129773440516405919, 9128664383759220103) and tuple(got[1].h) == tuple(got[2].h) == (0, 0)
+
+
+def test_band_spectrum_of_a_tone(spark):
+    x = [float(v) for v in np.sin(2 * np.pi * 440 * np.arange(8192) / 16000)]
+    rows = peaks.band_spectrum(spark.createDataFrame([(1, 0, x), (2, 0, [])], "resource_id long, t int, samples array<float>")).collect()
+    best = max(rows, key=lambda r: r.m)
+    assert len(rows) == 510 and best.resource_id == 1 and abs(best.f - 170) <= 1 and best.m == pytest.approx(0.5, rel=0.02)
+
+
+def test_engine_and_commands(spark, tmp_path):
+    from peakfold import commands
+
+    base = str(tmp_path / "base")
+    prints = spark.createDataFrame(track(1, 600) + [(h, 2, t) for h, _, t in track(1, 600)] + track(3, 500), "hash long, resource_id long, t1 int")
+    meta = spark.createDataFrame([(1, "1.mp3", 60.0, 600), (2, "2.mp3", 60.0, 600), (3, "3.mp3", 50.0, 500)], "resource_id long, path string, duration double, num_fingerprints long")
+    prints.write.parquet(f"{base}/in/prints")
+    meta.write.parquet(f"{base}/in/meta")
+    run = lambda *a: commands.main(["--base", base, *a], spark)
+    assert run("store", f"{base}/in/prints", f"{base}/in/meta") == ["ok"]
+    assert json.loads(run("stats")[0])["resources"] == 3 and run("resolve", "x/77.mp3") == ['{"path": "x/77.mp3", "resource_id": 77}']
+    assert run("metadata", "3") == ["3 ; 3.mp3 ; 50.000 (s) ; 500 (#) ; 10.000 (#/s)"] and len(run("print", "3")) == 500
+    e = commands.Engine(spark, base, match=MATCH)
+    asked = spark.createDataFrame([(9, t, h, t) for h, _, t in track(3, 300)], "query_id long, pos long, hash long, t1 int")
+    assert [r.resource_id for r in e.query(asked).collect()] == [3] and e.query(asked, avoid=spark.createDataFrame([(3,)], "resource_id long")).count() == 0
+    assert e.same(prints.where("resource_id = 1").select("hash", "t1"), prints.where("resource_id = 2").select("hash", "t1")) == 1.0
+    assert e.same(prints.where("resource_id = 1").select("hash", "t1"), prints.where("resource_id = 3").select("hash", "t1")) == 0.0
+    heard = e.monitor(spark.createDataFrame(played([(3, 0, 500, 0)]), "hash long, recording long, t1 int")).first()
+    assert json.loads(heard.json)["matches"][0]["identifier"] == 3
+    with pytest.raises(LookupError):
+        e.delete_duplicates(1, [2])
+    assert e.scan("s1", Scan(frames_per_second=10.0, max_offset_frames=100)) == 1
+    assert json.loads(run("duplicates")[0])["members"] == [1, 2]
+    assert e.delete_duplicates(1, [2])["status"] == "dry_run" and e.delete_duplicates(1, [3])["status"] == "rejected"
+    assert e.delete_duplicates(1, [2], dry_run=False)["tracks"][0]["fingerprints_deleted"] == 600
+    assert e.duplicates().count() == 0 and e.scans.deletions().first().stem == "2"
+    assert run("compact") == ["ok"] and e.catalog.fingerprints().count() == 1100 and run("clear") == ["ok"] and json.loads(run("stats")[0])["resources"] == 0
