@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,9 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
 
 
+_passing: set[str] = set()
+
+
 def application_folder(spark: SparkSession) -> str:
-    """Where this application's tables are within the shared folder."""
-    return f"{shared_folder(spark)}/peakfold-{spark.sparkContext.applicationId}"
+    """Where this application's tables are within the shared folder. In a local warehouse, as in tests, they go
+    when the driver's Python ends; in a folder that the cluster names they stay until clean()."""
+    path = f"{shared_folder(spark)}/peakfold-{spark.sparkContext.applicationId}"
+    local = path.removeprefix("file:")
+    if spark.conf.get("spark.checkpoint.dir", None) is None and "://" not in local and local not in _passing:
+        _passing.add(local)
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return path
 
 
 def clean(spark: SparkSession) -> None:
