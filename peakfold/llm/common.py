@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.session import ship_package
+from peakfold.session import application_folder, remove, ship_package
 
 #: Rows of one Arrow batch: texts average a few kB, so a batch stays at some MB.
 BATCH_ROWS = 1000
@@ -206,8 +206,8 @@ class Ship:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of the warehouse where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    """The application's part of the shared folder that the cluster names, or of the warehouse where none is named."""
+    return application_folder(spark)
 
 
 #: The tables that scratch() will remove, innermost last.
@@ -227,12 +227,6 @@ def written(df: DataFrame, stem: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Removes at its end the tables that were written within it and aren't kept."""
