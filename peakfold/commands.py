@@ -79,9 +79,9 @@ class Engine:
         pairs = self.scans.pairs().join(ids.toDF("a"), "a", "left_semi").join(ids.toDF("b"), "b", "left_semi")
         groups = duplicates.components(pairs)
         keep = duplicates.recommend(duplicates.member_similarity(pairs, groups), live)
-        listed = duplicates.listing(pairs, groups)
-        shown = scans.page(listed, [F.desc("max_similarity"), F.desc("size"), "component"], limit, offset, 1000)
-        return listing_json(shown, keep)
+        if not 1 <= limit <= 1000 or offset < 0:
+            raise ValueError("limit is from 1 to 1000, offset not below 0")
+        return listing_json(duplicates.listing(pairs, groups, limit, offset), keep)
 
     def delete_duplicates(self, keep: int, others: list[int], least: float = 0.5, dry_run: bool = True, verify: bool = False) -> dict:
         """Deletes others as duplicates of keep if each is one, by the last scan or, with verify, by current rows; else nothing."""

@@ -104,15 +104,36 @@ def decided(seen: DataFrame, least: float = 0.5) -> DataFrame:
     return rows.withColumn("allowed", F.min("verified").over(Window.partitionBy("keep")))
 
 
-def listing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(component, members, size, max_similarity, pairs, place): strongest groups first, then larger ones, then by
-    their first member; each one's pairs by similarity, then ids."""
+def ranked_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(component, size, max_similarity) of all groups; by aggregates, so a group of any size is no array."""
+    size = groups.groupBy("component").agg(F.count("*").alias("size"))
+    best = pairs.select("a", similarity().alias("similarity")).join(groups.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.max("similarity").alias("max_similarity"))
+    return size.join(best, "component")
+
+
+def _strongest() -> list:
+    """Strongest groups first, then larger ones, then by their first member."""
+    return [F.desc("max_similarity"), F.desc("size"), F.asc("component")]
+
+
+def pairs_in_order(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(component, a, b, similarity, place): each group's pairs by similarity, then ids."""
+    rows = pairs.select("a", "b", similarity().alias("similarity")).join(groups.withColumnRenamed("id", "a"), "a")
+    w = Window.partitionBy("component").orderBy(F.desc("similarity"), "a", "b")
+    return rows.select("component", "a", "b", "similarity", F.row_number().over(w).cast("long").alias("place"))
+
+
+def listing(pairs: DataFrame, groups: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """(component, size, max_similarity, members, pairs): a page of groups, or all, in order, each with its ids and
+    its pairs in order. Only groups of the page are gathered."""
+    shown = ranked_groups(pairs, groups)
+    if limit is not None:
+        shown = shown.orderBy(*_strongest()).offset(offset).limit(limit)
+        groups = groups.join(shown.select("component"), "component", "left_semi")
     members = groups.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    one = pairs.select("a", "b", similarity().alias("similarity")).join(groups.withColumnRenamed("id", "a"), "a")
-    key = F.struct((-F.col("similarity")).alias("k"), "a", "b", "similarity")
-    by = one.groupBy("component").agg(F.max("similarity").alias("max_similarity"), F.sort_array(F.collect_list(key)).alias("p"))
-    rows = members.join(by, "component").select("component", "members", F.size("members").cast("long").alias("size"), "max_similarity", F.transform("p", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["similarity"].alias("similarity"))).alias("pairs"))
-    return rows.orderBy(F.desc("max_similarity"), F.desc("size"), "component")
+    listed = pairs_in_order(pairs, groups).groupBy("component").agg(F.sort_array(F.collect_list(F.struct("place", "a", "b", "similarity"))).alias("p"))
+    rows = shown.join(members, "component").join(listed, "component")
+    return rows.select("component", "size", "max_similarity", "members", F.transform("p", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["similarity"].alias("similarity"))).alias("pairs")).orderBy(*_strongest())
 
 
 def similarity():

@@ -68,15 +68,14 @@ _GROUPED = SQL["groups"] + ",\nstrong AS (SELECT g.component, max(least(p.covera
 @query("WITH RECURSIVE " + _GROUPED + "\nSELECT row_number() OVER (ORDER BY mx DESC, size DESC, s.component) AS place, s.component, size, round(mx, 6) AS max_similarity, array_to_string(members, ',') AS members FROM sized s JOIN strong t ON t.component = s.component ORDER BY 1 LIMIT 1000")
 def f04_group_listing(s, d):
     """The first page of groups, of the most that a page may have."""
-    rows = duplicates.listing(scanned(s, d), grouped(s, d)).limit(1000)
+    rows = duplicates.listing(scanned(s, d), grouped(s, d), 1000)
     w = Window.orderBy(F.desc("max_similarity"), F.desc("size"), "component")  # a page's rows
     return rows.select(F.row_number().over(w).cast("long").alias("place"), "component", "size", r6(c("max_similarity")).alias("max_similarity"), F.array_join(c("members").cast("array<string>"), ",").alias("members"))
 
 
 @query("WITH RECURSIVE " + SQL["groups"] + "\nSELECT g.component, p.a, p.b, row_number() OVER (PARTITION BY g.component ORDER BY least(coverage_a, coverage_b) DESC, p.a, p.b) AS place FROM pairs p JOIN groups g ON g.id = p.a")
 def f05_pairs_in_groups(s, d):
-    rows = duplicates.listing(scanned(s, d), grouped(s, d))
-    return rows.select("component", F.posexplode("pairs").alias("k", "p")).select("component", "p.a", "p.b", (c("k") + 1).cast("long").alias("place"))
+    return duplicates.pairs_in_order(scanned(s, d), grouped(s, d)).drop("similarity")
 
 
 def _scans(s, d):
