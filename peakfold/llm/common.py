@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakfold.session import application_folder, remove, ship_package
@@ -248,3 +248,20 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def is_held_out(col: str, modulus: int, remainder: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(modulus)) == remainder
+
+
+def ordered(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds place, from 0, along the order, and under each name of sums the sum of its column over the rows before.
+
+    Rows are dealt by ranges of the order; only each range's totals meet in one task, one row a range.
+    """
+    spark = df.sparkSession
+    low = df.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+    kept = written(low.withColumn("_i", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_i", 33)), "ordered")
+    totals = kept.groupBy("_p").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_t_{k}") for k, c in sums.items()))
+    ranges = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select("_p", F.coalesce(F.sum("_n").over(ranges), F.lit(0)).alias("_n0"), *(F.coalesce(F.sum(f"_t_{k}").over(ranges), F.lit(0)).alias(f"_t_{k}") for k in sums))
+    inside = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    out = kept.join(earlier, "_p")
+    more = {k: F.col(f"_t_{k}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()}
+    return out.withColumns({"place": F.col("_n0") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))} | more).select(*df.columns, "place", *sums)

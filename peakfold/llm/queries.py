@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import bpe, fertility, htmltext, langid, media, neardup, packing, quality, secrets, toxicity
+from peakfold.llm import bpe, fertility, htmltext, langid, media, mixing, neardup, packing, quality, secrets, toxicity
 from peakfold.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, loss=packing.LOSS, loss_mask=packing.word_mask(path))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def base2_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op2_media that SQL can express."""
     return op2_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -63,7 +67,7 @@ def base7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_media, op3_secrets, op4_html, op5_quality, op6_toxicity, op7_fertility, op8_neardup, op9_langid, op10_packing, base2_payload, base7_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_media, op3_secrets, op4_html, op5_quality, op6_toxicity, op7_fertility, op8_neardup, op9_langid, op10_packing, op11_mixing, base2_payload, base7_rules)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -113,5 +117,14 @@ reach AS (SELECT a AS id, a AS r FROM adj UNION SELECT reach.id, adj.b FROM reac
 comp AS (SELECT id, min(r) AS c FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN comp c ON c.id = d.doc_id"""
 
+_MIX = f"""WITH RECURSIVE docs AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+keyed AS (SELECT doc_id, src, size, -ln((('0x' || substr(md5('{mixing.SEED}:' || doc_id || ':' || md5(t)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496) / CASE WHEN size = 0 THEN 0.1 ELSE least(1.0, greatest(0.1, len(regexp_extract_all(t, '\\p{{L}}+'))::DOUBLE / size)) END AS key FROM docs),
+src AS (SELECT src, sum(size)::BIGINT AS n, [3, 1, 2][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS w FROM keyed GROUP BY 1),
+shared(round, level, capped) AS (SELECT 0, 1.5::DOUBLE * sum(n) / sum(w), list(NULL::VARCHAR) FILTER (false) FROM src
+ UNION ALL SELECT s.round + 1, x.level, x.capped FROM shared s, LATERAL (SELECT (1.5::DOUBLE * (SELECT sum(n) FROM src) - coalesce(sum(2 * n) FILTER (2 * n / w::DOUBLE <= s.level), 0)) / sum(w) FILTER (2 * n / w::DOUBLE > s.level) AS level, list(src ORDER BY src) FILTER (2 * n / w::DOUBLE <= s.level) AS capped FROM src) x WHERE x.capped IS DISTINCT FROM s.capped AND s.round < 1000),
+plan AS (SELECT src, n, CASE WHEN 2 * n / w::DOUBLE <= level OR level IS NULL THEN 2.0 * n ELSE w * level END::DOUBLE AS target FROM src, (SELECT arg_max(level, round) AS level FROM shared)),
+lined AS (SELECT k.doc_id, k.size, p.n, p.target, CASE WHEN p.n > 0 THEN floor(p.target / p.n) ELSE 0 END::BIGINT AS epochs, sum(size) OVER (PARTITION BY k.src ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS done FROM keyed k JOIN plan p ON p.src = k.src)
+SELECT doc_id, size, n AS source_size, target, (size * (epochs + CASE WHEN 2 * done - size <= 2 * (target - epochs * n) THEN 1 ELSE 0 END))::BIGINT AS taken, epochs FROM lined"""
+
 #: Whole results of op3 and op8, and of the others what SQL can express.
-ORACLE_SQL: dict[str, str] = {"op3_secrets": _SECRETS, "op8_neardup": _NEAR, "base2_payload": _PAYLOAD, "base7_rules": _RULES}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": _SECRETS, "op8_neardup": _NEAR, "base2_payload": _PAYLOAD, "base7_rules": _RULES, "op11_mixing": _MIX}
