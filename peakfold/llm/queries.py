@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import bpe, fertility, htmltext, langid, media, mixing, neardup, packing, quality, secrets, toxicity
+from peakfold.llm import bpe, fertility, htmltext, langid, media, mixing, neardup, packing, quality, resample, secrets, toxicity
 from peakfold.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def base2_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op2_media that SQL can express."""
     return op2_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -67,7 +71,7 @@ def base7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_media, op3_secrets, op4_html, op5_quality, op6_toxicity, op7_fertility, op8_neardup, op9_langid, op10_packing, op11_mixing, base2_payload, base7_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_media, op3_secrets, op4_html, op5_quality, op6_toxicity, op7_fertility, op8_neardup, op9_langid, op10_packing, op11_mixing, op13_resample, base2_payload, base7_rules)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -126,5 +130,18 @@ plan AS (SELECT src, n, CASE WHEN 2 * n / w::DOUBLE <= level OR level IS NULL TH
 lined AS (SELECT k.doc_id, k.size, p.n, p.target, CASE WHEN p.n > 0 THEN floor(p.target / p.n) ELSE 0 END::BIGINT AS epochs, sum(size) OVER (PARTITION BY k.src ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS done FROM keyed k JOIN plan p ON p.src = k.src)
 SELECT doc_id, size, n AS source_size, target, (size * (epochs + CASE WHEN 2 * done - size <= 2 * (target - epochs * n) THEN 1 ELSE 0 END))::BIGINT AS taken, epochs FROM lined"""
 
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen(w) + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+_RESAMPLE = f"""WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc),
+split AS (SELECT 0 AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+ UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+word AS (SELECT k, doc_id, unnest(ws) AS w FROM split),
+code AS (SELECT w, {_CRC} % 10000 AS b FROM (SELECT DISTINCT w FROM word), tab),
+hold AS (SELECT b, count(*) FILTER (k = 0) AS s, count(*) FILTER (k = 1) AS t FROM word JOIN code USING (w) GROUP BY 1),
+gain AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g FROM hold),
+mean AS (SELECT doc_id, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM word JOIN code USING (w) JOIN gain USING (b) WHERE k = 0 GROUP BY 1),
+scored AS (SELECT s.doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || s.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM split s LEFT JOIN mean m ON m.doc_id = s.doc_id WHERE k = 0),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM scored s LEFT JOIN placed p ON p.doc_id = s.doc_id"""
+
 #: Whole results of op3 and op8, and of the others what SQL can express.
-ORACLE_SQL: dict[str, str] = {"op3_secrets": _SECRETS, "op8_neardup": _NEAR, "base2_payload": _PAYLOAD, "base7_rules": _RULES, "op11_mixing": _MIX}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": _SECRETS, "op8_neardup": _NEAR, "base2_payload": _PAYLOAD, "base7_rules": _RULES, "op11_mixing": _MIX, "op13_resample": _RESAMPLE}
