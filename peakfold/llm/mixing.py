@@ -32,7 +32,7 @@ def sizes(text: str = "text") -> Column:
 def plain_share(text: str = "text") -> Column:
     """A quality weight from the text alone: runs of letters for each word, from 0.1 to 1. Texts of marks,
     numbers and cut-up words weigh little."""
-    share = F.regexp_count(F.col(text), F.lit(r"\p{L}+")) / F.regexp_count(F.col(text), F.lit(WORD))
+    share = F.try_divide(F.regexp_count(F.col(text), F.lit(r"\p{L}+")), F.regexp_count(F.col(text), F.lit(WORD)))
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.1), share)), F.lit(0.1))
 
 
@@ -53,7 +53,7 @@ def budgets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int
     caps = placed.withColumns({"cap": (F.col("source_size") * most).cast("double"), "bound": F.col("source_size") * most / F.col("weight")}).drop("place")
     lined = ordered(caps, ["bound", "source_key"], {"cap_before": "cap", "weight_before": "weight"})
     whole = caps.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("w")).first()
-    level = (F.lit(total * (whole["all"] or 0)) - F.col("cap_before")) / (F.lit(whole["w"] or 0.0) - F.col("weight_before"))
+    level = F.try_divide(F.lit(total * (whole["all"] or 0)) - F.col("cap_before"), F.lit(whole["w"] or 0.0) - F.col("weight_before"))
     open_ = lined.withColumn("level", level).where(F.col("bound") > F.col("level"))
     last = open_.agg(F.min_by("level", F.struct("bound", "source_key"))).first()[0]
     target = F.col("cap") if last is None else F.when(F.col("bound") > last, F.col("weight") * F.lit(last)).otherwise(F.col("cap"))

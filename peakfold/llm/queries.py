@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import bpe, fertility, htmltext, langid, media, mixing, neardup, packing, quality, resample, secrets, toxicity
+from peakfold.llm import alignment, bpe, fertility, htmltext, langid, media, mixing, neardup, packing, quality, resample, secrets, toxicity
 from peakfold.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,7 +75,7 @@ def base7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_media, op3_secrets, op4_html, op5_quality, op6_toxicity, op7_fertility, op8_neardup, op9_langid, op10_packing, op11_mixing, op13_resample, base2_payload, base7_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_media, op3_secrets, op4_html, op5_quality, op6_toxicity, op7_fertility, op8_neardup, op9_langid, op10_packing, op11_mixing, op12_alignment, op13_resample, base2_payload, base7_rules)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
