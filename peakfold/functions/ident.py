@@ -296,7 +296,8 @@ def murmur3_128(text: Column) -> Column:
     return F.pandas_udf(of, "struct<low:bigint,high:bigint>")(text)
 
 
-def completions(names, prefix: str, most: int = 100):
-    """The first names that begin with the prefix; names: a frame of one column."""
+def completions(names, prefix: str, most: int | None = None):
+    """The names that begin with the prefix, in order, all or the first ones; names: a frame of one column."""
     (column,) = names.columns
-    return names.where(F.col(column).startswith(prefix)).distinct().orderBy(column).limit(most)
+    found = names.where(F.col(column).startswith(prefix)).distinct().orderBy(column)
+    return found if most is None else found.limit(most)

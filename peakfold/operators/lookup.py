@@ -19,20 +19,38 @@ def expand(prints: DataFrame, reach: int = 2, attribution: str = "last") -> Data
     return near.groupBy("query_id", "near_hash").agg(F.max_by("original_hash", "pos").alias("original_hash"))
 
 
-def near_hits(prints: DataFrame, index: DataFrame, reach: int = 2, attribution: str = "last", avoid: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """Hits of the index (hash, resource_id, t1) with the time of the query print they belong to.
+def wanted(prints: DataFrame, reach: int = 2, attribution: str = "last", pitched: bool = False) -> DataFrame:
+    """(query_id, original_hash, near_hash, query_time, maybe query_f1): what a query looks for. The last print
+    with a hash gives its time."""
+    f1 = [F.max_by("f1", "pos").alias("query_f1")] if pitched and "f1" in prints.columns else []
+    times = prints.groupBy("query_id", F.col("hash").alias("original_hash")).agg(F.max_by("t1", "pos").alias("query_time"), *f1)
+    return expand(prints, reach, attribution).join(times, ["query_id", "original_hash"])
 
-    avoid: resource_id of resources that don't count; targets: query_id and resource_id, the only ones that
-    do. The last print with a hash gives its time; where prints and index have f1, hits have both.
+
+def near_hits(prints: DataFrame, index, reach: int = 2, attribution: str = "last", avoid: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Hits of the index with the time of the query print they belong to; index: rows (hash, resource_id, t1) or posting lists.
+
+    avoid: resource_id of resources that don't count, or query_id and resource_id where each query has its own;
+    targets: query_id and resource_id, the only ones that do. Where prints and index have f1, hits have both.
     """
-    if avoid is not None:
+    if not isinstance(index, DataFrame):
+        return index.near_hits(prints, reach, attribution, avoid, targets)
+    own = avoid is not None and "query_id" in avoid.columns
+    if avoid is not None and not own:
         index = index.join(avoid, "resource_id", "left_anti")
     pitched = "f1" in prints.columns and "f1" in index.columns
-    times = prints.groupBy("query_id", F.col("hash").alias("original_hash")).agg(F.max_by("t1", "pos").alias("query_time"), *([F.max_by("f1", "pos").alias("query_f1")] if pitched else []))
-    wanted = expand(prints, reach, attribution).join(times, ["query_id", "original_hash"])
-    on = ["near_hash"]
+    asked, on = wanted(prints, reach, attribution, pitched), ["near_hash"]
     if targets is not None:
-        wanted, on = wanted.join(targets.select("query_id", "resource_id"), "query_id"), ["near_hash", "resource_id"]
+        asked, on = asked.join(targets.select("query_id", "resource_id"), "query_id"), ["near_hash", "resource_id"]
     more = ["match_f1", "query_f1"] if pitched else []
-    rows = index.withColumnsRenamed({"hash": "near_hash", "t1": "match_time", "f1": "match_f1"})
-    return rows.join(wanted, on).select("query_id", "original_hash", "near_hash", "resource_id", "match_time", "query_time", *more)
+    rows = index.withColumnsRenamed({"hash": "near_hash", "t1": "match_time", "f1": "match_f1"}).join(asked, on)
+    if own:
+        rows = rows.join(avoid.select("query_id", "resource_id"), ["query_id", "resource_id"], "left_anti")
+    return rows.select("query_id", "original_hash", "near_hash", "resource_id", "match_time", "query_time", *more)
+
+
+def frequent_hits(prints: DataFrame, index, least: int, reach: int = 2, attribution: str = "last", avoid: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Hits of the pairs of query and resource that may have ``least``: posting lists count before they make hits."""
+    if isinstance(index, DataFrame) or targets is not None:
+        return near_hits(prints, index, reach, attribution, avoid, targets)
+    return index.search(prints, least, reach, attribution, avoid)

@@ -81,11 +81,12 @@ def window_prints(prints: DataFrame, windows: DataFrame, width: int) -> DataFram
     return met.select("query_id", F.col("t1").alias("pos"), "hash", (F.col("t1") - F.col("at")).alias("t1"))
 
 
-def detect(prints: DataFrame, windows: DataFrame, index: DataFrame, match: Matching, targets: DataFrame | None = None) -> DataFrame:
+def detect(prints: DataFrame, windows: DataFrame, index, match: Matching, targets: DataFrame | None = None, avoid: DataFrame | None = None) -> DataFrame:
     """What each window of the recordings matches, in frames of the recording: start, stop, and of the
-    resource ref_start, ref_stop."""
+    resource ref_start, ref_stop. index: rows or posting lists; avoid: recording and resource_id that don't count."""
     width = int(round(30 / match.seconds_per_frame))
-    found = align.align(lookup.near_hits(window_prints(prints, windows, width), index, targets=targets), match)
+    own = None if avoid is None else windows.select("query_id", "recording").join(avoid, "recording").select("query_id", "resource_id")
+    found = align.align(lookup.frequent_hits(window_prints(prints, windows, width), index, match.min_hits_unfiltered, avoid=own, targets=targets), match)
     frames = lambda c: F.round(F.col(c) / match.seconds_per_frame).cast("long")
     out = found.join(windows, "query_id")
     return out.select("query_id", "recording", "resource_id", (frames("query_start") + F.col("at")).alias("start"), (frames("query_stop") + F.col("at")).alias("stop"), frames("ref_start").alias("ref_start"), frames("ref_stop").alias("ref_stop"), "score", "time_factor", "share")
@@ -154,15 +155,15 @@ def refined(rows: DataFrame, looked: DataFrame, seen: DataFrame) -> DataFrame:
     return out.withColumns({"start": F.coalesce("l.s", "start"), "ref_start": F.coalesce("l.rs", "ref_start"), "stop": F.coalesce("r.e", "stop"), "ref_stop": F.coalesce("r.re", "ref_stop")}).drop("l", "r")
 
 
-def monitor(prints: DataFrame, recordings: DataFrame, index: DataFrame, durations: DataFrame, match: Matching, m: Monitoring = Monitoring()) -> DataFrame:
+def monitor(prints: DataFrame, recordings: DataFrame, index, durations: DataFrame, match: Matching, m: Monitoring = Monitoring(), avoid: DataFrame | None = None) -> DataFrame:
     """Occurrences of resources in recordings: two passes, merged, in clusters, with refined ends.
 
     prints: recording, hash, t1; recordings: recording, total; durations: resource_id, duration; all in
-    frames. Each pass is a table, as later steps read it more than once.
+    frames. avoid: recording and resource_id that don't count. Each pass is a table, as later steps read it more than once.
     """
     fps = 1 / match.seconds_per_frame
-    first = written(detect(prints, coarse_windows(recordings, m, fps), index, match).drop("query_id"), "pass")
-    second = detect(prints, fine_windows(first, recordings, m, fps), index, match).drop("query_id")
+    first = written(detect(prints, coarse_windows(recordings, m, fps), index, match, avoid=avoid).drop("query_id"), "pass")
+    second = detect(prints, fine_windows(first, recordings, m, fps), index, match, avoid=avoid).drop("query_id")
     rows = written(occurrences(merged(first, second, int(m.slack * fps)), durations, m, fps), "occurrences")
     looked = written(probes(rows, m, fps), "probes")
     seen = detect(prints, looked.select("query_id", "recording", "at", "frames"), index, match, looked.select("query_id", "resource_id"))
@@ -187,11 +188,11 @@ def long_windows(recordings: DataFrame, fps: float, length: int = 30) -> DataFra
     return rows.withColumns({"frames": F.lit(size), "query_id": F.concat_ws("/", "recording", "at")})
 
 
-def whole_copies(prints: DataFrame, recordings: DataFrame, index: DataFrame, match: Matching, length: int = 30, slack: float = 2.0, least: float = 0.99) -> DataFrame:
+def whole_copies(prints: DataFrame, recordings: DataFrame, index, match: Matching, length: int = 30, slack: float = 2.0, least: float = 0.99, avoid: DataFrame | None = None) -> DataFrame:
     """(recording, resource_id, score) of resources that match every sample window of a recording at one alignment."""
     fps = 1 / match.seconds_per_frame
     windows = written(long_windows(recordings, fps, length), "windows")
-    found = detect(prints, windows.drop("win", "wins"), index, match).join(windows.select("query_id", "win", "wins"), "query_id")
+    found = detect(prints, windows.drop("win", "wins"), index, match, avoid=avoid).join(windows.select("query_id", "win", "wins"), "query_id")
     good = gates.quality(F.col("score"), F.col("share")) & gates.density(F.col("score"), F.lit(length)) & (F.col("share") >= least) & (F.col("stop") - F.col("start") >= int((length - 2) * fps))
     rows = found.where(good).withColumn("shift", F.col("ref_start") - F.col("start"))
     base = F.min(F.when(F.col("win") == 0, F.col("shift"))).over(Window.partitionBy("recording", "resource_id"))

@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakfold import session
 from peakfold.config import Extraction
 from peakfold.session import application_folder
+from peakfold.sources.postings import Postings
 
 #: A "second" is ten words.
 FRAMES = 10
@@ -21,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_stored: dict[tuple, str] = {}
+#: What stored() made, by application, folder and name; clean() empties it.
+_stored = session.made
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -47,6 +50,15 @@ def index(spark, sf_dir) -> DataFrame:
     return stored(spark, sf_dir, "index", lambda: shingles(spark, sf_dir).repartitionByRange("hash").sortWithinPartitions("hash"))
 
 
+def postings(spark, sf_dir) -> Postings:
+    """The index as posting lists with frequencies, made once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "postings")
+    if key not in _stored:
+        f1 = (F.expr("hash div 16") % 200 + 20).cast("int")
+        _stored[key] = Postings.build(index(spark, sf_dir).withColumn("f1", f1), f"{application_folder(spark)}/postings-{uuid.uuid4().hex}").name
+    return Postings(spark, _stored[key])
+
+
 def catalog(spark, sf_dir) -> DataFrame:
     n = F.size(F.split(F.lower("text"), " "))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("resource_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), (n / 10.0).alias("duration"), F.greatest(n - 2, F.lit(0)).cast("long").alias("num_fingerprints"), F.col("lang").alias("title"))

@@ -22,7 +22,7 @@ def a26_query_requests(s, d):
     prints = F.sort_array(F.collect_list(F.struct("pos", F.struct("hash", "t1").alias("p"))))["p"]
     wrong = F.array(F.struct(F.lit(-1).cast("long").alias("hash"), F.lit(5).alias("t1")), F.struct(F.lit(None).cast("long").alias("hash"), F.lit(6).alias("t1")))
     requests = p.groupBy("query_id").agg(F.to_json(F.struct(F.concat(prints, wrong).alias("fingerprints"))).alias("value"))
-    found = lookup.near_hits(catalog.query_prints(requests), ad.index(s, d))
+    found = lookup.near_hits(catalog.query_prints(requests), ad.postings(s, d))
     return found.groupBy("query_id", "resource_id").agg(F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from peakfold.config import Monitoring
 from peakfold.operators import align, evaluation, gates, lookup, monitor, pack, peaks, pitch
 from peakfold.plans import adapters as ad
 from peakfold.plans.adapters import SQL, chain, sql
-from peakfold.plans.queries import MATCH, aligned, c, hits, query, r6
+from peakfold.plans.queries import MATCH, aligned, c, enough_hits, query, r6
 
 FPS = 10
 
@@ -27,8 +27,9 @@ def recorded(s, d):
     return ad.index(s, d).where(c("resource_id") % ad.EVERY == 0).select(c("resource_id").alias("recording"), "hash", "t1")
 
 
-def references(s, d):
-    return ad.index(s, d).where(c("resource_id") % ad.EVERY != 0)
+def itself(s, d):
+    """Each recording is in the index too; it doesn't count as a match of its own."""
+    return recordings(s, d).select("recording", c("recording").alias("resource_id"))
 
 
 def durations(s, d):
@@ -44,13 +45,13 @@ _TOLERANT = SQL["fp"] + f",\nfpf AS (SELECT *, {_F1} FROM fp),\nqpf AS (SELECT r
 @query(f"WITH {_TOLERANT}\nSELECT query_id, resource_id, score, round(time_factor, 6) AS time_factor, round(frequency_factor, 6) AS frequency_factor FROM aligned9")
 def b11_speed_and_pitch(s, d):
     p = align.TOLERANT.__class__(time_factor=(0.8, 1.2), seconds_per_frame=0.1)
-    found = align.align_tolerant(lookup.near_hits(with_f1(ad.prints(s, d)), with_f1(ad.index(s, d))), strategies.to_hz, p)
+    found = align.align_tolerant(lookup.frequent_hits(with_f1(ad.prints(s, d)), ad.postings(s, d), p.min_hits_unfiltered), strategies.to_hz, p)
     return found.select("query_id", "resource_id", "score", r6(c("time_factor")).alias("time_factor"), r6(c("frequency_factor")).alias("frequency_factor"))
 
 
 @query(f"WITH {_TOLERANT}\nSELECT query_id, resource_id, count(*) AS n, round(avg(match_f1 - query_f1), 6) AS mean_step FROM hits9 GROUP BY 1, 2")
 def c02_lookup_with_frequency(s, d):
-    found = lookup.near_hits(with_f1(ad.prints(s, d)), with_f1(ad.index(s, d)))
+    found = lookup.near_hits(with_f1(ad.prints(s, d)), ad.postings(s, d))
     return found.groupBy("query_id", "resource_id").agg(F.count("*").alias("n"), r6(F.avg(c("match_f1") - c("query_f1"))).alias("mean_step"))
 
 
@@ -65,7 +66,7 @@ hist AS (SELECT * FROM (SELECT a.query_id, a.resource_id, a.score, q0, q1, CASE
 
 @query("WITH " + _HISTOGRAM + "\nSELECT query_id, resource_id, score, round(q0 * 0.1::DOUBLE, 6) AS query_start, round(q1 * 0.1::DOUBLE, 6) AS query_stop, round(share, 6) AS share FROM hist")
 def d06_histogram_matches(s, d):
-    return align.histogram_matches(hits(s, d), MATCH).select("query_id", "resource_id", "score", *(r6(c(k)).alias(k) for k in ("query_start", "query_stop", "share")))
+    return align.histogram_matches(enough_hits(s, d), MATCH).select("query_id", "resource_id", "score", *(r6(c(k)).alias(k) for k in ("query_start", "query_stop", "share")))
 
 
 @query("WITH " + SQL["fp"] + ",\n" + SQL["cat"] + ",\n" + SQL["qp"] + ",\n" + chain("") + "\nSELECT a.query_id, a.resource_id, a.score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id) AS o FROM aligned WHERE score >= 20 AND share >= 0.5 AND share >= 0.99 AND query_id <> resource_id) a WHERE o = 1")
@@ -95,9 +96,9 @@ def numbered(rows):
     return kept.withColumn("_p", part).join(before, "_p").withColumn("place", F.col("_b") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_i", "_p", "_b")
 
 
-@query(sql("aligned", "SELECT query_id, resource_id, score FROM aligned WHERE query_id <> resource_id AND score >= 15 ORDER BY score DESC, query_id, resource_id LIMIT 50"))
+@query(sql("aligned", "SELECT query_id, resource_id, score FROM aligned WHERE query_id <> resource_id AND score >= 15  ORDER BY score DESC, query_id, resource_id"))
 def f13_best_results(s, d):
-    return aligned(s, d).where((c("query_id") != c("resource_id")) & (c("score") >= 15)).select("query_id", "resource_id", "score").orderBy(F.desc("score"), "query_id", "resource_id").limit(50)
+    return aligned(s, d).where((c("query_id") != c("resource_id")) & (c("score") >= 15)).select("query_id", "resource_id", "score").orderBy(F.desc("score"), "query_id", "resource_id")
 
 
 _HIST = "hist AS (SELECT resource_id, CAST(floor((((CASE WHEN 1200.0 * log2(hz / 8.17579892) < 0 THEN abs(1200.0 * log2(hz / 8.17579892) + 1200) ELSE 1200.0 * log2(hz / 8.17579892) END) % 1200)) * 1200 / 1200 + 0.5) AS INTEGER) % 1200 AS bin, count(*) AS n FROM pit GROUP BY 1, 2)"
@@ -118,15 +119,14 @@ def f10_best_pitch_references(s, d):
 
 _REC = SQL["fp"] + ",\n" + SQL["cat"] + """,
 rec AS (SELECT resource_id AS recording, CAST(round(duration * 10) AS BIGINT) AS total FROM cat WHERE resource_id % 20 = 0),
-rp AS (SELECT resource_id AS recording, hash, t1 FROM fp WHERE resource_id % 20 = 0),
-ref AS (SELECT * FROM fp WHERE resource_id % 20 <> 0)"""
+rp AS (SELECT resource_id AS recording, hash, t1 FROM fp WHERE resource_id % 20 = 0)"""
 
 
 def _seen(mark: str, window: str, target: str = "") -> str:
     return f""",
 wp{mark} AS (SELECT w.query_id, p.t1 AS pos, p.hash, p.t1 - w.at AS t1 FROM rp p JOIN {window} w ON w.recording = p.recording AND p.t1 >= w.at AND p.t1 < w.at + w.frames),
-{chain(mark, "ref", f"wp{mark}", target)},
-det{mark} AS (SELECT a.query_id, w.recording, a.resource_id, CAST(round(query_start * 10) AS BIGINT) + w.at AS start, CAST(round(query_stop * 10) AS BIGINT) + w.at AS stop, CAST(round(ref_start * 10) AS BIGINT) AS ref_start, CAST(round(ref_stop * 10) AS BIGINT) AS ref_stop, score, time_factor, share FROM aligned{mark} a JOIN {window} w ON w.query_id = a.query_id)"""
+{chain(mark, "fp", f"wp{mark}", target)},
+det{mark} AS (SELECT a.query_id, w.recording, a.resource_id, CAST(round(query_start * 10) AS BIGINT) + w.at AS start, CAST(round(query_stop * 10) AS BIGINT) + w.at AS stop, CAST(round(ref_start * 10) AS BIGINT) AS ref_start, CAST(round(ref_stop * 10) AS BIGINT) AS ref_stop, score, time_factor, share FROM aligned{mark} a JOIN {window} w ON w.query_id = a.query_id WHERE w.recording <> a.resource_id)"""
 
 
 _PASS1 = _REC + """,
@@ -156,7 +156,7 @@ _TRACK = ["query_start", "query_stop", "ref_start", "ref_stop", "mean_share", "b
 
 
 def monitored(s, d):
-    return ad.stored(s, d, "monitored", lambda: monitor.monitor(recorded(s, d), recordings(s, d), references(s, d), durations(s, d), MATCH))
+    return ad.stored(s, d, "monitored", lambda: monitor.monitor(recorded(s, d), recordings(s, d), ad.postings(s, d), durations(s, d), MATCH, avoid=itself(s, d)))
 
 
 def tracks(s, d):
@@ -166,14 +166,14 @@ def tracks(s, d):
 @query(f"WITH {_PASS1}\nSELECT recording, resource_id, start, stop, ref_start, ref_stop, score FROM det1")
 def a02_slices(s, d):
     """Each slice of a recording is a range of times, matched on its own; results are in the recording's time."""
-    found = monitor.detect(recorded(s, d), monitor.coarse_windows(recordings(s, d), Monitoring(), FPS), references(s, d), MATCH)
+    found = monitor.detect(recorded(s, d), monitor.coarse_windows(recordings(s, d), Monitoring(), FPS), ad.postings(s, d), MATCH, avoid=itself(s, d))
     return found.select("recording", "resource_id", "start", "stop", "ref_start", "ref_stop", "score")
 
 
 def passes(s, d):
     m = Monitoring()
-    first = ad.stored(s, d, "pass", lambda: monitor.detect(recorded(s, d), monitor.coarse_windows(recordings(s, d), m, FPS), references(s, d), MATCH))
-    return first, monitor.detect(recorded(s, d), monitor.fine_windows(first, recordings(s, d), m, FPS), references(s, d), MATCH)
+    first = ad.stored(s, d, "pass", lambda: monitor.detect(recorded(s, d), monitor.coarse_windows(recordings(s, d), m, FPS), ad.postings(s, d), MATCH, avoid=itself(s, d)))
+    return first, monitor.detect(recorded(s, d), monitor.fine_windows(first, recordings(s, d), m, FPS), ad.postings(s, d), MATCH, avoid=itself(s, d))
 
 
 @query(f"WITH {_MERGED}\nSELECT recording, resource_id, start, stop, score FROM both2")
@@ -211,16 +211,16 @@ copies AS (SELECT recording, resource_id, max(score) FILTER (win = wins - 1) AS
 @query(f"WITH {_LONG}\nSELECT recording, resource_id, score FROM copies")
 def b24_whole_copies(s, d):
     """Resources that match every sample window of a recording at one alignment."""
-    return monitor.whole_copies(recorded(s, d), recordings(s, d), references(s, d), MATCH)
+    return monitor.whole_copies(recorded(s, d), recordings(s, d), ad.postings(s, d), MATCH, avoid=itself(s, d))
 
 
 @query(f"WITH {_LONG},\norig AS (SELECT recording, resource_id FROM (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY score DESC, resource_id) AS o FROM copies) WHERE o = 1)\nSELECT v.resource_id, CASE WHEN v.resource_id % 60 = 0 THEN 'already_exists' WHEN v.num_fingerprints <= 0 THEN 'skipped_empty' WHEN o.resource_id IS NOT NULL THEN 'already_indexed_match' ELSE 'ok' END AS status, CASE WHEN v.resource_id % 60 <> 0 AND v.num_fingerprints > 0 THEN o.resource_id END AS original FROM cat v LEFT JOIN orig o ON o.recording = v.resource_id WHERE v.resource_id % 20 = 0")
 def i02_store_requests(s, d):
-    """What becomes of requests to store each query document, in a catalog with the others and some of these."""
+    """What becomes of requests to store each query document, in a catalog with all and some of these finished; none is a copy of itself."""
     from peakfold.streaming.worker import classified, content_copies
 
     asked = ad.catalog(s, d).where(c("resource_id") % ad.EVERY == 0)
-    copies = content_copies(ad.index(s, d).where(c("resource_id") % ad.EVERY == 0), references(s, d), asked, MATCH)
+    copies = content_copies(ad.index(s, d).where(c("resource_id") % ad.EVERY == 0), ad.postings(s, d), asked, MATCH)
     return classified(asked.select("resource_id"), asked.where("resource_id % 60 = 0"), asked, copies).select("resource_id", "status", "original")
 
 
@@ -233,7 +233,7 @@ def g02_segments(s, d):
     """Segments of 30 seconds, 40 apart, each queried on its own and shifted to the recording's time."""
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("total div 400")))
     seg = recordings(s, d).select("recording", k.alias("k")).select("recording", (c("k") * 400).alias("at"), F.lit(300).alias("frames")).withColumn("query_id", F.concat_ws("/", "recording", "at"))
-    return monitor.detect(recorded(s, d), seg, references(s, d), MATCH).select("recording", "resource_id", "start", "stop", "score")
+    return monitor.detect(recorded(s, d), seg, ad.postings(s, d), MATCH, avoid=itself(s, d)).select("recording", "resource_id", "start", "stop", "score")
 
 
 @query("WITH " + SQL["cat"] + "\nSELECT resource_id, k * 20 AS start FROM (SELECT resource_id, CAST(floor(duration) AS INTEGER) AS total FROM cat), unnest(range(0, total // 20 + 1)) AS g(k) WHERE k * 20 + 30 < total AND least(30, duration_left(total, k)) >= 1".replace("duration_left(total, k)", "total - k * 20"))

@@ -38,11 +38,16 @@ def r6(x) -> F.Column:
 
 
 def hits(s, d) -> DataFrame:
-    return lookup.near_hits(ad.prints(s, d), ad.index(s, d))
+    return lookup.near_hits(ad.prints(s, d), ad.postings(s, d))
+
+
+def enough_hits(s, d) -> DataFrame:
+    """Hits of the pairs that may have enough of them; pairs with fewer are dropped by what reads this."""
+    return lookup.frequent_hits(ad.prints(s, d), ad.postings(s, d), MATCH.min_hits_unfiltered)
 
 
 def aligned(s, d) -> DataFrame:
-    return align.align(hits(s, d), MATCH)
+    return align.align(enough_hits(s, d), MATCH)
 
 
 def scanned(s, d) -> DataFrame:
@@ -143,12 +148,12 @@ def b08_time_range(s, d):
 
 @query(sql("hits", "SELECT query_id, resource_id, count(*) AS n FROM hits GROUP BY 1, 2 HAVING count(*) >= 10"))
 def b09_enough_hits(s, d):
-    return hits(s, d).groupBy("query_id", "resource_id").agg(F.count("*").alias("n")).where("n >= 10")
+    return enough_hits(s, d).groupBy("query_id", "resource_id").agg(F.count("*").alias("n")).where("n >= 10")
 
 
 @query(sql("lines", "SELECT query_id, resource_id, round(time_factor, 6) AS time_factor FROM lines WHERE time_factor > 0.9 AND time_factor < 1.1"))
 def b10_time_factor_range(s, d):
-    line = align.lines(align.modes(align.parts(hits(s, d), MATCH)))
+    line = align.lines(align.modes(align.parts(enough_hits(s, d), MATCH)))
     return line.where("time_factor > 0.9 and time_factor < 1.1").select("query_id", "resource_id", r6(c("time_factor")).alias("time_factor"))
 
 
@@ -160,7 +165,7 @@ def b16_complete_metadata(s, d):
 @query(sql("hits", "SELECT query_id, resource_id, count(*) AS n FROM hits WHERE query_id <> resource_id AND resource_id % 2 = 0 GROUP BY 1, 2"))
 def b17_avoid_list(s, d):
     avoid = ad.catalog(s, d).where("resource_id % 2 = 1").select("resource_id")
-    return lookup.near_hits(ad.prints(s, d), ad.index(s, d), avoid=avoid).where("query_id <> resource_id").groupBy("query_id", "resource_id").agg(F.count("*").alias("n"))
+    return lookup.near_hits(ad.prints(s, d), ad.postings(s, d), avoid=avoid).where("query_id <> resource_id").groupBy("query_id", "resource_id").agg(F.count("*").alias("n"))
 
 
 @query(sql("aligned", "SELECT query_id, resource_id, score >= 20 AND share >= 0.5 AS good, score >= CASE WHEN query_stop < 15 THEN 8 ELSE greatest(CAST(floor(query_stop * 0.15) AS INTEGER), 20) END AS dense FROM aligned"))
@@ -346,12 +351,12 @@ def d01_hits_by_resource(s, d):
 
 @query(sql("lines", "SELECT query_id, resource_id, y1, x1, y2, x2 FROM ends"))
 def d02_modes(s, d):
-    return align.modes(align.parts(hits(s, d), MATCH)).select("query_id", "resource_id", "y1", "x1", "y2", "x2")
+    return align.modes(align.parts(enough_hits(s, d), MATCH)).select("query_id", "resource_id", "y1", "x1", "y2", "x2")
 
 
 @query(sql("lines", 'SELECT query_id, resource_id, round(slope, 6) AS slope, round("offset", 6) AS "offset" FROM lines'))
 def d03_lines(s, d):
-    return align.lines(align.modes(align.parts(hits(s, d), MATCH))).select("query_id", "resource_id", r6(c("slope")).alias("slope"), r6(c("offset")).alias("offset"))
+    return align.lines(align.modes(align.parts(enough_hits(s, d), MATCH))).select("query_id", "resource_id", r6(c("slope")).alias("slope"), r6(c("offset")).alias("offset"))
 
 
 @query(sql("aligned", "SELECT query_id, resource_id, round(query_start, 6) AS query_start, round(query_stop, 6) AS query_stop, round(ref_start, 6) AS ref_start, round(ref_stop, 6) AS ref_stop, score, round(time_factor, 6) AS time_factor, round(share, 6) AS share FROM aligned"))
@@ -463,7 +468,7 @@ def e04_neighbour_sum(s, d):
 @query(sql("marked", "SELECT query_id, resource_id, count(*) FILTER (is_first) AS first_hits, count(*) FILTER (is_last) AS last_hits, count(*) AS n FROM marked GROUP BY 1, 2"))
 def e05_first_and_last_parts(s, d):
     n = lambda k: F.sum(c(k).cast("long"))
-    return align.parts(hits(s, d), MATCH).groupBy("query_id", "resource_id").agg(n("is_first").alias("first_hits"), n("is_last").alias("last_hits"), F.count("*").alias("n"))
+    return align.parts(enough_hits(s, d), MATCH).groupBy("query_id", "resource_id").agg(n("is_first").alias("first_hits"), n("is_last").alias("last_hits"), F.count("*").alias("n"))
 
 
 @query(sql("cat", "SELECT resource_id, k * 20 AS start FROM (SELECT resource_id, CAST(floor(duration) AS INTEGER) AS total FROM cat WHERE duration >= 0), unnest(range(0, total // 20 + 1)) AS g(k) WHERE k * 20 + 30 < total"))

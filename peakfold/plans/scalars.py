@@ -101,7 +101,7 @@ def a23_urls_to_try(s, d):
     return ad.table(s, d, "pages").select("page_id", F.size(tried).cast("long").alias("n"), tried[0].alias("first"))
 
 
-@query("SELECT DISTINCT source || '/' || lang AS name FROM documents WHERE source LIKE 'src1%' ORDER BY 1 LIMIT 100")
+@query("SELECT DISTINCT source || '/' || lang AS name FROM documents WHERE source LIKE 'src1%' ORDER BY 1")
 def h22_completions(s, d):
     names = ad.table(s, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("name"))
     return ident.completions(names, "src1")

@@ -53,8 +53,15 @@ def application_folder(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that this application made once and reads again, by (application, ...): their folder or name.
+made: dict[tuple, str] = {}
+
+
 def clean(spark: SparkSession) -> None:
     """Removes this application's tables; frames that read them are of no use afterwards."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in made if k[0] == app]:
+        del made[key]
     remove(spark, application_folder(spark))
 
 

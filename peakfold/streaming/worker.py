@@ -36,11 +36,11 @@ def classified(asked: DataFrame, known: DataFrame, prints: DataFrame, copies: Da
     return rows.withColumn("status", status).withColumn("original", F.when(F.col("status") == "already_indexed_match", F.col("original"))).drop("_known")
 
 
-def content_copies(prints: DataFrame, catalog_prints: DataFrame, meta: DataFrame, match: Matching) -> DataFrame:
-    """(resource_id, original): requests whose whole content the catalog has; of several the one with the best score, then the smaller id."""
+def content_copies(prints: DataFrame, catalog_prints, meta: DataFrame, match: Matching) -> DataFrame:
+    """(resource_id, original): requests whose whole content another resource of the catalog has; of several the one with the best score, then the smaller id."""
     frames = 1 / match.seconds_per_frame
     totals = meta.select(F.col("resource_id").alias("recording"), F.floor(F.col("duration") * frames).cast("long").alias("total"))
-    found = monitor.whole_copies(prints.withColumnRenamed("resource_id", "recording"), totals, catalog_prints, match)
+    found = monitor.whole_copies(prints.withColumnRenamed("resource_id", "recording"), totals, catalog_prints, match, avoid=totals.select("recording", F.col("recording").alias("resource_id")))
     return found.groupBy("recording").agg(F.min(F.struct(-F.col("score"), "resource_id")).alias("b")).select(F.col("recording").alias("resource_id"), F.col("b.resource_id").alias("original"))
 
 
