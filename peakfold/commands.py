@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from peakfold.config import Matching, Monitoring, Scan
 from peakfold.functions.ident import metadata_text, resource_id
 from peakfold.operators import align, duplicates, gates, monitor
-from peakfold.session import session
+from peakfold.operators.ranged import RANGE_ROWS, RangedScan
+from peakfold.session import remove, session
 from peakfold.sources import scans
-from peakfold.sources.catalog import Catalog, MemoryCatalog, complete, load_files, statistics
+from peakfold.sources.catalog import Catalog, MemoryCatalog, complete, load_files, requested_ids, statistics
 from peakfold.sources.results import listing_json, monitor_json
 from peakfold.sources.textfiles import print_lines
 from peakfold.strategies import strategy
@@ -27,7 +28,7 @@ from peakfold.strategies import strategy
 
 class Engine:
     def __init__(self, spark: SparkSession, base: str, name: str = "exact", match: Matching = Matching()):
-        self.spark, self.catalog, self.scans = spark, Catalog(spark, f"{base}/catalog"), scans.ScanStore(spark, f"{base}/scans")
+        self.spark, self.base, self.catalog, self.scans = spark, base.rstrip("/"), Catalog(spark, f"{base}/catalog"), scans.ScanStore(spark, f"{base}/scans")
         self.strategy, self.match = strategy(name), match
 
     def _live(self) -> tuple[DataFrame, DataFrame]:
@@ -65,13 +66,25 @@ class Engine:
         best = self.strategy.query(asked, memory.fingerprints(), memory.metadata(), self.match).agg(F.max("score")).first()[0]
         return min(1.0, (best or 0) / max(1, a.count()))
 
-    def scan(self, scan_id: str, p: Scan = Scan()) -> int:
-        """Finds and keeps all pairs of similar resources."""
+    def scan(self, scan_id: str, p: Scan = Scan(), range_rows: int = RANGE_ROWS) -> int:
+        """Finds and keeps all pairs of similar resources, by ranges of hashes; with an id of a scan that was cut off it goes on."""
         index, meta = self._live()
-        tracks = duplicates.tracks(index, p).select("resource_id", "fingerprints", F.size("seconds").alias("eligible_seconds"))
-        self.scans.save(scan_id, duplicates.scan(index, meta, p), tracks)
+        work = RangedScan(self.spark, f"{self.base}/ranged-{scan_id}", p, range_rows)
+        self.scans.save(scan_id, work.run(index, meta), work.tracks())
+        remove(self.spark, work.base)
         return self.scans.latest().pairs
 
+    def scan_new(self, scan_id: str, ids: DataFrame, p: Scan = Scan()) -> int:
+        """Adds the pairs of new resources (resource_id) to those of the last scan; these alone are scanned against all."""
+        index, meta = self._live()
+        fresh = duplicates.scan(index, meta, p, ids)
+        pairs = duplicates.updated(self.scans.pairs(), fresh, ids) if self.scans.latest() else fresh
+        self.scans.save(scan_id, pairs, duplicates.tracks(index, p))
+        return self.scans.latest().pairs
+
+    def scan_progress(self, scan_id: str) -> dict:
+        return RangedScan(self.spark, f"{self.base}/ranged-{scan_id}").progress()
+
     def duplicates(self, limit: int = 100, offset: int = 0) -> DataFrame:
         """A page of groups of duplicates among the resources that are still there, with the member to keep."""
         live = self.catalog.metadata().where(complete())
@@ -147,7 +160,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     elif args.command == "duplicates":
         frame = engine.duplicates(*map(int, rest)).select("json")
     elif args.command == "delete":
-        frame = engine.catalog.delete(spark.createDataFrame([(int(i),) for i in rest], "resource_id long"))
+        frame = engine.catalog.delete(requested_ids(spark, list(map(int, rest))))
     elif args.command == "stats":
         frame = engine.stats()
     elif args.command == "metadata":

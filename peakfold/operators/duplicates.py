@@ -35,39 +35,129 @@ def second(t: str, p: Scan = Scan()):
     return F.floor(F.col(t) / p.frames_per_second).cast("long")
 
 
-def buckets(index: DataFrame, catalog: DataFrame, p: Scan = Scan(), rows: DataFrame | None = None) -> DataFrame:
-    """(a, b, bucket, hits, seconds_a, seconds_b); raw pairs are aggregated as they are made."""
-    rows = shared(index, catalog, p, rows)
-    x = rows.select("hash", F.col("resource_id").alias("a"), F.col("t1").alias("ta"), F.col("duration").alias("da"))
-    y = rows.select("hash", F.col("resource_id").alias("b"), F.col("t1").alias("tb"), F.col("duration").alias("db"))
+def _met(x: DataFrame, y: DataFrame, p: Scan) -> DataFrame:
+    """Rows of a hash's pairs of resources at every offset that counts: a, b, bucket, and the second of each side."""
     met = x.join(y, "hash").where((F.col("a") < F.col("b")) & (F.abs(F.col("tb") - F.col("ta")) <= p.max_offset_frames) & (F.abs(F.col("db") - F.col("da")) <= p.max_duration_difference))
-    bucket = F.expr(f"(tb - ta + {p.shift}) div {p.bucket}")
-    return met.groupBy("a", "b", bucket.alias("bucket")).agg(F.count("*").alias("hits"), F.collect_set(second("ta", p)).alias("seconds_a"), F.collect_set(second("tb", p)).alias("seconds_b")).where(F.col("hits") >= p.min_bucket_hits)
+    return met.select("a", "b", F.expr(f"(tb - ta + {p.shift}) div {p.bucket}").alias("bucket"), second("ta", p).alias("sa"), second("tb", p).alias("sb"))
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    one = lambda k: rows.select("hash", F.col("resource_id").alias(k), F.col("t1").alias(f"t{k}"), F.col("duration").alias(f"d{k}"))
+    return one("a"), one("b")
+
+
+def raw_pairs(rows: DataFrame, p: Scan = Scan(), new: DataFrame | None = None) -> DataFrame:
+    """rows: hash, resource_id, t1, duration. new: resource_id; then pairs of which one resource at least is new,
+    each met from its new side, so that work follows the new rows."""
+    if new is None:
+        return _met(*_sides(rows), p)
+    fresh = rows.join(new.select("resource_id"), "resource_id", "left_semi")
+    known = rows.join(new.select("resource_id"), "resource_id", "left_anti")
+    (fa, fb), (ka, kb) = _sides(fresh), _sides(known)
+    return _met(fa, fb, p).unionByName(_met(fa, kb, p)).unionByName(_met(ka, fb, p))
+
+
+def hit_counts(raw: DataFrame) -> DataFrame:
+    """(a, b, bucket, hits); a count is all the state that a pair's bucket has while raw pairs are made."""
+    return raw.groupBy("a", "b", "bucket").agg(F.count("*").alias("hits"))
+
+
+def at_peak(counts: DataFrame, least_hits: int) -> DataFrame:
+    """(a, b, peak, bucket, hits): of buckets with enough hits each pair's strongest one and its neighbours; of equals the lowest."""
+    enough = counts.where(F.col("hits") >= least_hits)
+    best = enough.groupBy("a", "b").agg(F.min_by("bucket", F.struct(-F.col("hits"), "bucket")).alias("peak"))
+    return enough.join(best, ["a", "b"]).where(F.abs(F.col("bucket") - F.col("peak")) <= 1).select("a", "b", "peak", "bucket", "hits")
+
+
+def worth_it(near: DataFrame, track: DataFrame, least: float) -> DataFrame:
+    """The rows of pairs that can be similar enough: no more seconds can be covered than there are aligned hits."""
+    hits = near.groupBy("a", "b").agg(F.sum("hits").alias("n"))
+    size = lambda k: track.where("eligible_seconds > 0").select(F.col("resource_id").alias(k), F.col("eligible_seconds").alias(f"e{k}"))
+    able = hits.join(size("a"), "a").join(size("b"), "b").where(F.col("n") + 1e-6 >= least * F.greatest("ea", "eb"))
+    return near.join(able.select("a", "b"), ["a", "b"], "left_semi")
+
+
+def _bits(df: DataFrame, keys: list[str], second: str) -> DataFrame:
+    """Bitmaps of seconds: a row of a fixed size for each key and 32,768 seconds (number)."""
+    at = F.col(second) + 1
+    return df.groupBy(*keys, F.bitmap_bucket_number(at).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
 
+def pair_seconds(raw: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, b, bucket, side, number, bits) of the wanted (a, b, bucket)."""
+    rows = raw.join(wanted.select("a", "b", "bucket"), ["a", "b", "bucket"])
+    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("sa").alias("second")), F.struct(F.lit("b").alias("side"), F.col("sb").alias("second")))
+    return _bits(rows.select("a", "b", "bucket", F.explode(sides).alias("x")).select("a", "b", "bucket", "x.*"), ["a", "b", "bucket", "side"], "second")
 
-def tracks(index: DataFrame, p: Scan = Scan(), rows: DataFrame | None = None) -> DataFrame:
-    """(resource_id, fingerprints, seconds): how many rows, and the seconds that have an eligible one."""
-    counted = index.groupBy("resource_id").agg(F.count("*").alias("fingerprints"))
-    found = (eligible_rows(index, p) if rows is None else rows).groupBy("resource_id").agg(F.collect_set(second("t1", p)).alias("seconds"))
-    return counted.join(found, "resource_id", "left").select("resource_id", "fingerprints", F.coalesce("seconds", F.array().cast("array<bigint>")).alias("seconds"))
 
+def track_seconds(rows: DataFrame, p: Scan = Scan()) -> DataFrame:
+    """(resource_id, number, bits): the seconds that have an eligible row."""
+    return _bits(rows.select("resource_id", second("t1", p).alias("second")), ["resource_id"], "second")
 
-def score_pairs(bucketed: DataFrame, track: DataFrame, p: Scan = Scan(), least: float | None = None) -> DataFrame:
-    """Pairs at their strongest bucket and its neighbours, with the coverage of each side."""
-    strongest = F.first("bucket").over(Window.partitionBy("a", "b").orderBy(F.desc("hits"), "bucket"))
-    near = bucketed.withColumn("peak", strongest).where(F.abs(F.col("bucket") - F.col("peak")) <= 1)
-    sums = near.groupBy("a", "b", "peak").agg(F.sum("hits").alias("aligned_hits"), F.array_distinct(F.flatten(F.collect_list("seconds_a"))).alias("sa"), F.array_distinct(F.flatten(F.collect_list("seconds_b"))).alias("sb"))
-    side = lambda k: track.where(F.size("seconds") > 0).select(F.col("resource_id").alias(k), F.col("seconds").alias(f"e{k}"))
-    cover = lambda k: F.size(F.array_intersect(f"s{k}", f"e{k}")) / F.size(f"e{k}")
+
+def counted(bits: DataFrame, *keys: str) -> DataFrame:
+    return bits.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias("eligible_seconds"))
+
+
+def tracks(index: DataFrame, p: Scan = Scan(), seconds: DataFrame | None = None) -> DataFrame:
+    """(resource_id, fingerprints, eligible_seconds): how many rows, and how many seconds that have an eligible one."""
+    seconds = track_seconds(eligible_rows(index, p), p) if seconds is None else seconds
+    all_ = index.groupBy("resource_id").agg(F.count("*").alias("fingerprints"))
+    return all_.join(counted(seconds, "resource_id"), "resource_id", "left").select("resource_id", "fingerprints", F.coalesce("eligible_seconds", F.lit(0).cast("long")).alias("eligible_seconds"))
+
+
+def buckets(index: DataFrame, catalog: DataFrame, p: Scan = Scan(), rows: DataFrame | None = None) -> DataFrame:
+    """(a, b, bucket, hits, seconds_a, seconds_b): buckets of pairs with enough hits, and how many seconds of each side have one."""
+    rows = written(shared(index, catalog, p, rows), "shared")
+    counts = written(hit_counts(raw_pairs(rows, p)).where(F.col("hits") >= p.min_bucket_hits), "counts")
+    size = pair_seconds(raw_pairs(rows, p), counts).groupBy("a", "b", "bucket", "side").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    both = size.groupBy("a", "b", "bucket").agg(F.max(F.when(F.col("side") == "a", F.col("n"))).alias("seconds_a"), F.max(F.when(F.col("side") == "b", F.col("n"))).alias("seconds_b"))
+    return counts.join(both, ["a", "b", "bucket"])
+
+
+def score_pairs(near: DataFrame, seconds: DataFrame, track: DataFrame, p: Scan = Scan(), least: float | None = None) -> DataFrame:
+    """Pairs with the coverage of each side. near: at_peak()'s rows; seconds: pair_seconds() of these buckets; track: track_seconds().
+
+    Bitmaps of a pair's buckets are united; of these seconds those count that the track has as eligible.
+    """
+    sums = near.groupBy("a", "b", "peak").agg(F.sum("hits").alias("aligned_hits"))
+    united = seconds.groupBy("a", "b", "side", "number").agg(F.bitmap_or_agg("bits").alias("bits")).withColumn("resource_id", F.when(F.col("side") == "a", F.col("a")).otherwise(F.col("b")))
+    two = united.join(track.withColumnRenamed("bits", "own"), ["resource_id", "number"]).select("a", "b", "side", "number", F.explode(F.array("bits", "own")).alias("bits"))
+    common = two.groupBy("a", "b", "side", "number").agg(F.bitmap_and_agg("bits").alias("bits"))
+    n = F.bitmap_count("bits")
+    seen = common.groupBy("a", "b").agg(F.sum(F.when(F.col("side") == "a", n)).alias("ca"), F.sum(F.when(F.col("side") == "b", n)).alias("cb"))
+    whole = lambda k: counted(track, "resource_id").select(F.col("resource_id").alias(k), F.col("eligible_seconds").alias(f"e{k}"))
+    cover = lambda k: F.coalesce(f"c{k}", F.lit(0)) / F.col(f"e{k}")
     offset = (F.col("peak") * p.bucket - p.shift + p.bucket / 2) / p.frames_per_second
-    out = sums.join(side("a"), "a").join(side("b"), "b").select("a", "b", offset.alias("offset_seconds"), "aligned_hits", cover("a").alias("coverage_a"), cover("b").alias("coverage_b"))
+    rows = sums.join(seen, ["a", "b"]).join(whole("a").where("ea > 0"), "a").join(whole("b").where("eb > 0"), "b")
+    out = rows.select("a", "b", offset.alias("offset_seconds"), "aligned_hits", cover("a").alias("coverage_a"), cover("b").alias("coverage_b"))
     return out.where(F.least("coverage_a", "coverage_b") >= (p.min_similarity if least is None else least))
 
 
-def scan(index: DataFrame, catalog: DataFrame, p: Scan = Scan()) -> DataFrame:
-    """All pairs of similar resources. Eligible rows and pair buckets are tables, as each is read more than once."""
+def scored(rows: DataFrame, counts: DataFrame, seconds: DataFrame, p: Scan, least: float | None = None, new: DataFrame | None = None) -> DataFrame:
+    """From counts of hits to pairs. rows: what raw pairs are made from; only those of pairs that can be similar
+    enough are met again, for their seconds."""
+    near = at_peak(counts, p.min_bucket_hits)
+    near = written(worth_it(near, counted(seconds, "resource_id"), p.min_similarity if least is None else least), "near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("resource_id")).distinct()
+    again = raw_pairs(rows.join(ids, "resource_id", "left_semi"), p, new)
+    return score_pairs(near, pair_seconds(again, near), seconds, p, least)
+
+
+def scan(index: DataFrame, catalog: DataFrame, p: Scan = Scan(), new: DataFrame | None = None) -> DataFrame:
+    """All pairs of similar resources, or those with a new one (new: resource_id). Eligible rows and counts of
+    hits are tables, as each is read more than once."""
     rows = written(eligible_rows(index, p), "eligible")
-    return score_pairs(written(buckets(index, catalog, p, rows), "buckets"), tracks(index, p, rows), p)
+    met = written(shared(index, catalog, p, rows), "shared")
+    seconds = written(track_seconds(rows, p), "seconds")
+    return scored(met, hit_counts(raw_pairs(met, p, new)), seconds, p, new=new)
+
+
+def updated(pairs: DataFrame, fresh: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs of an earlier scan with those of a scan of new resources; an earlier pair that has a new resource gives way."""
+    ids = new.select("resource_id")
+    old = pairs.join(ids.toDF("a"), "a", "left_anti").join(ids.toDF("b"), "b", "left_anti")
+    return old.unionByName(fresh)
 
 
 def verify(index: DataFrame, asked: DataFrame, p: Scan = Scan()) -> DataFrame:
@@ -80,15 +170,13 @@ def verify(index: DataFrame, asked: DataFrame, p: Scan = Scan()) -> DataFrame:
     ids = wanted.select(F.col("keep").alias("resource_id")).union(wanted.select("other")).distinct()
     some = index.join(ids, "resource_id", "left_semi")
     common = index.join(some.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") <= p.max_per_hash).select("hash")
-    rows = written(some.join(common, "hash", "left_semi"), "verify")
-    x = rows.select("hash", F.col("resource_id").alias("a"), F.col("t1").alias("ta"))
-    y = rows.select("hash", F.col("resource_id").alias("b"), F.col("t1").alias("tb"))
+    rows = written(some.join(common, "hash", "left_semi").withColumn("duration", F.lit(0.0)), "verify")
+    a, b = _sides(rows)
     pairs = wanted.select(F.least("keep", "other").alias("a"), F.greatest("keep", "other").alias("b")).distinct()
-    met = x.join(pairs, "a").join(y, ["hash", "b"]).where(F.abs(F.col("tb") - F.col("ta")) <= p.max_offset_frames)
-    bucket = F.expr(f"(tb - ta + {p.shift}) div {p.bucket}")
-    found = met.groupBy("a", "b", bucket.alias("bucket")).agg(F.count("*").alias("hits"), F.collect_set(second("ta", p)).alias("seconds_a"), F.collect_set(second("tb", p)).alias("seconds_b"))
-    seconds = rows.groupBy("resource_id").agg(F.collect_set(second("t1", p)).alias("seconds"))
-    return score_pairs(written(found, "verify"), seconds, p, least=0.0)
+    met = a.join(pairs, "a").join(b, ["hash", "b"]).where(F.abs(F.col("tb") - F.col("ta")) <= p.max_offset_frames)
+    raw = met.select("a", "b", F.expr(f"(tb - ta + {p.shift}) div {p.bucket}").alias("bucket"), second("ta", p).alias("sa"), second("tb", p).alias("sb"))
+    near = written(at_peak(hit_counts(raw), 1), "verify")
+    return score_pairs(near, pair_seconds(raw, near), track_seconds(rows, p), p, least=0.0)
 
 
 def from_kept_side(pairs: DataFrame, asked: DataFrame) -> DataFrame:

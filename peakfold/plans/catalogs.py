@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peakfold.operators import duplicates
+from peakfold.operators import duplicates, ranged
 from peakfold.plans import adapters as ad
 from peakfold.plans.adapters import SQL, sql
 from peakfold.plans.queries import SCAN, c, grouped, members, query, r6, scanned
@@ -102,7 +102,7 @@ def fresh(s, name: str) -> str:
 def k12_scan_replacement(s, d):
     """Two scans are saved; the later one's pairs are what is read, and they are all there."""
     store = scans.ScanStore(s, fresh(s, "scans"))
-    tracks = duplicates.tracks(ad.index(s, d), SCAN).select("resource_id", "fingerprints", F.size("seconds").alias("eligible_seconds"))
+    tracks = duplicates.tracks(ad.index(s, d), SCAN)
     store.save("first", scanned(s, d).where("a % 2 = 0"), tracks.limit(0))
     store.save("second", scanned(s, d), tracks)
     return store.pairs().select("a", "b", r6(duplicates.similarity()).alias("similarity"), F.lit(store.complete()).alias("complete"))
@@ -115,7 +115,7 @@ def k06_store_delete_compact(s, d):
     meta = ad.catalog(s, d).where("num_fingerprints > 0")
     cat.store(ad.index(s, d), meta.select("resource_id", "path", "duration", "num_fingerprints", "title"))
     gone = meta.where("title = 'fr'").select("resource_id")
-    cat.delete(gone, max(1, gone.count()))
+    cat.delete(gone)
     cat.compact()
     return cat.metadata().join(cat.fingerprints(), "resource_id").groupBy("resource_id", "path").agg(F.count("*").alias("prints"), F.sum("hash").alias("hash_sum"))
 
@@ -169,14 +169,45 @@ def k08_delete_queue(s, d):
     return latest(o, "id", ["day", "version"]).join(queue, "id", "left_anti").select("id", "day")
 
 
-@query(sql("fp", "SELECT part, true AS balanced FROM unnest(range(0, 8)) AS g(part)"))
+#: Rows that a range is to have in these queries; an index of sf0.01 has some 390,000.
+_RANGE = 100_000
+_PAIRS = "SELECT a, b, round(offset_seconds, 6) AS offset_seconds, aligned_hits, round(coverage_a, 6) AS coverage_a, round(coverage_b, 6) AS coverage_b FROM pairs"
+
+
+@query("WITH " + SQL["fp"] + f""",
+ends AS (SELECT min(hash) AS lo, (max(hash) - min(hash) + 65536) // 65536 AS w FROM fp),
+cell AS (SELECT (hash - lo) // w AS c, count(*) AS n FROM fp, ends GROUP BY 1),
+part AS (SELECT CAST((sum(n) OVER (ORDER BY c) - n) // {_RANGE} AS INTEGER) AS part, c, n FROM cell)
+SELECT part, min(c) * any_value(w) + any_value(lo) AS low, (max(c) + 1) * any_value(w) + any_value(lo) - 1 AS high, CAST(sum(n) AS BIGINT) AS n FROM part, ends GROUP BY 1""")
 def d14_range_bounds(s, d):
-    """Bounds of eight ranges of hashes by approximate quantiles, and whether each range has its share of rows."""
-    rows = ad.index(s, d)
-    bounds = rows.agg(F.percentile_approx("hash", [k / 8 for k in range(1, 8)], 10_000)).first()[0]
-    part = sum(((c("hash") >= b).cast("long") for b in bounds), F.lit(0).cast("long"))
-    share = F.count("*") / F.sum(F.count("*")).over(Window.partitionBy(F.lit(1)))  # of eight rows
-    return rows.groupBy(part.alias("part")).agg(share.alias("share")).select("part", (F.abs(c("share") - 1 / 8) < 0.01).alias("balanced"))
+    """Ranges of hashes with about as many rows each, as a ranged scan takes them."""
+    return ranged.range_bounds(ad.index(s, d), _RANGE)
+
+
+def _rounded(pairs):
+    return pairs.select("a", "b", r6(c("offset_seconds")).alias("offset_seconds"), "aligned_hits", r6(c("coverage_a")).alias("coverage_a"), r6(c("coverage_b")).alias("coverage_b"))
+
+
+@query(sql("pairs", _PAIRS))
+def k11_resumed_scan(s, d):
+    """A scan by ranges that stops after two of them; another one in the same folder goes on from there."""
+    base = fresh(s, "ranged")
+    ranged.RangedScan(s, base, SCAN, _RANGE).run(ad.index(s, d), ad.catalog(s, d), stop_after=2)
+    return _rounded(ranged.RangedScan(s, base, SCAN, _RANGE).run(ad.index(s, d), ad.catalog(s, d)))
+
+
+@query(sql("pairs", _PAIRS + " WHERE a % 10 = 0 OR b % 10 = 0"))
+def k11_scan_of_new(s, d):
+    """Only pairs with a new resource, those whose id 10 divides; each is met from its new side."""
+    new = ad.catalog(s, d).where("resource_id % 10 = 0").select("resource_id")
+    return _rounded(ranged.RangedScan(s, fresh(s, "ranged"), SCAN, _RANGE).run(ad.index(s, d), ad.catalog(s, d), new))
+
+
+@query(sql("pairs", _PAIRS))
+def k11_updated_pairs(s, d):
+    """The pairs of the last scan, those of new resources replaced by a scan of these alone."""
+    new = ad.catalog(s, d).where("resource_id % 10 = 0").select("resource_id")
+    return _rounded(duplicates.updated(scanned(s, d), duplicates.scan(ad.index(s, d), ad.catalog(s, d), SCAN, new), new))
 
 
 @query(sql("cat", "SELECT title, count(*) AS resources, round(sum(duration), 6) AS seconds, CAST(sum(num_fingerprints) AS BIGINT) AS fingerprints FROM cat WHERE duration > 0 GROUP BY 1"))

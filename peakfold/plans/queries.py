@@ -281,7 +281,7 @@ def c07_point_pairs(s, d):
 
 @query(sql("buckets", "SELECT a, b, bucket, hits, CAST(len(sa) AS BIGINT) AS seconds_a, CAST(len(sb) AS BIGINT) AS seconds_b FROM buckets"))
 def d10_pair_buckets(s, d):
-    return duplicates.buckets(ad.index(s, d), ad.catalog(s, d), SCAN).select("a", "b", "bucket", "hits", F.size("seconds_a").cast("long").alias("seconds_a"), F.size("seconds_b").cast("long").alias("seconds_b"))
+    return duplicates.buckets(ad.index(s, d), ad.catalog(s, d), SCAN)
 
 
 @query(sql("buckets", "SELECT hash, count(*) AS n, count(DISTINCT resource_id) AS resources FROM rows2 GROUP BY 1"))
@@ -297,7 +297,7 @@ def c11_pairs_still_there(s, d):
 
 @query(sql("buckets", "SELECT c.resource_id, c.path, coalesce(t.fingerprints, 0) AS fingerprints, coalesce(t.eligible_seconds, 0) AS eligible_seconds FROM cat c LEFT JOIN tracks t ON t.resource_id = c.resource_id"))
 def c12_track_details(s, d):
-    t = duplicates.tracks(ad.index(s, d), SCAN).select("resource_id", "fingerprints", F.size("seconds").cast("long").alias("eligible_seconds"))
+    t = duplicates.tracks(ad.index(s, d), SCAN)
     zero = lambda k: F.coalesce(k, F.lit(0).cast("long")).alias(k)
     return ad.catalog(s, d).join(t, "resource_id", "left").select("resource_id", "path", zero("fingerprints"), zero("eligible_seconds"))
 
@@ -386,7 +386,7 @@ def d08_envelopes(s, d):
 
 @query(sql("buckets", "SELECT resource_id, fingerprints, eligible_seconds FROM tracks"))
 def d11_tracks(s, d):
-    return duplicates.tracks(ad.index(s, d), SCAN).select("resource_id", "fingerprints", F.size("seconds").cast("long").alias("eligible_seconds"))
+    return duplicates.tracks(ad.index(s, d), SCAN)
 
 
 @query(sql("pairs", "SELECT a, b, round(offset_seconds, 6) AS offset_seconds, aligned_hits, round(coverage_a, 6) AS coverage_a, round(coverage_b, 6) AS coverage_b FROM pairs"))

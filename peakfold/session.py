@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import io
 import os
@@ -11,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +37,14 @@ def session(app: str = "peakfold", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names, or one of the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
+    """The folder that driver and executors share: the one the cluster names, or one of the warehouse, which a cluster shares
+    too unless it is a folder of each machine's own."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and urlsplit(warehouse).scheme in ("", "file"):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+    return warehouse + "/checkpoints"
 
 
 _passing: set[str] = set()
@@ -65,13 +73,31 @@ def clean(spark: SparkSession) -> None:
     remove(spark, application_folder(spark))
 
 
-def written(df: DataFrame, stem: str) -> DataFrame:
-    """The frame as a Parquet table of the application: it is computed once and outlives executors."""
+#: The tables that scratch() will remove, innermost last.
+_scratch: list[list[str]] = []
+
+
+def written(df: DataFrame, stem: str, keep: bool = False) -> DataFrame:
+    """The frame as a Parquet table of the application: it is computed once and outlives executors. Within
+    scratch() it goes when that ends, unless it is to be kept, as a result reads it."""
     path = f"{application_folder(df.sparkSession)}/{stem}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end the tables that were written within it and aren't kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

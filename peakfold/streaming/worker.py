@@ -108,8 +108,8 @@ def patch_batch(catalog: Catalog, publish: Publish | None = None) -> Callable[[D
         ok = results.where("status = 'ok'")
         catalog.rename_all(ok.where("action = 'rename'").groupBy("resource_id").agg(F.max_by("path", "key").alias("path")))
         ids = ok.where("action = 'delete'").select("resource_id").distinct()
-        if n := ids.count():
-            catalog.delete(ids, n)
+        if not ids.isEmpty():
+            catalog.delete(ids)
         if publish:
             publish(results.select("key", "resource_id", "action", "status", "batch"))
 

@@ -14,7 +14,7 @@ from peakfold.config import Extraction, Matching, Monitoring, Scan
 from peakfold.functions import ident
 from peakfold.operators import align, duplicates, evaluation, logs, monitor, pack, peaks, pitch
 from peakfold.sources import audio, results, scans, textfiles
-from peakfold.sources.catalog import Catalog, MemoryCatalog, Tee, load_files, query_prints
+from peakfold.sources.catalog import Catalog, MemoryCatalog, Tee, load_files, query_prints, requested_ids
 from peakfold.streaming import worker
 
 MATCH = Matching(seconds_per_frame=0.1)
@@ -43,13 +43,18 @@ def test_components_raise_when_rounds_run_out(spark):
 
 def test_pair_scores_at_the_strongest_bucket(spark):
     shift = Scan().shift // 4
-    rows = [(1, 2, shift, 300, list(range(60)), list(range(60))), (1, 2, shift + 1, 200, list(range(55, 98)), list(range(55, 97))), (1, 2, shift + 40, 50, [99], [99])]
-    bucketed = spark.createDataFrame(rows, "a long, b long, bucket long, hits long, seconds_a array<long>, seconds_b array<long>")
-    tracks = spark.createDataFrame([(1, list(range(100))), (2, list(range(100)))], "resource_id long, seconds array<long>")
-    r = duplicates.score_pairs(bucketed, tracks).first()
+    rows = [(1, 2, shift, 300, range(60), range(60)), (1, 2, shift + 1, 200, range(55, 98), range(55, 97)), (1, 2, shift + 40, 50, [99], [99])]
+    far = 70_000  # seconds from there on are in other bitmaps
+    raw = spark.createDataFrame([(a, b, k, x + far, y + far) for a, b, k, _, p, q in rows for x, y in zip([*p, 97 if k > shift else 59], [*q, 96 if k > shift else 59])], "a long, b long, bucket long, sa long, sb long")
+    counts = spark.createDataFrame([r[:4] for r in rows], "a long, b long, bucket long, hits long")
+    track = spark.createDataFrame([(k, 125 * (x + far)) for k in (1, 2) for x in range(100)], "resource_id long, t1 int")
+    near = duplicates.at_peak(counts, 3)
+    seconds, owned = duplicates.pair_seconds(raw, near), duplicates.track_seconds(track)
+    r = duplicates.score_pairs(near, seconds, owned).first()
     assert (r.aligned_hits, r.coverage_a, r.coverage_b) == (500, 0.98, 0.97) and r.offset_seconds == pytest.approx(2 / 125)
-    assert duplicates.score_pairs(bucketed, tracks, Scan(min_similarity=0.98)).count() == 0
-    assert duplicates.score_pairs(bucketed, tracks.withColumn("seconds", F.array().cast("array<long>"))).count() == 0
+    assert owned.agg(F.max(F.length("bits"))).first()[0] == 4096
+    assert duplicates.score_pairs(near, seconds, owned, Scan(min_similarity=0.98)).count() == 0
+    assert duplicates.score_pairs(near, seconds, owned.limit(0)).count() == 0
 
 
 def test_verification_of_a_kept_resource(spark):
@@ -102,15 +107,16 @@ def test_catalog_generations(spark, tmp_path):
     assert {(r.resource_id, r.duration) for r in cat.metadata().collect()} == {(1, 2.0), (2, 1.0)}
     assert {r.f1 for r in cat.lookup(spark.createDataFrame([(5,)], "hash long")).collect()} == {7, 9}
     assert cat.lookup(spark.createDataFrame([], "hash long")).count() == 0
-    with pytest.raises(ValueError):
-        cat.delete(spark.range(101).select(F.col("id").alias("resource_id")))
-    with pytest.raises(ValueError):
-        cat.delete(spark.createDataFrame([], "resource_id long"))
-    cat.delete(spark.createDataFrame([(2,)], "resource_id long"))
+    for ids in (range(101), []):
+        with pytest.raises(ValueError):
+            requested_ids(spark, list(ids))
+    many = spark.range(2, 5000).select(F.col("id").alias("resource_id"))
+    assert {r.resource_id: r.fingerprints_deleted for r in cat.delete(many, by_rows=True).where("fingerprints_deleted > 0").collect()} == {2: 1}
+    assert cat.delete(many).agg(F.sum("fingerprints_deleted")).first()[0] == 0 and cat.delete(many.limit(0)).isEmpty()
     (tmp_path / "cat" / "7" / "metadata").mkdir(parents=True)  # a rewrite that was cut off before its mark
     assert cat.generation() == 1 and cat.metadata().count() == 1
     cat.compact()
-    assert cat.generation() == 2 and cat.fingerprints().count() == 2 and not (tmp_path / "cat" / "1").exists()
+    assert cat.generation() == 2 and cat.fingerprints().count() == 2 and (tmp_path / "cat" / "1").exists() and not (tmp_path / "cat" / "0").exists()
 
 
 def test_tee_files_and_memory(spark, tmp_path):
