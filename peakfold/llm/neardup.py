@@ -28,6 +28,8 @@ from peakfold.llm.components import components
 #: up to which a larger node ends, documents of a block in which these are made, and their lowest hashes
 #: by which they are compared there.
 WIDTH, DEPTH, MOST_DEPTH, SMALL, WORK, BLOCK, LOWEST = 128, 3, 12, 32, 2_000_000, 256, 256
+#: Left blocks, and documents, of a node that share a key; a larger node is dealt over several keys.
+SALT_BLOCKS, SALT_ROWS = 8, 4096
 #: Second children a node has on average, as a multiple of those by which a pair at the threshold survives a
 #: level once; the chance up to which such a pair may be in no leaf of any tree, at the last depth too.
 SPARE, MISS = 1.5, 0.001
@@ -234,9 +236,11 @@ def _blocks(marked: DataFrame, sets: DataFrame) -> DataFrame:
     outside the node's largest component (top)."""
     rows = marked.join(sets.select("id", "n", "low"), "id").withColumn("few", F.col("component") != F.col("top"))
     block = F.pmod(F.xxhash64("id", "node"), F.col("size").cast("long") / BLOCK + 1).cast("long")
-    lists = rows.groupBy("node", "few", block.alias("block")).agg(F.collect_list(F.struct("id", "n", "low", "component")).alias("m"))
-    left, right = lists.where("few"), lists
-    return left.select("node", F.col("block").alias("lb"), F.col("m").alias("l")).join(right.select("node", "few", "block", F.col("m").alias("r")), "node").where("not few or lb <= block").select("l", "r")
+    lists = rows.groupBy("node", "size", "few", block.alias("block")).agg(F.collect_list(F.struct("id", "n", "low", "component")).alias("m"))
+    salts = F.expr(f"1 + size div {BLOCK * SALT_BLOCKS}")  # a large node's left blocks go to as many keys; each has all right ones
+    left = lists.where("few").select("node", F.pmod("block", salts).alias("salt"), F.col("block").alias("lb"), F.col("m").alias("l"))
+    right = lists.select("node", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)).alias("salt"), "few", "block", F.col("m").alias("r"))
+    return left.join(right, ["node", "salt"]).where("not few or lb <= block").select("l", "r")
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -291,8 +295,10 @@ def _marked(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows: node, id, size. Rows of nodes that are not in one component, with their component, the node's
     largest one (top) and how many documents that has (k)."""
     marked = written(rows.join(edges.toDF("id", "component"), "id", "left").select("node", "size", "id", F.coalesce("component", "id").alias("component")), "marked")
-    top = marked.groupBy("node", "component").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "component")).alias("top"))
-    return marked.join(top.select("node", "top.*").toDF("node", "k", "top"), "node").where("k < size")
+    top = marked.groupBy("node", "size", "component").agg(F.count("*").alias("k")).groupBy("node", "size").agg(F.max(F.struct("k", "component")).alias("top"))
+    salts = F.expr(f"1 + size div {SALT_ROWS}").cast("long")
+    spread_ = top.select("node", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "top.*").toDF("node", "salt", "k", "top")
+    return marked.withColumn("salt", F.pmod(F.xxhash64("id"), salts)).join(spread_, ["node", "salt"]).drop("salt").where("k < size")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -156,6 +156,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 4)
     monkeypatch.setattr(neardup, "WORK", 300)
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "SALT_BLOCKS", 2)
+    monkeypatch.setattr(neardup, "SALT_ROWS", 3)
     monkeypatch.setattr(neardup, "LOWEST", 20)
     r = random.Random(5)
     word = lambda: f"w{r.randrange(400)}"
