@@ -3,7 +3,7 @@
     python -m peakfold.commands --base /shared/catalog stats
 
 Prints come as Parquet with resource_id, hash, t1 (and f1); metadata as Parquet with resource_id, path,
-duration, num_fingerprints (and title, audio_url).
+duration, num_fingerprints (and title, audio_url). store-sound and query-sound read WAV files themselves.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakfold.config import Matching, Monitoring, Scan
 from peakfold.functions.ident import metadata_text, resource_id
-from peakfold.operators import align, duplicates, gates, monitor
+from peakfold.operators import align, duplicates, extract, gates, monitor
 from peakfold.operators.ranged import RANGE_ROWS, RangedScan
-from peakfold.session import remove, session
+from peakfold.session import remove, session, written
 from peakfold.sources import scans
 from peakfold.sources.catalog import Catalog, MemoryCatalog, complete, load_files, requested_ids, statistics
 from peakfold.sources.results import listing_json, monitor_json
@@ -39,13 +39,45 @@ class Engine:
         """Resources that are complete already stay as they are; those whose store was cut off are stored anew."""
         self.catalog.restore_incomplete(prints, meta)
 
+    def heard(self, files: DataFrame, k: extract.Peaks = extract.Peaks()) -> tuple[DataFrame, DataFrame]:
+        """files: path, content (WAV bytes). (prints, sound): sound has a row a file, with its id, length and error."""
+        named = files.select("path", resource_id(F.col("path")).alias("resource_id"), "content")
+        sound = extract.sound_files(named)
+        chunks = extract.chunks_of_files(sound, k=k)
+        prints = written(extract.prints(extract.triples(chunks, k=k)), "heard", keep=True)
+        return prints, sound.select("resource_id", "seconds", "error").join(named.select("resource_id", "path"), "resource_id")
+
+    def store_sound(self, files: DataFrame) -> DataFrame:
+        """Stores files from their sound. (path, resource_id, status): error where a file can't be read, skipped_empty without
+        prints, already_exists, or ok. Of files with the same id the first by path counts; the others are repeated."""
+        prints, sound = self.heard(files)
+        n = prints.groupBy("resource_id").agg(F.count("*").alias("num_fingerprints"))
+        known = self.catalog.metadata().where(complete()).select("resource_id", F.lit(True).alias("known"))
+        rows = sound.join(n, "resource_id", "left").join(known, "resource_id", "left").withColumn("first", F.row_number().over(Window.partitionBy("resource_id").orderBy("path")) == 1)
+        status = F.when(F.col("error").isNotNull(), "error").when(F.col("known"), "already_exists").when(~F.col("first"), "repeated").when(F.col("num_fingerprints").isNull(), "skipped_empty").otherwise("ok")
+        out = written(rows.select("path", "resource_id", "seconds", "num_fingerprints", status.alias("status"), "error"), "stored", keep=True)
+        ok = out.where("status = 'ok'")
+        self.catalog.restore_incomplete(prints.join(ok.select("resource_id"), "resource_id", "left_semi"), ok.select("resource_id", "path", F.col("seconds").alias("duration"), "num_fingerprints"))
+        return out.select("path", "resource_id", "status", "error")
+
+    def query_sound(self, files: DataFrame, gated: bool = True) -> DataFrame:
+        """The matches of files by their sound; query_id is a file's id."""
+        prints, _ = self.heard(files)
+        return self.query(prints.select(F.col("resource_id").alias("query_id"), F.col("t1").cast("long").alias("pos"), "hash", "t1"), gated)
+
+    def deduplication(self, prints: DataFrame, near: DataFrame | None = None, gated: bool = True) -> DataFrame:
+        """prints: query_id, pos, hash, t1 of stored resources, each under its own id. Matches other than itself, and
+        than what near has for it (query_id, resource_id), such as the group it is known to be in."""
+        own = prints.select("query_id", F.col("query_id").alias("resource_id")).distinct()
+        avoid = own if near is None else own.union(near.select("query_id", "resource_id")).distinct()
+        return self.query(prints, gated, avoid)
+
     def query(self, prints: DataFrame, gated: bool = True, avoid: DataFrame | None = None) -> DataFrame:
         """prints: query_id, pos, hash, t1. Best matches of each query; gated: only those of good quality, dense
-        enough, and of resources that aren't shorter than the query."""
+        enough, and of resources that aren't shorter than the query. avoid: resource_id that don't count, or query_id
+        and resource_id where each query has its own."""
         index, meta = self._live()
-        if avoid is not None:
-            index = index.join(avoid, "resource_id", "left_anti")
-        found = align.ranked(self.strategy.query(prints, index, meta, self.match))
+        found = align.ranked(self.strategy.query(prints, index, meta, self.match, avoid=avoid))
         if not gated:
             return found
         rows = found.join(meta.select("resource_id", "duration"), "resource_id", "left")
@@ -140,7 +172,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     parser = argparse.ArgumentParser(prog="peakfold")
     parser.add_argument("--base", required=True)
     parser.add_argument("--strategy", default="exact")
-    parser.add_argument("command", choices=["store", "load", "query", "monitor", "scan", "duplicates", "delete", "stats", "metadata", "resolve", "print", "compact", "clear"])
+    parser.add_argument("command", choices=["store", "load", "query", "monitor", "scan", "duplicates", "delete", "stats", "metadata", "resolve", "print", "compact", "clear", "store-sound", "query-sound", "deduplication", "same", "scan-new", "progress"])
     parser.add_argument("arguments", nargs="*")
     args = parser.parse_args(argv)
     spark = spark or session("peakfold")
@@ -170,6 +202,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     elif args.command == "print":
         ids = spark.createDataFrame([(int(i),) for i in rest], "resource_id long")
         frame = print_lines(engine.catalog.fingerprints().drop("f1").join(ids, "resource_id", "left_semi").orderBy("resource_id", "t1", "hash"))
+    elif args.command in ("store-sound", "query-sound"):
+        files = spark.read.format("binaryFile").load(rest).select("path", "content")
+        frame = engine.store_sound(files).orderBy("path") if args.command == "store-sound" else engine.query_sound(files).orderBy("query_id", "place")
+    elif args.command == "deduplication":
+        frame = engine.deduplication(read(rest[0]), read(rest[1]) if len(rest) > 1 else None).orderBy("query_id", "place")
+    elif args.command == "same":
+        said = f"{engine.same(read(rest[0]), read(rest[1])):.4f}"
+    elif args.command == "scan-new":
+        said = f"{engine.scan_new(rest[0], spark.createDataFrame([(int(i),) for i in rest[1:]], 'resource_id long'))} pairs"
+    elif args.command == "progress":
+        said = json.dumps(engine.scan_progress(rest[0]))
     elif args.command == "compact":
         engine.catalog.compact()
     else:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peakfold import session
 from peakfold.config import Extraction
+from peakfold.operators import ordering
 from peakfold.session import application_folder
 from peakfold.sources.postings import Postings
 
@@ -73,11 +74,33 @@ def prints(spark, sf_dir) -> DataFrame:
     return index(spark, sf_dir).where(F.col("resource_id") % EVERY == 0).select(F.col("resource_id").alias("query_id"), F.col("t1").alias("pos"), "hash", "t1")
 
 
+def vectors(spark, sf_dir) -> DataFrame:
+    """resource_id, t, v: each label's vectors in order of their ids; a label of any size is spread over ranges of these."""
+
+    def build():
+        e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("resource_id"), "vec_id", F.col("embedding").alias("v"))
+        return ordering.placed_within(e, "resource_id", "vec_id").select("resource_id", F.col("place").cast("int").alias("t"), "v")
+
+    return stored(spark, sf_dir, "vectors", build)
+
+
+def frames(spark, sf_dir) -> DataFrame:
+    """resource_id, t, m: spectra as arrays."""
+    return vectors(spark, sf_dir).select("resource_id", "t", F.transform("v", lambda x: x.cast("double") * x.cast("double")).alias("m"))
+
+
 def spectrum(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
+    """The same with a row a bin."""
+    return frames(spark, sf_dir).select("resource_id", "t", F.posexplode("m").alias("f", "m"))
+
+
+#: Signals that stand for sound: a label's vectors end to end, 64 samples each; frames of two vectors that share one.
+SIGNAL = Extraction(size=128, step=64)
+
 
-    e = table(spark, sf_dir, "embeddings").withColumn("t", F.dense_rank().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
-    return e.select(F.col("label").cast("long").alias("resource_id"), F.col("t").cast("int").alias("t"), F.posexplode("embedding").alias("f", "e")).select("resource_id", "t", "f", (F.col("e").cast("double") * F.col("e").cast("double")).alias("m"))
+def signals(spark, sf_dir) -> DataFrame:
+    """resource_id, at, samples: pieces of each label's signal."""
+    return vectors(spark, sf_dir).select("resource_id", (F.col("t").cast("long") * 64).alias("at"), F.col("v").cast("array<float>").alias("samples"))
 
 
 def detections(spark, sf_dir) -> DataFrame:

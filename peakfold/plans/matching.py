@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from peakfold import strategies
 from peakfold.config import Monitoring
-from peakfold.operators import align, evaluation, gates, lookup, monitor, pack, peaks, pitch
+from peakfold.operators import align, evaluation, extract, gates, lookup, monitor, pack, peaks, pitch
 from peakfold.plans import adapters as ad
 from peakfold.plans.adapters import SQL, chain, sql
-from peakfold.plans.queries import MATCH, aligned, c, enough_hits, query, r6
+from peakfold.plans.queries import _FLAGS, _STEPS, MATCH, aligned, c, enough_hits, query, r6
 
 FPS = 10
 
@@ -236,26 +236,31 @@ def g02_segments(s, d):
     return monitor.detect(recorded(s, d), seg, ad.postings(s, d), MATCH, avoid=itself(s, d)).select("recording", "resource_id", "start", "stop", "score")
 
 
-@query("WITH " + SQL["cat"] + "\nSELECT resource_id, k * 20 AS start FROM (SELECT resource_id, CAST(floor(duration) AS INTEGER) AS total FROM cat), unnest(range(0, total // 20 + 1)) AS g(k) WHERE k * 20 + 30 < total AND least(30, duration_left(total, k)) >= 1".replace("duration_left(total, k)", "total - k * 20"))
+@query("WITH r AS (SELECT doc_id AS resource_id, CAST(floor(len(text) / 60.0::DOUBLE) AS INTEGER) AS total, len(string_split(lower(text), ' ')) / 10.0::DOUBLE AS heard FROM documents)\nSELECT resource_id, k * 20 AS start, CAST(floor(greatest(0, least(30, heard - k * 20)) * 16000) AS BIGINT) AS samples FROM r, unnest(range(0, total // 20 + 1)) AS g(k) WHERE k * 20 + 30 < total AND floor(greatest(0, least(30, heard - k * 20)) * 16000) >= 16000")
 def i12_long_enough_windows(s, d):
+    """Windows are planned by the length that metadata states (characters), and have as many samples as the sound
+    has from their start (words); those of less than a second are left out, whole ones and tails alike."""
     from peakfold.streaming.worker import long_enough
 
-    r = ad.catalog(s, d).select("resource_id", F.floor("duration").cast("int").alias("total"))
-    w = r.select("resource_id", "total", F.explode(monitor.hops("total")).alias("start")).withColumn("samples", F.least(F.lit(30), c("total") - c("start")) * 16000)
-    return long_enough(w).select("resource_id", c("start").cast("long").alias("start"))
+    text = ad.table(s, d, "documents").select(c("doc_id").alias("resource_id"), F.floor(F.length("text") / 60).cast("int").alias("total"), (F.size(F.split(F.lower("text"), " ")) / 10.0).alias("heard"))
+    heard = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(30.0), c("heard") - c("start"))) * 16000).alias("samples")
+    return long_enough(text.select("resource_id", "heard", F.explode(monitor.hops("total")).alias("start")).select("resource_id", c("start").cast("long").alias("start"), heard))
 
 
-_CHUNK = 300
+_SIGNAL = """pick AS (SELECT CAST(label AS BIGINT) AS resource_id, embedding, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS v FROM embeddings),
+sig AS (SELECT resource_id, v * 64 + i - 1 AS at, embedding[i]::DOUBLE AS x FROM pick, unnest(range(1, 65)) AS g(i)),
+fram AS (SELECT p.resource_id, p.v AS t, s.at - p.v * 64 AS i, s.x FROM pick p JOIN sig s ON s.resource_id = p.resource_id AND s.at >= p.v * 64 AND s.at < p.v * 64 + 128 WHERE EXISTS (SELECT 1 FROM pick n WHERE n.resource_id = p.resource_id AND n.v = p.v + 1)),
+spec AS (SELECT resource_id, CAST(t AS INTEGER) AS t, CAST(k AS INTEGER) AS f, pow(sum(x * cos(2 * pi() * k * i / 128)), 2) + pow(sum(x * sin(2 * pi() * k * i / 128)), 2) AS m FROM fram, unnest(range(9, 64)) AS g(k) GROUP BY 1, 2, 3),
+"""
+_TRIPLES = SQL["tri"].split(SQL["spec"] + ",\n", 1)[1]
+_PRINTS = "SELECT DISTINCT (CAST(t3 - t1 AS BIGINT) & 63) + " + _FLAGS + " + (((CAST(f1 AS BIGINT) >> 1) & 255) << 14) + " + _STEPS + " AS hash, resource_id, t1, f1 FROM tri"
 
 
-@query(sql("fp", "SELECT resource_id, t1 // 300 AS chunk, count(*) AS kept, CAST(sum(hash) AS BIGINT) AS hash_sum FROM fp GROUP BY 1, 2"))
+@query("WITH " + _SIGNAL + _TRIPLES + "\n" + _PRINTS)
 def e13_chunked_store(s, d):
-    """Prints of overlapping chunks (a core of 30 seconds, 2 more on both sides), of which each keeps its core's."""
-    core, more = _CHUNK, 20
-    near = F.sequence(F.greatest(F.lit(0), F.expr(f"(t1 - {more}) div {core}")), F.expr(f"(t1 + {more}) div {core}"))
-    chunks = ad.index(s, d).select("hash", "resource_id", "t1", F.explode(near).alias("chunk"))
-    kept = chunks.where((c("t1") >= c("chunk") * core) & (c("t1") < (c("chunk") + 1) * core))
-    return kept.groupBy("resource_id", "chunk").agg(F.count("*").alias("kept"), F.sum("hash").alias("hash_sum"))
+    """Prints of signals from their samples, in chunks of 40 frames and what these depend on; each chunk gives its core's."""
+    k = extract.Peaks(core=40)
+    return extract.prints(extract.triples(extract.chunks_of_pieces(ad.signals(s, d), ad.SIGNAL, k), ad.SIGNAL, k))
 
 
 # Peaks ------------------------------------------------------------------------------------------------
@@ -265,17 +270,18 @@ _RANGES = peaks.key_ranges(ad.SMALL, 8)
 
 @query(sql("spec", "SELECT 1").replace("\nSELECT 1", ",\nrng(f, a, b) AS (VALUES " + ", ".join(map(str, _RANGES)) + ")\nSELECT x.resource_id, x.t, x.f, round(max(y.m), 9) AS vmax FROM spec x JOIN rng r ON r.f = x.f LEFT JOIN spec y ON y.resource_id = x.resource_id AND y.t = x.t AND y.f >= r.a AND y.f < r.b GROUP BY 1, 2, 3"))
 def e01_key_range_max(s, d):
-    return peaks.range_max(ad.spectrum(s, d), _RANGES).select("resource_id", "t", "f", F.round("vmax", 9).alias("vmax"))
+    rows = extract.cells(extract.range_max(ad.frames(s, d), _RANGES), "vmax").where(c("f").between(_RANGES[0][0], _RANGES[-1][0]))
+    return rows.select("resource_id", "t", "f", F.round("vmax", 9).alias("vmax"))
 
 
 @query(sql("spec", "SELECT resource_id, t, f, round(max(m) OVER (PARTITION BY resource_id, t ORDER BY f ROWS BETWEEN 51 PRECEDING AND 51 FOLLOWING), 9) AS vmax FROM spec"))
 def e03_sliding_max(s, d):
-    return peaks.vertical_max(ad.spectrum(s, d), 51, 51).select("resource_id", "t", "f", F.round("vmax", 9).alias("vmax"))
+    return extract.cells(extract.vertical_max(ad.frames(s, d), 51, 51), "vmax").withColumn("vmax", F.round("vmax", 9))
 
 
 @query(sql("spec", "SELECT resource_id, t, f, round(min(m) OVER w, 9) AS vmin, round(max(m) OVER w, 9) AS vmax FROM spec WINDOW w AS (PARTITION BY resource_id, t ORDER BY f ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)"))
 def e03b_min_and_max(s, d):
-    return peaks.min_and_max(ad.spectrum(s, d), 10, 10).select("resource_id", "t", "f", F.round("vmin", 9).alias("vmin"), F.round("vmax", 9).alias("vmax"))
+    return extract.cells(extract.min_and_max(ad.frames(s, d), 10, 10), "vmin", "vmax").withColumns({k: F.round(k, 9) for k in ("vmin", "vmax")})
 
 
 @query("WITH x AS (SELECT vec_id, k, i, embedding[i + 1]::DOUBLE AS e FROM embeddings, unnest(range(9, 32)) AS g(k), unnest(range(0, 64)) AS h(i)) SELECT vec_id AS resource_id, CAST(0 AS INTEGER) AS t, CAST(k AS INTEGER) AS f, round(pow(sum(e * cos(2 * pi() * k * i / 64)), 2) + pow(sum(e * sin(2 * pi() * k * i / 64)), 2), 5) AS m FROM x GROUP BY 1, 2, 3")
@@ -292,5 +298,5 @@ _ROBUST = f"(({_SPREAD('fr', 0)} + {_SPREAD('tr', 1)}) & 262143)" + "".join(f" +
 
 @query(sql("tri", f"SELECT resource_id, t1, f1, t2, f2, t3, f3, {_ROBUST} AS hash FROM (SELECT *, {_LOG('abs((f2 - f1) / (f3 - f2)::DOUBLE)', 1, 126)} AS fr, {_LOG('(t2 - t1) / (t3 - t2)::DOUBLE', 2, 30)} AS tr FROM tri)"))
 def b03_robust_hash(s, d):
-    points = peaks.event_points(ad.spectrum(s, d))
+    points = extract.event_points(ad.frames(s, d))
     return pack.triples(points).select("resource_id", "t1", "f1", "t2", "f2", "t3", "f3", pack.robust_hash().alias("hash"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peakfold.config import Matching, Scan
 from peakfold.functions import ident
-from peakfold.operators import align, duplicates, evaluation, gates, lookup, monitor, pack, peaks, pitch
+from peakfold.operators import align, duplicates, evaluation, extract, gates, lookup, monitor, pack, peaks, pitch
 from peakfold.plans import adapters as ad
 from peakfold.plans.adapters import sql
 from peakfold.sources import catalog as store
@@ -64,7 +64,7 @@ def members(s, d) -> DataFrame:
 
 
 def points(s, d) -> DataFrame:
-    return peaks.event_points(ad.spectrum(s, d))
+    return extract.event_points(ad.frames(s, d))
 
 
 # Sources and sinks ------------------------------------------------------------------------------------
@@ -456,8 +456,8 @@ def d29_occurrences(s, d):
 
 @query(sql("pts", "SELECT resource_id, t, f, round(hmax, 9) AS hmax FROM hm"))
 def e02_horizontal_max(s, d):
-    w = Window.partitionBy("resource_id", "f").orderBy("t").rowsBetween(-12, 11)
-    return peaks.vertical_max(ad.spectrum(s, d), 10, 10).withColumn("hmax", F.round(F.max("vmax").over(w), 9)).select("resource_id", "t", "f", "hmax")
+    tall = extract.vertical_max(ad.frames(s, d), 10, 10).select("resource_id", "t", c("vmax").alias("m"))
+    return extract.cells(extract.horizontal_max(tall), "hmax").withColumn("hmax", F.round("hmax", 9))
 
 
 @query(sql("spec", "SELECT resource_id, t, f, round(sum(r) OVER (PARTITION BY resource_id, f ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS around FROM (SELECT *, sum(m) OVER (PARTITION BY resource_id, t ORDER BY f ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS r FROM spec)"))

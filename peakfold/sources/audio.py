@@ -16,25 +16,36 @@ DECODED_KINDS, LONGEST = ("m4a", "aac", "mp4", "m4b"), 86400.0
 WAVEFORM, FULL = 21600, 32768.0
 
 
-def samples_of(raw: bytes) -> tuple[int, np.ndarray]:
-    """(rate, mono samples from -1 to 1) of a PCM WAV file of 8, 16 or 32 bits; ValueError for any other."""
+def form_of(raw: bytes) -> tuple[int, int, int, int, int]:
+    """(rate, channels, bits, where the samples begin, how many bytes they have) of a PCM WAV file of 8, 16 or 32
+    bits, from its first part; ValueError for any other."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, form, data = 12, None, None
-    while at + 8 <= len(raw) and data is None:
+    at, form = 12, None
+    while at + 8 <= len(raw):
         kind, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
-        if kind == b"fmt ":
+        if kind == b"fmt " and at + 24 <= len(raw):
             form = np.frombuffer(raw, "<u2", 8, at + 8)
         elif kind == b"data":
-            data = raw[at + 8 : at + 8 + size]
+            if form is None or form[0] not in (1, 0xFFFE) or form[7] not in (8, 16, 32) or not form[1] or not (form[2] or form[3]):
+                break
+            return int(form[2]) | int(form[3]) << 16, int(form[1]), int(form[7]), at + 8, size
         at += 8 + size + size % 2
-    if form is None or data is None or form[0] not in (1, 0xFFFE) or form[7] not in (8, 16, 32):
-        raise ValueError("not PCM of 8, 16 or 32 bits")
-    channels, rate, bits = int(form[1]), int(form[2]) | int(form[3]) << 16, int(form[7])
+    raise ValueError("not PCM of 8, 16 or 32 bits")
+
+
+def mono(data: bytes, channels: int, bits: int) -> np.ndarray:
+    """Samples from -1 to 1, the mean of all channels."""
     whole = len(data) - len(data) % (channels * bits // 8)
     x = np.frombuffer(data[:whole], {8: "u1", 16: "<i2", 32: "<i4"}[bits]).astype(np.float32)
     x = (x - 128) / 128 if bits == 8 else x / float(1 << bits - 1)
-    return rate, x.reshape(-1, channels).mean(axis=1)
+    return x.reshape(-1, channels).mean(axis=1)
+
+
+def samples_of(raw: bytes) -> tuple[int, np.ndarray]:
+    """(rate, mono samples) of a WAV file."""
+    rate, channels, bits, at, size = form_of(raw)
+    return rate, mono(raw[at : at + size], channels, bits)
 
 
 def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
