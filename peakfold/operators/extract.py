@@ -271,6 +271,17 @@ def chunks_of_pieces(pieces: DataFrame, e: Extraction, k: Peaks) -> DataFrame:
     return rows.select(*keys, cut.alias("samples"))
 
 
+def samples_in(row: dict, content: pa.Scalar, e: Extraction) -> np.ndarray:
+    """A chunk's samples at the rate of the settings; content: bytes of a file, or the samples themselves."""
+    if "bits" not in row:
+        return content.values.to_numpy(zero_copy_only=False).astype(np.float32)
+    x = mono(content.as_py(), row["channels"], row["bits"])
+    if row["rate"] != e.sample_rate and len(x):
+        at = np.arange(row["from"], row["to"]) * row["rate"] / e.sample_rate - row["low"]
+        x = np.interp(at, np.arange(len(x)), x).astype(np.float32)
+    return x
+
+
 _TRIPLE = pa.schema([("resource_id", pa.int64()), *((f"{c}{k}", pa.float64() if c == "m" else pa.int32()) for k in (1, 2, 3) for c in "tfm")])
 
 
@@ -282,13 +293,7 @@ def triples(chunks: DataFrame, e: Extraction = Extraction(), k: Peaks = Peaks())
         for batch in batches:
             names = [c for c in batch.schema.names if c not in ("raw", "samples")]
             for row, content in zip(batch.select(names).to_pylist(), batch.column("raw" if of_files else "samples"), strict=True):
-                if of_files:
-                    x = mono(content.as_py(), row["channels"], row["bits"])
-                    if row["rate"] != e.sample_rate and len(x):
-                        at = np.arange(row["from"], row["to"]) * row["rate"] / e.sample_rate - row["low"]
-                        x = np.interp(at, np.arange(len(x)), x).astype(np.float32)
-                else:
-                    x = content.values.to_numpy(zero_copy_only=False).astype(np.float32)
+                x = samples_in(row, content, e)
                 m = power(without_impulses(frames_of(x, e.size, e.step)), e)
                 at, f = peaks_in(m, k)
                 t = at + row["first"]
