@@ -12,7 +12,7 @@ from peakfold.plans import adapters as ad
 from peakfold.plans.adapters import SQL, chain, sql
 from peakfold.plans.queries import MATCH, SCAN, c, grouped, members, query, r6, scanned
 from peakfold.session import application_folder
-from peakfold.sources import scans, textfiles
+from peakfold.sources import printfiles, scans, textfiles
 from peakfold.sources.catalog import Catalog, Tee, latest, load_files
 
 _KEEP = SQL["groups"] + ",\nkeep AS (SELECT component, id AS keep FROM (SELECT m.*, row_number() OVER (PARTITION BY component ORDER BY round(mean_s, 2) DESC, CASE WHEN duration > 0 THEN round(num_fingerprints / duration, 2) ELSE 0 END DESC, duration DESC, id) AS o FROM members m JOIN cat v ON v.resource_id = m.id) WHERE o = 1),\nasked AS (SELECT k.keep, g.id AS other FROM keep k JOIN groups g ON g.component = k.component WHERE g.id <> k.keep)"
@@ -139,6 +139,15 @@ def a13_text_files(s, d):
     return back.groupBy("resource_id").agg(F.count("*").alias("n"), F.sum("hash").alias("hash_sum"), F.max("t1").alias("last"))
 
 
+@query(sql("fp", "SELECT resource_id, count(*) AS n, CAST(sum(hash) AS BIGINT) AS hash_sum, max(t1) AS last FROM fp GROUP BY 1"))
+def a13_files_by_resource(s, d):
+    """Prints written as a file for each resource by the data source, and read from these."""
+    path = fresh(s, "tdb")
+    printfiles.write_print_files(ad.index(s, d), path)
+    back = printfiles.read_print_files(s, path)
+    return back.groupBy("resource_id").agg(F.count("*").alias("n"), F.sum("hash").alias("hash_sum"), F.max("t1").alias("last"))
+
+
 @query(sql("cat", "SELECT resource_id, path, round(duration, 6) AS duration, num_fingerprints FROM cat"))
 def a13_text_metadata(s, d):
     path = fresh(s, "metadata")

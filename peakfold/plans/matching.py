@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from peakfold import strategies
 from peakfold.config import Monitoring
-from peakfold.operators import align, evaluation, extract, gates, lookup, monitor, pack, peaks, pitch
+from peakfold.operators import align, evaluation, extract, gates, lookup, monitor, pack, peaks, pitch, tones
 from peakfold.plans import adapters as ad
 from peakfold.plans.adapters import SQL, chain, sql
 from peakfold.plans.queries import _FLAGS, _STEPS, MATCH, aligned, c, enough_hits, query, r6
@@ -300,3 +300,32 @@ _ROBUST = f"(({_SPREAD('fr', 0)} + {_SPREAD('tr', 1)}) & 262143)" + "".join(f" +
 def b03_robust_hash(s, d):
     points = extract.event_points(ad.frames(s, d))
     return pack.triples(points).select("resource_id", "t1", "f1", "t2", "f2", "t3", "f3", pack.robust_hash().alias("hash"))
+
+
+# Tones ------------------------------------------------------------------------------------------------
+
+_YIN = tones.Yin(size=128, step=64, lowest=300.0, threshold=0.7)
+_PERIOD = "{0} + greatest(-1, least(1, CASE WHEN {1}.d - 2 * {2}.d + {3}.d > 0 THEN ({1}.d - {3}.d) / (2 * ({1}.d - 2 * {2}.d + {3}.d)) ELSE 0 END))"
+
+
+@query("WITH " + _SIGNAL.split("spec AS", 1)[0] + f"""dif AS (SELECT a.resource_id, a.t, k AS lag, sum(pow(a.x - b.x, 2)) AS d FROM fram a, unnest(range(0, 56)) AS g(k) JOIN fram b ON b.resource_id = a.resource_id AND b.t = a.t AND b.i = a.i + k WHERE a.i < 64 GROUP BY 1, 2, 3),
+nrm AS (SELECT *, CASE WHEN lag = 0 OR s <= 0 THEN 1 ELSE d * lag / s END AS r FROM (SELECT *, sum(CASE WHEN lag > 0 THEN d ELSE 0 END) OVER (PARTITION BY resource_id, t ORDER BY lag) AS s FROM dif)),
+nxt AS (SELECT *, lead(r) OVER (PARTITION BY resource_id, t ORDER BY lag) AS r1 FROM nrm),
+beg AS (SELECT resource_id, t, min(lag) AS l0 FROM nxt WHERE lag BETWEEN 8 AND 53 AND r < {_YIN.threshold} GROUP BY 1, 2),
+dip AS (SELECT n.resource_id, n.t, min(n.lag) AS lag FROM nxt n JOIN beg b ON b.resource_id = n.resource_id AND b.t = n.t WHERE n.lag >= b.l0 AND n.lag < 54 AND n.r1 >= n.r GROUP BY 1, 2),
+per AS (SELECT p.resource_id, p.t, {_PERIOD.format('p.lag', 'a', 'b', 'c')} AS period FROM dip p JOIN dif a ON a.resource_id = p.resource_id AND a.t = p.t AND a.lag = p.lag - 1 JOIN dif b ON b.resource_id = p.resource_id AND b.t = p.t AND b.lag = p.lag JOIN dif c ON c.resource_id = p.resource_id AND c.t = p.t AND c.lag = p.lag + 1),
+many AS (SELECT *, greatest(1, CAST(trunc(least({tones.LONG} / period, 52 / period)) AS BIGINT)) AS times FROM per),
+fin AS (SELECT m.resource_id, m.t, times, period, CAST(round(times * period) AS BIGINT) AS lag FROM many m)
+SELECT f.resource_id, f.t, round(16000.0 * times / CASE WHEN times > 1 THEN {_PERIOD.format('f.lag', 'a', 'b', 'c')} ELSE period END, 3) AS hz FROM fin f JOIN dif a ON a.resource_id = f.resource_id AND a.t = f.t AND a.lag = f.lag - 1 JOIN dif b ON b.resource_id = f.resource_id AND b.t = f.t AND b.lag = f.lag JOIN dif c ON c.resource_id = f.resource_id AND c.t = f.t AND c.lag = f.lag + 1""")
+def j06_pitches(s, d):
+    """The pitch of signals' frames, from their samples, in chunks of 40 frames."""
+    chunks = extract.chunks_of_pieces(ad.signals(s, d), tones.settings_of(_YIN), extract.Peaks(core=40))
+    return tones.pitches(chunks, _YIN).withColumn("hz", F.round("hz", 3))
+
+
+@query(None)
+def j05_bands(s, d):
+    """Magnitudes of logarithmic bands of signals by sparse spectral kernels; which bins count has no SQL form."""
+    b = tones.Bands(lowest=1000.0, highest=4000.0, octave=12, step=64)
+    rows = tones.band_frames(extract.chunks_of_pieces(ad.signals(s, d), tones.settings_of_bands(b), extract.Peaks(core=40)), b)
+    return extract.cells(rows, "m").withColumn("m", F.round("m", 6))

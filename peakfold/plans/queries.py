@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from peakfold.functions import ident
 from peakfold.operators import align, duplicates, evaluation, extract, gates, lookup, monitor, pack, peaks, pitch
 from peakfold.plans import adapters as ad
 from peakfold.plans.adapters import sql
+from peakfold.session import application_folder
 from peakfold.sources import catalog as store
 
 MATCH = Matching(seconds_per_frame=0.1)
@@ -517,6 +519,19 @@ def g08_first_entries(s, d):
     return first_entries(ad.table(s, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def g08_streamed_entries(s, d):
+    """The entries of a stream without repeats, by keyed state, written by one run over what there is and read back. The
+    table's path is given as a pattern, as a stream takes a folder or a pattern and the table may be one file."""
+    from peakfold.streaming.worker import unique_entries
+
+    base, path = f"{application_folder(s)}/entries-{uuid.uuid4().hex}", f"{d}/events.parquet"
+    events = s.readStream.schema(s.read.parquet(path).schema).parquet(path[:-1] + "[t]").select(c("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    run = unique_entries(events, ["user_id", "event_type"]).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.schema("ts timestamp, user_id long, event_type string").parquet(f"{base}/out").select("user_id", "event_type")
+
+
 @query("SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS file, nullif(regexp_extract(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1), '') AS url_file, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://)[^/@]*@', '\\1') AS redacted FROM pages")
 def h06_url_parts(s, d):
     return ad.table(s, d, "pages").select("page_id", ident.file_name(c("url")).alias("file"), ident.url_file_name(c("url")).alias("url_file"), ident.redacted_url(c("url")).alias("redacted"))

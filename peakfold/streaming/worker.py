@@ -117,14 +117,16 @@ def patch_batch(catalog: Catalog, publish: Publish | None = None) -> Callable[[D
 
 
 def start_workers(spark: SparkSession, mode: str, sources: dict[str, DataFrame], handlers: dict[str, Callable], checkpoints: str) -> list:
-    """A streaming query for each kind of request that the mode takes, each with a checkpoint and a scheduler pool of its own."""
+    """A streaming query for each kind of request that the mode takes, each with a checkpoint and a scheduler pool of its own.
+    Requests that come with their time (ts) are taken once, however often and in whatever batch they come."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     out = []
     for kind in MODES[mode]:
         if kind in sources and kind in handlers:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", kind)
-            out.append(sources[kind].writeStream.foreachBatch(handlers[kind]).option("checkpointLocation", f"{checkpoints}/{kind}").queryName(f"{kind}-worker").start())
+            rows = unique_entries(sources[kind], ["key", "value"]) if "ts" in sources[kind].columns else sources[kind]
+            out.append(rows.writeStream.foreachBatch(handlers[kind]).option("checkpointLocation", f"{checkpoints}/{kind}").queryName(f"{kind}-worker").start())
     spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
     return out
 
@@ -132,7 +134,7 @@ def start_workers(spark: SparkSession, mode: str, sources: dict[str, DataFrame],
 def kafka_source(spark: SparkSession, servers: str, topic: str, a_trigger: int = 1) -> DataFrame:
     """Messages of a topic, so many a batch; needs the Kafka package on the session."""
     rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", a_trigger).option("startingOffsets", "earliest").load()
-    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ts"))
 
 
 def kafka_sink(servers: str, topic: str) -> Publish:
@@ -166,6 +168,15 @@ def first_entries(entries: DataFrame, columns: list[str], order: str) -> DataFra
     return entries.groupBy(*columns).agg(F.min(order).alias(order))
 
 
+def unique_entries(stream: DataFrame, columns: list[str], time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """A stream's entries without those that are equal in the columns to one that came before, in whatever batch.
+
+    What has come is keyed state in the checkpoint, so a restart knows it; it is kept until the watermark has
+    passed an entry's time by ``late``, so the state's size follows the rate of entries and not their number.
+    """
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(columns)
+
+
 def hopping(events: DataFrame, late: str = "10 minutes", length: str = "30 minutes", hop: str = "20 minutes") -> DataFrame:
     """Counts and sums by event time in overlapping windows, with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length, hop).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
