@@ -59,10 +59,25 @@ def gaps(found: DataFrame, total: str, key: str = "id") -> DataFrame:
     return inner.unionByName(tail)
 
 
-def uncovered(second: DataFrame, first: DataFrame, slack: float = 5.0, key: str = "id") -> DataFrame:
-    """Second-pass rows that no first-pass row of the same track contains within the slack."""
-    f, s = first.alias("f"), second.alias("s")
-    return s.join(f, (F.col(f"f.{key}") == F.col(f"s.{key}")) & (F.col("s.start") >= F.col("f.start") - slack) & (F.col("s.stop") <= F.col("f.stop") + slack), "left_anti")
+def outside(inner: DataFrame, outer: DataFrame, keys: list[str], slack: float, width: float) -> DataFrame:
+    """Rows of inner that no row of outer with the same keys contains within the slack.
+
+    A row of outer is in each stretch of time of ``width`` that it reaches, one of inner in that of its start, so
+    the join has an equality on (keys, stretch) and a key's rows are compared with those of about their time alone.
+    """
+    at = lambda x: F.floor(x / width).cast("long")
+    spans = outer.select(*keys, F.col("start").alias("_a"), F.col("stop").alias("_z")).where(F.col("_z") + slack >= F.col("_a") - slack)
+    o = spans.withColumn("_b", F.explode(F.sequence(at(F.col("_a") - slack), at(F.col("_z") + slack)))).alias("o")
+    i = inner.withColumn("_b", at(F.col("start"))).alias("i")
+    on = F.col("o._b") == F.col("i._b")
+    for k in keys:
+        on = on & (F.col(f"o.{k}") == F.col(f"i.{k}"))
+    return i.join(o, on & (F.col("i.start") >= F.col("o._a") - slack) & (F.col("i.stop") <= F.col("o._z") + slack), "left_anti").drop("_b")
+
+
+def uncovered(second: DataFrame, first: DataFrame, slack: float = 5.0, key: str = "id", width: float = 7200.0) -> DataFrame:
+    """Second-pass rows that no first-pass row of the same track contains within the slack; stops aren't before starts."""
+    return outside(second, first, [key], slack, width)
 
 
 def in_every_window(found: DataFrame, windows: int, slack: float = 2.0, key: str = "id") -> DataFrame:
@@ -113,10 +128,7 @@ def fine_windows(first: DataFrame, recordings: DataFrame, m: Monitoring, fps: fl
 
 def merged(first: DataFrame, second: DataFrame, slack: int) -> DataFrame:
     """Both passes' detections, of the second those that no first one of the resource contains within the slack."""
-    f = first.select("recording", "resource_id", F.col("start").alias("_a"), F.col("stop").alias("_b")).alias("f")
-    s = second.alias("s")
-    on = (F.col("f.recording") == F.col("s.recording")) & (F.col("f.resource_id") == F.col("s.resource_id")) & (F.col("s.start") >= F.col("f._a") - slack) & (F.col("s.stop") <= F.col("f._b") + slack)
-    return first.unionByName(s.join(f, on, "left_anti"))
+    return first.unionByName(outside(second, first, ["recording", "resource_id"], slack, 60 * max(1, slack)))
 
 
 def occurrences(found: DataFrame, durations: DataFrame, m: Monitoring, fps: float) -> DataFrame:

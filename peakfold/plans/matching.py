@@ -106,13 +106,9 @@ _HIST = "hist AS (SELECT resource_id, CAST(floor((((CASE WHEN 1200.0 * log2(hz /
 
 @query(sql("pit", "SELECT 1").replace("\nSELECT 1", ",\n" + _HIST + ", tot AS (SELECT resource_id, sum(n) AS t FROM hist GROUP BY 1), met AS (SELECT q.resource_id AS q, r.resource_id AS r, (q.bin - r.bin + 1200) % 1200 AS shift, sum(least(q.n, r.n)) AS common FROM hist q, hist r WHERE q.resource_id % 20 = 0 GROUP BY 1, 2, 3), best AS (SELECT q, r, max(common) AS common FROM met GROUP BY 1, 2)\nSELECT q, r, place FROM (SELECT q, r, row_number() OVER (PARTITION BY q ORDER BY round(common / greatest(a.t, b.t), 9) DESC, r) AS place FROM best JOIN tot a ON a.resource_id = q JOIN tot b ON b.resource_id = r) WHERE place <= 10"))
 def f10_best_pitch_references(s, d):
-    """Equal scores keep all their references, in order of id."""
-    from pyspark.sql import Window
-
+    """The ten best references of each query, by a bound; of equal scores those with smaller ids."""
     h = pitch.histogram(ad.pitches(s, d))
-    met = pitch.best_shift(h.where(c("resource_id") % ad.EVERY == 0), h, 1200)
-    w = Window.partitionBy("q").orderBy(F.desc(F.round("match", 9)), "r")
-    return met.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("q", "r", "place")
+    return pitch.best_references(h.where(c("resource_id") % ad.EVERY == 0), h, 1200).select("q", "r", "place")
 
 
 # Monitoring -------------------------------------------------------------------------------------------

@@ -344,6 +344,33 @@ def test_best_shift_equals_a_loop(spark):
         assert x["shift"] == sums.index(max(sums)) and x.match == pytest.approx(max(sums) / max(sum(q.values()), sum(ref.values())))
 
 
+def test_best_references_by_bounds(spark):
+    r = random.Random(6)
+    shapes = [{r.randrange(1200): r.randint(1, 60) for _ in range(r.choice([3, 8, 40]))} for _ in range(25)]
+    h = {k: {(b + 97 * k) % 1200: n for b, n in shapes[k % 25].items()} for k in range(150)}
+    table = lambda keys: spark.createDataFrame([(k, b, n) for k in keys for b, n in h[k].items()], "resource_id long, bin int, n long")
+    queries, all_ = table(range(0, 150, 10)), table(h)
+    every = {(x.q, x.r): (x.match, x["shift"]) for x in pitch.best_shift(queries, all_, 1200).collect()}
+    got = {}
+    for x in pitch.best_references(queries, all_, 1200).collect():
+        assert every[x.q, x.r] == (x.match, x["shift"])
+        got.setdefault(x.q, {})[x.place] = x.r
+    for q, places in got.items():
+        want = sorted((k[1] for k in every if k[0] == q), key=lambda k: (-round(every[q, k][0], 9), k))[:10]
+        assert [places[k] for k in range(1, 11)] == want
+    seen = pitch.block_references(queries, all_, 1200).select("q", "compared", "of").distinct().collect()
+    assert len(seen) == 15 and sum(x.compared for x in seen) < 0.9 * sum(x.of for x in seen)
+
+
+def test_bounds_are_never_below_the_best_overlap():
+    r = np.random.default_rng(7)
+    for few in (1, 12, 60, 1200):
+        for _ in range(20):
+            q, x = ((k, np.sort(r.choice(1200, n, False)), r.integers(1, 9, n)) for k, n in enumerate(r.integers(1, 60, 2)))
+            best = pitch._overlaps(q, [x], 1200).max()
+            assert pitch.bounds(pitch.coarse([q], 1200, few)[0], pitch.coarse([x], 1200, few))[0] >= best
+
+
 def messages(spark, tmp_path, values):
     (tmp_path / "in").mkdir(exist_ok=True)
     for k, v in enumerate(values):
