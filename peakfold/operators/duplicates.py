@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakfold.config import Scan
-from peakfold.session import written
+from peakfold.session import ship_package, written
 
 
 def per_hash(index: DataFrame, p: Scan = Scan()) -> DataFrame:
@@ -252,13 +253,62 @@ def recommend(members: DataFrame, catalog: DataFrame) -> DataFrame:
     return members.join(c, "id").withColumn("density", density()).withColumn("_k", F.row_number().over(w)).where("_k = 1").select("component", F.col("id").alias("keep"))
 
 
+#: Edges that a task joins into stars at a time before the first round.
+CONTRACT = 200_000
+
+
+def contracted(edges: DataFrame, at_once: int | None = None) -> DataFrame:
+    """edges: u, v. Edges with the same components, as each task's runs of edges become a star for each component of theirs."""
+    most = at_once or CONTRACT
+
+    def stars(held: list) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            path = []
+            while (up := root.setdefault(x, x)) != x:
+                path.append(x)
+                x = up
+            for p in path:
+                root[p] = x
+            return x
+
+        for batch in held:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+        out = [(x, t) for x in list(root) if (t := top(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, most):
+                held.append(batch.slice(k, most))
+                n += held[-1].num_rows
+                if n >= most:
+                    yield stars(held)
+                    held, n = [], 0
+        if held:
+            yield stars(held)
+
+    ship_package(edges.sparkSession)
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(pairs: DataFrame, most: int = 100) -> DataFrame:
     """(id, component): connected components, named by their smallest id.
 
-    Rounds of least labels of neighbours and of labels' labels, each written to the shared folder; the number
-    of rounds is logarithmic in a component's diameter for the most part. Raises if ``most`` don't suffice.
+    Edges become stars within tasks first; where one task has them all, that is the result. Else rounds of least
+    labels of neighbours and of labels' labels follow, each written to the shared folder; the number of rounds is
+    logarithmic in a component's diameter for the most part. Raises if ``most`` don't suffice.
     """
-    edges = written(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("id", "other").distinct(), "edges")
+    ends = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    tasks = ends.count() // CONTRACT + 1
+    stars = written(contracted(ends.coalesce(tasks)), "edges")
+    if tasks == 1:
+        return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+    edges = written(stars.union(stars.select("v", "u")).toDF("id", "other").distinct(), "edges")
     labels = edges.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component"))
     for _ in range(most):
         near = edges.join(labels.withColumnsRenamed({"id": "other", "component": "c"}), "other").groupBy("id").agg(F.min("c").alias("c"))

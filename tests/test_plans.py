@@ -34,8 +34,24 @@ def played(parts, rec=900):
     return [(1_000_000 * k + 10 * (a + t), rec, at + t) for k, a, n, at in parts for t in range(n)]
 
 
-def test_components_raise_when_rounds_run_out(spark):
-    pairs = spark.createDataFrame([(k, k + 1, 1.0, 1.0) for k in range(40)], "a long, b long, coverage_a double, coverage_b double")
+def test_components_of_random_pairs(spark, monkeypatch):
+    r = random.Random(9)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 440)] + [(5, 5)]
+    label = {k: k for e in edges for k in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    pairs = spark.createDataFrame([(*e, 1.0, 1.0) for e in edges if e[0] != e[1]], "a long, b long, coverage_a double, coverage_b double").repartition(3)
+    want = {k: v for k, v in label.items() if any(k in e for e in edges if e[0] != e[1])}
+    for at_once in (200_000, 25):
+        monkeypatch.setattr(duplicates, "CONTRACT", at_once)
+        got = duplicates.components(pairs).collect()
+        assert {x.id: x.component for x in got} == want and len(got) == len(want)
+
+
+def test_components_raise_when_rounds_run_out(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "CONTRACT", 4)
+    pairs = spark.createDataFrame([(k, k + 1, 1.0, 1.0) for k in range(40)], "a long, b long, coverage_a double, coverage_b double").repartition(4)
     assert {r.component for r in duplicates.components(pairs).collect()} == {0}
     with pytest.raises(RuntimeError):
         duplicates.components(pairs, most=1)
