@@ -76,7 +76,7 @@ class Engine:
         """prints: query_id, pos, hash, t1. Best matches of each query; gated: only those of good quality, dense
         enough, and of resources that aren't shorter than the query. avoid: resource_id that don't count, or query_id
         and resource_id where each query has its own."""
-        index, meta = self._live()
+        index, meta = self.catalog.index(), self.catalog.metadata().where(complete())
         found = align.ranked(self.strategy.query(prints, index, meta, self.match, avoid=avoid))
         if not gated:
             return found
@@ -85,10 +85,10 @@ class Engine:
 
     def monitor(self, prints: DataFrame, m: Monitoring = Monitoring()) -> DataFrame:
         """prints: recording, hash, t1. (recording, json) of the tracks in each recording."""
-        index, meta = self._live()
+        index, meta = self.catalog.index(), self.catalog.metadata().where(complete())
         fps = 1 / self.match.seconds_per_frame
         recordings = prints.groupBy("recording").agg((F.max("t1") + 1).cast("long").alias("total"))
-        rows = monitor.monitor(prints, recordings, index.select("hash", "resource_id", "t1"), meta.select("resource_id", (F.col("duration") * fps).alias("duration")), self.match, m)
+        rows = monitor.monitor(prints, recordings, index, meta.select("resource_id", (F.col("duration") * fps).alias("duration")), self.match, m)
         return monitor_json(monitor.tracks_of(rows, m, self.match.seconds_per_frame), meta)
 
     def same(self, a: DataFrame, b: DataFrame) -> float:
@@ -214,7 +214,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     elif args.command == "progress":
         said = json.dumps(engine.scan_progress(rest[0]))
     elif args.command == "compact":
-        engine.catalog.compact()
+        engine.catalog.compact(lists="lists" in rest)
     else:
         engine.catalog.clear()
     lines = [said] if frame is None else [r[0] if len(r) == 1 and isinstance(r[0], str) else json.dumps(r.asDict(), default=str) for r in frame.toLocalIterator()]

@@ -130,6 +130,30 @@ def k06_store_delete_compact(s, d):
     return cat.metadata().join(cat.fingerprints(), "resource_id").groupBy("resource_id", "path").agg(F.count("*").alias("prints"), F.sum("hash").alias("hash_sum"))
 
 
+@query(sql("hits", "SELECT query_id, resource_id, count(*) AS n FROM hits JOIN documents d ON d.doc_id = hits.resource_id WHERE d.lang <> 'fr' GROUP BY 1, 2 HAVING count(*) >= 10"))
+def k03_catalog_lookup(s, d):
+    """Lookups in a catalog that was filled in two parts: posting lists of a compaction between them, rows since,
+    and resources that were deleted after both."""
+    cat = Catalog(s, fresh(s, "catalog"))
+    meta = ad.catalog(s, d).where("num_fingerprints > 0").select("resource_id", "path", "duration", "num_fingerprints", "title")
+    later = c("resource_id") % 9 == 2
+    cat.store(ad.index(s, d).where(~later), meta.where(~later))
+    cat.compact(lists=True)
+    cat.store(ad.index(s, d).where(later), meta.where(later))
+    cat.delete(meta.where("title = 'fr'"))
+    found = lookup.frequent_hits(ad.prints(s, d), cat.index(), 10)
+    return found.groupBy("query_id", "resource_id").agg(F.count("*").alias("n")).where("n >= 10")
+
+
+@query(sql("fp,cat", "SELECT v.resource_id, count(*) AS fingerprints_deleted FROM cat v JOIN fp f ON f.resource_id = v.resource_id WHERE v.title = 'de' GROUP BY 1 UNION ALL SELECT resource_id, 0 FROM cat WHERE title = 'de' AND num_fingerprints = 0"))
+def k07_deleted_rows(s, d):
+    """What a deletion takes away, counted in the rows themselves; resources that aren't there count 0."""
+    cat = Catalog(s, fresh(s, "catalog"))
+    meta = ad.catalog(s, d).where("num_fingerprints > 0").select("resource_id", "path", "duration", "num_fingerprints")
+    cat.store(ad.index(s, d), meta)
+    return cat.delete(ad.catalog(s, d).where("title = 'de'").select("resource_id"), by_rows=True)
+
+
 @query(sql("fp", "SELECT resource_id, count(*) AS n, CAST(sum(hash) AS BIGINT) AS hash_sum, max(t1) AS last FROM fp GROUP BY 1"))
 def a13_text_files(s, d):
     """Prints written as lines of text files and read from them."""

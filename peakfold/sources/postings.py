@@ -68,8 +68,19 @@ class Postings:
         out = cls(spark, name)
         words = spark.read.table(f"{name}_lists").groupBy("hash").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.max("parts").alias("parts"))
         cls._save(words.repartition(buckets, "hash"), f"{name}_dictionary", f"{path}/dictionary", buckets, "hash")
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/form")  # last, so it is a mark
         return out
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, name: str) -> Postings:
+        """Lists that build() made at the path, in whatever session: their tables are declared where the catalog hasn't them."""
+        for table, by in (("lists", "hash, part"), ("dictionary", "hash")):
+            if not spark.catalog.tableExists(f"{name}_{table}"):
+                buckets = spark.read.parquet(f"{path}/form").first()["buckets"]
+                ddl = spark.read.parquet(f"{path}/{table}")._jdf.schema().toDDL()
+                spark.sql(f"CREATE TABLE {name}_{table} ({ddl}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}/{table}'")
+        return cls(spark, name)
+
     @staticmethod
     def _save(df: DataFrame, name: str, path: str, buckets: int, *by: str) -> None:
         df.write.format("parquet").mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by).saveAsTable(name)

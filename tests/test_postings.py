@@ -110,3 +110,30 @@ def test_lookup_shuffles_the_query_alone(spark, lists):
         join = next(k for k, x in enumerate(above) if "Join" in x)
         assert not any("Exchange" in x for x in above[:join]), above[:join]
     assert "Bucketed: true" in plan
+
+
+def test_catalog_reads_lists_and_what_came_after(spark, tmp_path):
+    from peakfold.sources.catalog import Catalog, Index
+
+    index = index_of(spark)
+    meta = spark.createDataFrame([(r, f"{r}.mp3", 30.0, 25) for r in range(120)], "resource_id long, path string, duration double, num_fingerprints long")
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    cat.store(index.where("resource_id < 80"), meta.where("resource_id < 80"))
+    assert not isinstance(cat.index(), Index)
+    cat.compact(lists=True)
+    cat.store(index.where("resource_id >= 80"), meta.where("resource_id >= 80"))
+    gone = spark.createDataFrame([(1,), (91,)], "resource_id long")
+    cat.delete(gone)
+    live = index.join(gone, "resource_id", "left_anti")
+    asked = asked_of(index, 5)
+    name = cat.index().lists.name
+    for known in (True, False):
+        if not known:  # as in another session
+            for table in ("lists", "dictionary"):
+                spark.sql(f"DROP TABLE {name}_{table}")
+        found = cat.index()
+        assert isinstance(found, Index) and rows_of(lookup.near_hits(asked, found), [*HITS, "match_f1"]) == rows_of(lookup.near_hits(asked, live), [*HITS, "match_f1"])
+        assert rows_of(align.align(lookup.frequent_hits(asked, found, 10)), ["query_id", "resource_id", "score"]) == rows_of(align.align(lookup.near_hits(asked, live)), ["query_id", "resource_id", "score"])
+    assert "bucket" in spark.sql(f"DESCRIBE EXTENDED {name}_lists").where("col_name = 'Num Buckets'").first().col_name.lower()
+    cat.compact()
+    assert not isinstance(cat.index(), Index) and cat.fingerprints().count() == live.count()
