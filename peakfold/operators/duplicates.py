@@ -65,9 +65,9 @@ def hit_counts(raw: DataFrame) -> DataFrame:
 
 def at_peak(counts: DataFrame, least_hits: int) -> DataFrame:
     """(a, b, peak, bucket, hits): of buckets with enough hits each pair's strongest one and its neighbours; of equals the lowest."""
-    enough = counts.where(F.col("hits") >= least_hits)
-    best = enough.groupBy("a", "b").agg(F.min_by("bucket", F.struct(-F.col("hits"), "bucket")).alias("peak"))
-    return enough.join(best, ["a", "b"]).where(F.abs(F.col("bucket") - F.col("peak")) <= 1).select("a", "b", "peak", "bucket", "hits")
+    strongest = F.first("bucket").over(Window.partitionBy("a", "b").orderBy(F.desc("hits"), "bucket"))
+    near = counts.where(F.col("hits") >= least_hits).withColumn("peak", strongest)
+    return near.where(F.abs(F.col("bucket") - F.col("peak")) <= 1).select("a", "b", "peak", "bucket", "hits")
 
 
 def worth_it(near: DataFrame, track: DataFrame, least: float) -> DataFrame:
@@ -138,7 +138,7 @@ def score_pairs(near: DataFrame, seconds: DataFrame, track: DataFrame, p: Scan =
 def scored(rows: DataFrame, counts: DataFrame, seconds: DataFrame, p: Scan, least: float | None = None, new: DataFrame | None = None) -> DataFrame:
     """From counts of hits to pairs. rows: what raw pairs are made from; only those of pairs that can be similar
     enough are met again, for their seconds."""
-    near = at_peak(counts, p.min_bucket_hits)
+    near = written(at_peak(counts, p.min_bucket_hits), "peaks")
     near = written(worth_it(near, counted(seconds, "resource_id"), p.min_similarity if least is None else least), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("resource_id")).distinct()
     again = raw_pairs(rows.join(ids, "resource_id", "left_semi"), p, new)

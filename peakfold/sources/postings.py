@@ -21,6 +21,8 @@ LIST, BUCKET_ROWS, MOST_BUCKETS = 1024, 5_000_000, 50_000
 #: Hashes with several parts up to which their table is broadcast while the lists are made.
 MOST_BROADCAST, SALTS = 200_000, 16
 PAIR = ["query_id", "resource_id"]
+#: Hits, known from the dictionary before any is made, up to which a search makes them all at once.
+FEW_HITS = 20_000_000
 
 
 def part_of(resource_id: str, parts: str) -> Column:
@@ -119,29 +121,44 @@ class Postings:
         return self._hits(found, pitched)
 
     def candidates(self, prints: DataFrame, least: int, reach: int = 2, attribution: str = "last", avoid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(asked, pairs): the query's hashes, marked whether they are put off, and the pairs that may have
-        ``least`` hits, counted without making any.
+        """(asked, pairs): see marked(), and the pairs that may have ``least`` hits, counted without making any.
+
+        A pair with enough hits has some of the hashes that aren't put off, and at least as many there as the others
+        can't give. So a hash that most resources have is read for few pairs.
+        """
+        asked = self.marked(prints, least, reach, attribution)
+        return asked, self._counted(asked, least, avoid)
+
+    def marked(self, prints: DataFrame, least: int, reach: int = 2, attribution: str = "last") -> DataFrame:
+        """The query's hashes, with how many entries they have, marked whether they are put off (later).
 
         Of each query the hashes with the longest lists are put off, as long as all of them together give a
-        resource fewer than ``least`` hits. A pair with enough hits has some of the other hashes, and at least
-        as many there as the others can't give. So a hash that most resources have is read for few pairs.
+        resource fewer than ``least`` hits (slack).
         """
         line = Window.partitionBy("query_id").orderBy(F.desc("n"), "near_hash")
         given = F.sum("most").over(line.rowsBetween(Window.unboundedPreceding, 0))
         marked = self._placed(prints, reach, attribution).withColumn("given", given).withColumn("later", F.col("given") < least)
         slack = F.coalesce(F.max(F.when(F.col("later"), F.col("given"))).over(Window.partitionBy("query_id")), F.lit(0))
-        asked = written(marked.withColumn("slack", slack).drop("given", "n", "most"), "asked")
+        return written(marked.withColumn("slack", slack).drop("given", "most"), "asked")
+
+    def _counted(self, asked: DataFrame, least: int, avoid: DataFrame | None) -> DataFrame:
         met = self._found(asked.where("not later").select("query_id", "near_hash", "parts", "slack"))
         pairs = met.groupBy(*PAIR).agg(F.sum(F.size("at")).alias("seen"), F.first("slack").alias("slack")).where(F.col("seen") + F.col("slack") >= least)
         if avoid is not None:
             pairs = pairs.join(avoid, [c for c in PAIR if c in avoid.columns], "left_anti")
-        return asked, written(pairs.select(*PAIR), "candidates")
+        return written(pairs.select(*PAIR), "candidates")
 
-    def search(self, prints: DataFrame, least: int, reach: int = 2, attribution: str = "last", avoid: DataFrame | None = None) -> DataFrame:
-        """The hits of all pairs that have ``least`` hits or more, and maybe of some that have fewer; hits are
-        made for the candidates alone."""
-        asked, pairs = self.candidates(prints, least, reach, attribution, avoid)
+    def search(self, prints: DataFrame, least: int, reach: int = 2, attribution: str = "last", avoid: DataFrame | None = None, few: int | None = None) -> DataFrame:
+        """The hits of all pairs that have ``least`` hits or more, and maybe of some that have fewer. Where there are
+        more than ``few`` hits in all, they are counted first and made for the candidates alone."""
         pitched = self.pitched and "f1" in prints.columns
+        asked = self.marked(prints, least, reach, attribution)
+        if (asked.agg(F.sum("n")).first()[0] or 0) <= (FEW_HITS if few is None else few):
+            found = self._found(asked.drop("later", "slack", "n"))
+            if avoid is not None:
+                found = found.join(avoid, [c for c in PAIR if c in avoid.columns], "left_anti")
+            return self._hits(found, pitched)
+        pairs, asked = self._counted(asked, least, avoid), asked.drop("n")
         now = self._found(asked.where("not later").drop("later", "slack")).join(pairs, PAIR, "left_semi")
         put_off = self._of_resource(asked.where("later").drop("later", "slack").join(pairs, "query_id"))
         return self._hits(now, pitched).unionByName(self._hits(put_off, pitched))

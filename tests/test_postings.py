@@ -74,13 +74,15 @@ def test_search_keeps_all_frequent_pairs(spark, lists):
     pair = ["query_id", "resource_id"]
     every = lookup.near_hits(asked, index)
     enough = every.groupBy(*pair).count().where("count >= 10").select(*pair)
-    found = lists.search(asked, 10)
+    found = lists.search(asked, 10, few=0)
     assert rows_of(found.join(enough, pair, "left_semi"), HITS) == rows_of(every.join(enough, pair, "left_semi"), HITS)
     _, candidates = lists.candidates(asked, 10)
     assert candidates.count() == enough.count() == 40  # of 20 queries against 120 resources that all share a hash
     assert every.count() > 2 * found.count()
     group = asked.select("query_id", F.col("query_id").alias("resource_id")).distinct()
-    assert rows_of(align.align(lists.search(asked, 10, avoid=group)), pair) == rows_of(align.align(lookup.near_hits(asked, index, avoid=group)), pair)
+    for few in (0, 10**9):
+        assert rows_of(align.align(lists.search(asked, 10, avoid=group, few=few)), pair) == rows_of(align.align(lookup.near_hits(asked, index, avoid=group)), pair)
+    assert lists.search(asked, 10).count() == every.count()  # few enough to make them all
 
 
 def ancestors(plan: str, marker: str):
