@@ -104,6 +104,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_own: list[str] = []
+
+
+def own_folder() -> str:
+    """A temporary folder of the driver's process, for files that it sends to executors; it goes when the process ends."""
+    if not _own:
+        _own.append(os.path.realpath(tempfile.mkdtemp(prefix="peakfold-")))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
 _shipped: dict[str, str] = {}
 
 
@@ -117,9 +128,7 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.writestr(zipfile.ZipInfo(f"{root.name}/{p.relative_to(root)}"), p.read_bytes())
     name = f"{root.name}-{hashlib.sha256(raw.getvalue()).hexdigest()[:16]}.zip"
-    folder = os.path.join(os.path.realpath(tempfile.gettempdir()), "shipped")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, name)
+    path = os.path.join(own_folder(), name)
     Path(path).write_bytes(raw.getvalue())
     sc.addPyFile(path)
     _shipped[sc.applicationId] = path
