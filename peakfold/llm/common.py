@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakfold.session import application_folder, remove, ship_package
+from peakfold.session import application_folder, own_folder, remove, ship_package
 
 #: Rows of one Arrow batch: texts average a few kB, so a batch stays at some MB.
 BATCH_ROWS = 1000
@@ -193,9 +192,7 @@ class Ship:
 
     def __init__(self, spark: SparkSession, payload: bytes, stem: str):
         self.name = f"{stem}-{hashlib.sha256(payload).hexdigest()[:16]}.bin"
-        folder = os.path.join(os.path.realpath(tempfile.gettempdir()), "shipped")
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, self.name)
+        path = os.path.join(own_folder(), self.name)
         with open(f"{path}.{os.getpid()}", "wb") as f:
             f.write(payload)
         os.replace(f"{path}.{os.getpid()}", path)
