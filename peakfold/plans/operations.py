@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from peakfold.operators import evaluation, logs
 from peakfold.plans import adapters as ad
 from peakfold.plans.queries import c, query, r6
+from peakfold.streaming import leases
 
 _RANK = "min(elapsed) FILTER (k >= ceil(n * 0.95))"
 
@@ -72,3 +73,15 @@ def c19_expected_by_name(s, d):
     ref = F.concat(F.lit("m/track"), (c("event_id") % 7).cast("string"), F.lit(".wav"))
     rows = evaluation.expected(ad.table(s, d, "events").select(_query_path().alias("query"), ref.alias("ref")))
     return rows.groupBy("change", "factor").agg(F.count("*").alias("n"), F.sum(c("right").cast("long")).alias("hits"))
+
+
+@query("""WITH l AS (SELECT user_id AS key, event_id % 3 AS owner, ts, bool_or(event_type = 'purchase') AS done FROM events GROUP BY 1, 2, 3),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY key, owner ORDER BY ts) AS following FROM l)
+SELECT key, owner, epoch_us(ts) AS leased, epoch_us(ts + INTERVAL 12 HOURS) AS lapsed FROM n WHERE NOT done AND (following IS NULL OR following > ts + INTERVAL 12 HOURS) AND ts + INTERVAL 12 HOURS < (SELECT max(ts) FROM events)""")
+def i09_lapsed_leases(s, d):
+    """Entries to be given again: a user is an entry, an event a sign of one of three workers, a purchase its end."""
+    e = ad.table(s, d, "events")
+    kind = F.when(c("event_type") == "purchase", leases.DONE).otherwise("renewed")
+    log = e.select(c("user_id").alias("key"), (c("event_id") % 3).alias("owner"), c("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    now = F.lit(e.agg(F.max(c("ts").cast("timestamp"))).first()[0])
+    return leases.lapsed(log, 12 * 3600, now).select("key", "owner", F.unix_micros("leased").alias("leased"), F.unix_micros("lapsed").alias("lapsed"))
