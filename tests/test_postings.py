@@ -114,6 +114,25 @@ def test_lookup_shuffles_the_query_alone(spark, lists):
     assert "Bucketed: true" in plan
 
 
+def test_joins_hold_lists_and_not_the_pairs_that_ask_for_them(spark, lists):
+    """A merge join keeps a key's rows of its right side in memory; a list may be asked for by any number of pairs."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = asked_of(index_of(spark))
+        group = asked.select("query_id", F.col("query_id").alias("resource_id")).distinct()
+        targeted, searched = (x._jdf.queryExecution().executedPlan().toString() for x in (lists.near_hits(asked, targets=group), lists.search(asked, 10, few=0)))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    join = next(k for k, x in enumerate(targeted.splitlines()) if "SortMergeJoin [near_hash" in x and "part#" in x)
+    left = targeted.splitlines()[join + 1 :]
+    right = next(k for k, x in enumerate(left) if x.find("+- ") == left[0].find(":- "))
+    assert not any("_lists" in x for x in left[:right]) and any("_lists" in x for x in left[right:])
+    assert re.search(r"SortMergeJoin \[near_hash#\d+L, resource_id#\d+L\]", searched) and "lambdafunction" not in searched  # no list is gone through for each pair
+
+
 def test_catalog_reads_lists_and_what_came_after(spark, tmp_path):
     from peakfold.sources.catalog import Catalog, Index
 
