@@ -110,6 +110,13 @@ def test_groups(spark):
     assert keep(catalog.where("resource_id <> 20"))[10] == 10
 
 
+def test_keep_is_by_hundredths_as_doubles_round(spark):
+    """0.575 is a little less than that, so it is 0.57 as in SQL, and the denser one of equals stays."""
+    members = spark.createDataFrame([(1, 1, 0.575), (2, 1, 0.57), (3, 2, 0.675), (4, 2, 0.67)], "id long, component long, mean_similarity double")
+    catalog = spark.createDataFrame([(1, 10.0, 80), (2, 10.0, 90), (3, 10.0, 80), (4, 10.0, 90)], "resource_id long, duration double, num_fingerprints long")
+    assert {r.component: r.keep for r in duplicates.recommend(members, catalog).collect()} == {1: 2, 2: 3}
+
+
 def murmur(data: bytes) -> int:
     mask, h = 0xFFFFFFFF, 0
     scramble = lambda k: ((k := k * 0xCC9E2D51 & mask) << 15 | k >> 17) * 0x1B873593 & mask
