@@ -91,6 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, vector: WordVector, modulus: int = 5
     """(indices, weights, bias), learned from rows outside the held-out fold."""
     none = np.empty(0, np.int64), np.empty(0), -30.0
     learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("y")).where(F.col("doc_id").isNotNull() & ~is_held_out("doc_id", modulus, remainder) & F.col("y").isNotNull())
+    learn = learn.join(docs.select("doc_id"), "doc_id", "left_semi")  # the share of the rows that are there is their prior
     n, toxic = learn.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
     if not toxic:
         return none
@@ -124,7 +125,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remaind
     """Per row: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     prior, between 0 and 1, is the toxic share of all texts. Where it isn't given it is that of labelled
-    rows, or, if all of these are toxic, estimated from the scores of unlabelled texts.
+    rows among them, or, if all of these are toxic, estimated from the scores of unlabelled texts.
 
     A row without text, or without any known feature, gets the score of the bias. Where no row is
     labelled toxic the score is about 0. A text of any length is scored whole. Rows are scored on their

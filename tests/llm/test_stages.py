@@ -351,3 +351,16 @@ def test_compact_sizes_fragments_and_broken_tables():
     for tables in ((stsc, stco), (stsc, sizes), (stsc, stco, media.full(b"stsz", n(0, 900, 5))), (media.full(b"stsc", n(0)), stco, sizes), (stsc, stco, sizes, media.full(b"stss", n(1, 4)))):
         with pytest.raises(ValueError):
             media.read_tracks(media.box(b"moov", track_box(*tables)))
+
+
+def test_toxicity_prior_is_of_the_rows_that_are_there(spark):
+    """Labels of rows that an earlier stage rejected neither count in the prior nor take places in the sample."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 8)))
+    rows = [(k, " ".join([word() for _ in range(9)] + (["vilebad"] if k % 3 == 0 else []))) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    here = [(k, int(k % 3 == 0)) for k in range(240)]
+    score = lambda labels: {x.doc_id: x.score for x in toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    want = score(here)
+    assert score(here + [(k, int(k % 50 == 0)) for k in range(1000, 3000)]) == pytest.approx(want)
+    assert min(want[k] for k, toxic in here if toxic) > 0.5
