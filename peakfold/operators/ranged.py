@@ -83,7 +83,8 @@ class RangedScan:
         low_high = index.where(F.col("hash").between(b["low"], b["high"]))  # reaches the scan of a sorted index
         rows = duplicates.eligible_rows(low_high, self.p)
         self._write(duplicates.shared(low_high, catalog, self.p, rows), f"rows/{b['part']}")
-        self._write(duplicates.hit_counts(duplicates.raw_pairs(self._read(f"rows/{b['part']}"), self.p, new)), f"counts/{b['part']}")
+        met = self._read(f"rows/{b['part']}")
+        self._write(duplicates.hit_counts(duplicates.raw_pairs(met, self.p, new)), f"counts/{b['part']}")
         self._write(duplicates.track_seconds(rows, self.p), f"seconds/{b['part']}")
         self._write(low_high.groupBy("resource_id").agg(F.count("*").alias("fingerprints")), f"sizes/{b['part']}")
         self._mark(b["part"], b["n"])
