@@ -1,5 +1,9 @@
 """Operators on the small numeric cases of the inventory."""
 
+import math
+from functools import reduce
+from operator import add
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +121,17 @@ def test_keep_is_by_hundredths_as_doubles_round(spark):
     assert {r.component: r.keep for r in duplicates.recommend(members, catalog).collect()} == {1: 2, 2: 3}
 
 
+def test_mean_similarity_is_that_of_the_exact_sum(spark):
+    """Two members with the same similarities, which arrive in opposite orders; sums of doubles differ by these."""
+    s = [0.56, 0.7, 0.51, 0.51, 0.51, 0.91, 0.84]
+    assert reduce(add, s) != reduce(add, reversed(s))
+    rows = [(1, 10 + k, x, 1.0) for k, x in enumerate(s)] + [(2, 10 + k, x, 1.0) for k, x in reversed(list(enumerate(s)))]
+    pairs = spark.createDataFrame(rows, "a long, b long, coverage_a double, coverage_b double").coalesce(1)
+    groups = spark.createDataFrame([(1, 1), (2, 1), *((10 + k, 1) for k in range(len(s)))], "id long, component long")
+    m = {r.id: r.mean_similarity for r in duplicates.member_similarity(pairs, groups).collect()}
+    assert m[1] == m[2] == math.fsum(s) / 8
+
+
 def murmur(data: bytes) -> int:
     mask, h = 0xFFFFFFFF, 0
     scramble = lambda k: ((k := k * 0xCC9E2D51 & mask) << 15 | k >> 17) * 0x1B873593 & mask
