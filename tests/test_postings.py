@@ -85,6 +85,19 @@ def test_search_keeps_all_frequent_pairs(spark, lists):
     assert lists.search(asked, 10).count() == every.count()  # few enough to make them all
 
 
+@pytest.mark.parametrize("few", [None, 0])
+def test_search_gives_a_pair_to_one_of_as_many_tasks_as_hits_ask_for(spark, lists, few, monkeypatch):
+    monkeypatch.setattr("peakfold.sources.postings.TASK_HITS", 100)
+    asked = asked_of(index_of(spark))
+    found = lists.search(asked, 10, few=few, together=True)
+    assert rows_of(found, HITS) == rows_of(lists.search(asked, 10, few=few), HITS)
+    assert found.rdd.getNumPartitions() >= found.count() / 100 > 4  # of 4 shuffle partitions
+    placed = found.select("query_id", "resource_id", F.spark_partition_id().alias("p")).groupBy("query_id", "resource_id").agg(F.countDistinct("p").alias("n"))
+    assert placed.agg(F.max("n")).first()[0] == 1
+    plan = align.parts(found)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(query_id#\d+L?, resource_id#\d+L?, ", plan.split("== Initial Plan ==")[-1])) == len(re.findall(r"Exchange hashpartitioning\(query_id#\d+L?, resource_id#\d+L?, ", found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]))
+
+
 def ancestors(plan: str, marker: str):
     """Operators above the scan that has the marker, nearest first."""
     depth = lambda line: len(re.match(r"[\s:|+\-*()\d]*", line)[0])
