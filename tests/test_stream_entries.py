@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,19 @@ def test_files_are_replaced_and_odd_lines_passed_over(spark, tmp_path):
     with pytest.raises(Exception, match="write_print_files"):
         frame([(5, 1, 1, 1), (6, 1, 1, 1), (5, 2, 2, 2)]).coalesce(1).write.format("printfiles").mode("append").save(path)
     assert sorted(p.name for p in (tmp_path / "tdb").iterdir()) == ["3.tdb", "4.tdb", "note.txt"]
+
+
+def test_print_files_are_written_from_batches_and_read_many_at_a_time(tmp_path):
+    """A resource's rows may go on in the next batch; a batch that is read has the rows of several files."""
+    schema = pa.schema([("resource_id", pa.int64()), ("hash", pa.int64()), ("t1", pa.int32()), ("f1", pa.int32())])
+    rows = [(1, 5, 1, None), (1, 6, 2, 7), (2, 8, 0, None), (3, 9, 3, 4)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
+    writer = printfiles.Writer({"path": str(tmp_path)}, False)
+    writer.commit([writer.write(iter([batch(rows[:1]), batch(rows[1:])]))])
+    assert (tmp_path / "1.tdb").read_text() == "5 1\n6 2 7\n" and len(list(tmp_path.iterdir())) == 3
+    reader = printfiles.Reader({"path": str(tmp_path)})
+    (part,) = reader.partitions()
+    (back,) = reader.read(part)
+    assert [tuple(r.values()) for r in back.to_pylist()] == rows
+    with pytest.raises(ValueError, match="write_print_files"):
+        writer.write(iter([batch([rows[0], rows[2], rows[1]])]))
