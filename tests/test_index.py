@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from peakfold.config import Scan
 from peakfold.operators import duplicates
 from peakfold.plans import adapters as ad
+from peakfold.plans import queries
 
 TEXTS = [None, "", "a", "a b", "a b c", " a  b ", "A b C d", "É ß\tx y\nz  w", "a b c a b c a b c", "x\u0000y z \U0001f600 \U0001f600 z"]
 
@@ -78,3 +79,11 @@ def test_rows_meet_by_one_exchange_and_no_join(spark):
     rows = spark.range(10).selectExpr("id as hash", "id as resource_id", "cast(id as int) as t1", "1.0D as duration", "id as lo")
     plan = duplicates.raw_pairs(rows, Scan())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_document_prints_are_the_index_by_document(spark, folder):
+    """JSON requests are made of them, a row each, with nothing gathered."""
+    rows = ad.document_prints(spark, folder).select("resource_id", F.explode("prints").alias("p")).select("p.hash", "resource_id", "p.t1")
+    assert sorted(map(tuple, rows.collect())) == sorted(expected())
+    plan = queries.QUERIES["a25_json_ingest"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "documents.parquet" in plan
