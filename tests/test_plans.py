@@ -522,3 +522,26 @@ def test_engine_and_commands(spark, tmp_path):
     assert e.delete_duplicates(1, [2], dry_run=False)["tracks"][0]["fingerprints_deleted"] == 600
     assert e.duplicates().count() == 0 and e.scans.deletions().first().stem == "2"
     assert run("compact") == ["ok"] and e.catalog.fingerprints().count() == 1100 and run("clear") == ["ok"] and json.loads(run("stats")[0])["resources"] == 0
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_catalog_rewrite_leaves_out_ids(spark, tmp_path, monkeypatch, most):
+    """Prints are written as they come, and dealt out once by a rewrite; the ids left out meet them by broadcast while they are few."""
+    from peakfold.sources import catalog
+
+    monkeypatch.setattr(catalog, "MOST_BROADCAST", most)
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    prints = spark.createDataFrame([(h, r, h) for r in (1, 2, 3) for h in range(40)], "hash long, resource_id long, t1 int").repartition(3)
+    meta = spark.createDataFrame([(1, "a", 2.0, 40), (2, "b", 2.0, 40)], "resource_id long, path string, duration double, num_fingerprints long")
+    cat.store(prints, meta)
+    files = lambda: sorted(p.name for p in (tmp_path / "cat" / str(cat.generation()) / "added").glob("*.parquet"))
+    assert len(files()) == 3
+    was = files()
+    cat.load(prints, meta)
+    assert files() == was and cat.metadata().count() == 2
+    cat.delete(spark.createDataFrame([(2,)], "resource_id long"))
+    cat.compact()
+    rows = cat.fingerprints().collect()
+    assert {r.resource_id for r in rows} == {1} and len(rows) == 40  # 2 was deleted, 3 never had metadata
+    cat.load(prints, meta)
+    assert {r.resource_id for r in cat.fingerprints().collect()} == {1, 2} and cat.fingerprints().count() == 80
