@@ -171,3 +171,16 @@ def test_catalog_reads_lists_and_what_came_after(spark, tmp_path):
     assert "bucket" in spark.sql(f"DESCRIBE EXTENDED {name}_lists").where("col_name = 'Num Buckets'").first().col_name.lower()
     cat.compact()
     assert not isinstance(cat.index(), Index) and cat.fingerprints().count() == live.count()
+
+
+def test_known_counts_need_no_pass(spark, tmp_path, monkeypatch):
+    """An index that tells how many rows each hash has is dealt out once, and gives the same lists."""
+    from peakfold.sources import postings
+
+    index = index_of(spark)
+    plain = Postings.build(index, str(tmp_path / "a"), longest=8, buckets=4)
+    monkeypatch.setattr(postings, "written", lambda *a, **k: pytest.fail("hashes are counted again"))
+    known = Postings.build(index.join(index.groupBy("hash").agg(F.count("*").alias("n")), "hash"), str(tmp_path / "b"), longest=8, buckets=4)
+    for a, b in ((plain.lists(), known.lists()), (plain.dictionary(), known.dictionary())):
+        assert a.columns == b.columns and rows_of(a, a.columns) == rows_of(b, b.columns)
+    assert known.dictionary().agg(F.max("parts")).first()[0] > 1
