@@ -191,7 +191,10 @@ def pitches_of(frames: np.ndarray, y: Yin = Yin()) -> np.ndarray:
     ok = np.flatnonzero(below.any(axis=1) & rising.any(axis=1) & (lag < most))
     period = _bottom(d, ok, lag[ok])
     times = np.maximum(1, np.minimum(LONG / period, (most - 2) / period).astype(np.int64))
-    out[ok] = y.rate * times / np.where(times > 1, _bottom(d, ok, np.round(times * period).astype(np.int64)), period)
+    many = times > 1  # of one period the bottom is known; half a sample further there may be no difference to look at
+    whole = period.copy()
+    whole[many] = _bottom(d, ok[many], np.round(times[many] * period[many]).astype(np.int64))
+    out[ok] = y.rate * times / whole
     return out
 
 

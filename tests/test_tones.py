@@ -91,6 +91,14 @@ def test_no_pitch():
     assert tones.pitches_of(np.zeros((0, 2048))).shape == (0,)
 
 
+def test_longest_lag_has_a_bottom_beyond_it():
+    """The dip is at the longest lag that counts, and by its parabola more than half a sample later."""
+    y, r, n = tones.Yin(size=128, step=64, lowest=300.0, threshold=0.7), np.random.default_rng(0), np.arange(128)
+    x = np.sin(2 * np.pi * n / r.uniform(53, 54.5, (500, 1)) + r.uniform(0, 6, (500, 1))) + r.uniform(0, 0.5, (500, 1)) * r.standard_normal((500, 128))
+    hz = tones.pitches_of(x.astype(np.float32), y)
+    assert np.nanmin(hz) < y.rate / 53.5 and np.nanmin(hz) >= y.rate / 54
+
+
 def test_from_samples_to_histogram(spark):
     y = tones.Yin()
     e, k = tones.settings_of(y), extract.Peaks(core=8)
