@@ -300,6 +300,13 @@ def test_request_text_of_another_type(spark, value):
     assert one(spark, ident.json_text(F.lit('{"filename": ' + value + ', "x": "y"}'), "filename")) is None
 
 
+def test_result_lines_are_rounded_as_doubles(spark):
+    """0.575 is a little less than that, so SQL rounds it down."""
+    row = "'q' query_path, 'r' ref_path, 2L resource_id, 0.0D query_start, 9.0D query_stop, 0.0D ref_start, 9.0D ref_stop, 8L score, 1.0005D time_factor, 1.0D frequency_factor, 0.575D share"
+    line = spark.range(1).selectExpr(*row.split(", ")).select(results.result_line(F.lit(0), F.lit(0)).alias("x")).first().x
+    assert line == "0 ; 0 ; q ; 0.000 ; 9.000 ; r ; 2 ; 0.000 ; 9.000 ; 8 ; 1.001 % ; 1.000 %; 0.57"
+
+
 def test_request_fields(spark):
     body = F.lit('{"filename": "a \\"b\\".mp3", "keep": -3, "delete": [1, 2 ,3], "bad": [1, "x"], "dry_run": false, "s": 1e-1}')
     assert one(spark, ident.json_text(body, "filename")) == 'a "b".mp3' and one(spark, ident.json_long(body, "keep")) == -3
