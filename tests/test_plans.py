@@ -13,6 +13,7 @@ from peakfold import strategies
 from peakfold.config import Extraction, Matching, Monitoring, Scan
 from peakfold.functions import ident
 from peakfold.operators import align, duplicates, evaluation, logs, monitor, pack, peaks, pitch
+from peakfold.plans.queries import r6
 from peakfold.sources import audio, results, scans, textfiles
 from peakfold.sources.catalog import Catalog, MemoryCatalog, Tee, load_files, query_prints, requested_ids
 from peakfold.streaming import worker
@@ -307,6 +308,11 @@ def test_result_lines_are_rounded_as_doubles(spark):
     assert line == "0 ; 0 ; q ; 0.000 ; 9.000 ; r ; 2 ; 0.000 ; 9.000 ; 8 ; 1.001 % ; 1.000 %; 0.57"
 
 
+def test_six_decimals_are_those_of_doubles(spark):
+    """A coverage of 323 of 640 seconds is a tie as a decimal and a little less than that as a double."""
+    assert [one(spark, r6(F.lit(x))) for x in (323 / 640, -323 / 640, 0.5, 1.0)] == [0.504687, -0.504687, 0.5, 1.0]
+
+
 def test_request_fields(spark):
     body = F.lit('{"filename": "a \\"b\\".mp3", "keep": -3, "delete": [1, 2 ,3], "bad": [1, "x"], "dry_run": false, "s": 1e-1}')
     assert one(spark, ident.json_text(body, "filename")) == 'a "b".mp3' and one(spark, ident.json_long(body, "keep")) == -3
