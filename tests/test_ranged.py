@@ -73,6 +73,23 @@ def test_a_stopped_scan_goes_on(spark, index, catalog, tmp_path, monkeypatch):
     assert sorted(map(tuple, again.tracks().collect())) == sorted(map(tuple, duplicates.tracks(index, P).collect()))
 
 
+def test_ranges_are_made_together_and_go_on_as_a_whole(spark, index, catalog, tmp_path, monkeypatch):
+    """Jobs follow the rows and not the number of ranges; what was cut off, its mark not written, is made anew."""
+    base, made, plain = str(tmp_path / "together"), [], ranged.RangedScan._range
+    monkeypatch.setattr(ranged.RangedScan, "_range", lambda self, b, *rest: (made.append((b["part"], b["last"])), plain(self, b, *rest)))
+    scan = lambda: ranged.RangedScan(spark, base, P, 500, 5000)
+    assert scan().run(index, catalog, stop_after=2) is None and made == [(0, 1)] and scan().progress()["done"] == [0, 1]
+    mark = ranged.RangedScan._mark
+    monkeypatch.setattr(ranged.RangedScan, "_mark", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        scan().run(index, catalog)
+    monkeypatch.setattr(ranged.RangedScan, "_mark", mark)
+    assert rows_of(scan().run(index, catalog)) == rows_of(duplicates.scan(index, catalog, P))
+    total = scan().progress()["ranges"]
+    assert made[1] == made[2] and made[1][0] == 2 and made[-1][1] == total - 1 and len(made) < total / 2
+    assert scan().progress()["done"] == list(range(total))
+
+
 def test_new_resources_against_all(spark, index, catalog, tmp_path):
     new = spark.createDataFrame([(3,), (4,), (10,), (59,)], "resource_id long")
     all_ = duplicates.scan(index, catalog, P)
